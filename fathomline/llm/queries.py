@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fathomline.llm import sharding
+from fathomline.llm import mixing, sharding
+from fathomline.llm.store import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +19,22 @@ def op2_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"), shards=16)
 
 
+def op5_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = mixing.plan(_table(spark, sf_dir, "documents"), Scratch(spark, "mix"), weights=(5.0, 2.0, 1.0), max_repeat=3, shards=16).rows
+    return made.select(
+        F.col("key").alias("doc_id"),
+        "size",
+        "source_size",
+        "target",
+        "taken",
+        "source",
+        "block",
+        F.transform("draws", lambda d: d["shard"]).alias("shards"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jump_shards,)}
+    return {f.__name__: f for f in (op2_jump_shards, op5_weighted_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
