@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import mixing, sharding
+from fathomline.llm import mixing, quality, sharding
 from fathomline.llm.store import Scratch
 
 
@@ -33,8 +33,12 @@ def op5_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), Scratch(spark, "quality"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jump_shards, op5_weighted_mix)}
+    return {f.__name__: f for f in (op2_jump_shards, op5_weighted_mix, op6_divergence_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
