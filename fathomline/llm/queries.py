@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import mixing, quality, sharding
+from fathomline.llm import minhash, mixing, quality, sharding
 from fathomline.llm.store import Scratch
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), Scratch(spark, "minhash"), size=4, percent=80)
+
+
 def op2_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"), shards=16)
 
@@ -38,7 +42,7 @@ def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jump_shards, op5_weighted_mix, op6_divergence_rules)}
+    return {f.__name__: f for f in (op1_superminhash, op2_jump_shards, op5_weighted_mix, op6_divergence_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
