@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import minhash, mixing, quality, sharding
+from fathomline.llm import bpe, langid, minhash, mixing, quality, sharding
 from fathomline.llm.store import Scratch
 
 
@@ -23,6 +24,17 @@ def op2_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"), shards=16)
 
 
+def op3_bpe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out()))
+    out = langid.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op5_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = mixing.plan(_table(spark, sf_dir, "documents"), Scratch(spark, "mix"), weights=(5.0, 2.0, 1.0), max_repeat=3, shards=16).rows
     return made.select(
@@ -42,7 +54,7 @@ def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_superminhash, op2_jump_shards, op5_weighted_mix, op6_divergence_rules)}
+    return {f.__name__: f for f in (op1_superminhash, op2_jump_shards, op3_bpe_counts, op4_hyperdimensional_language, op5_weighted_mix, op6_divergence_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
