@@ -97,14 +97,14 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         row = end
 
 
-def cut(texts: pa.Array, lower: bool = False) -> Words:
-    """The words of all texts of one block."""
+def cut(texts: pa.Array, lower: bool = False, gap: np.ndarray = _SPACE) -> Words:
+    """The words of all texts of one block; gap: whether each byte stands between words."""
     offsets, raw = buffers(texts)
     at = offsets - offsets[0]
     data = raw[offsets[0] : offsets[-1]]
     if lower:
         data = _LOWER[data]
-    word = ~_SPACE[data]
+    word = ~gap[data]
     edge = np.zeros(len(data) + 1, np.int8)  # 1: a word starts, -1: it has ended
     edge[:-1] = word
     edge[1:] -= word
