@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import bpe, decontaminate, langid, minhash, mixing, packing, quality, sharding
+from fathomline.llm import bpe, decontaminate, langid, minhash, mixing, packing, quality, sharding, substrings
 from fathomline.llm.store import Scratch
 
 
@@ -53,6 +53,10 @@ def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), Scratch(spark, "quality"))
 
 
+def op8_debruijn_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"), Scratch(spark, "repeats"), window=35)
+
+
 def op9_pigeonhole_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=20)
 
@@ -63,7 +67,7 @@ def op10_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_superminhash, op2_jump_shards, op3_bpe_counts, op4_hyperdimensional_language, op5_weighted_mix, op6_divergence_rules, op9_pigeonhole_leaks, op10_bit_packed_ids)}
+    return {f.__name__: f for f in (op1_superminhash, op2_jump_shards, op3_bpe_counts, op4_hyperdimensional_language, op5_weighted_mix, op6_divergence_rules, op8_debruijn_repeats, op9_pigeonhole_leaks, op10_bit_packed_ids)}
 
 
 def oracle_sql() -> dict[str, str]:

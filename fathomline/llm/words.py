@@ -66,16 +66,27 @@ class Words:
     end: np.ndarray
     first: np.ndarray  # of each text, its first word; and the number of words
     hash: np.ndarray
+    _totals: np.ndarray | None = None
+
+    def totals(self) -> np.ndarray:
+        if self._totals is None:
+            self._totals = np.zeros(len(self.hash) + 1, np.uint64)
+            np.cumsum(self.hash * powers(_BASE_WORD, len(self.hash)), out=self._totals[1:])
+        return self._totals
 
     def windows(self, k: int) -> np.ndarray:
         """Hash of each k words in a row, by first word; those that cross texts mean nothing."""
         n = len(self.hash) - k + 1
         if n <= 0:
             return np.empty(0, np.uint64)
-        total = np.zeros(len(self.hash) + 1, np.uint64)
-        np.cumsum(self.hash * powers(_BASE_WORD, len(self.hash)), out=total[1:])
+        total = self.totals()
         return mix((total[k:] - total[:-k]) * powers(_inverse(_BASE_WORD), n) + _U(k))
 
+    def spans(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Hash of the words from low to high (exclusive), for each pair of these."""
+        total = self.totals()
+        return mix((total[high] - total[low]) * powers(_inverse(_BASE_WORD), len(self.hash) + 1)[low] + (high - low).astype(np.uint64))
+
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and bytes of an Arrow string column; null is empty."""
