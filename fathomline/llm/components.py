@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from fathomline.llm.store import Scratch
 
 
+#: Links that one task joins; more are dealt to further tasks, and stars then join what these found.
+TASK_LINKS = 1_000_000
+
+
 class UnionFind:
     """Disjoint sets of integers; the root of a set is its least member."""
 
@@ -67,18 +71,18 @@ def _small(links: DataFrame) -> DataFrame:
 
 def connected(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Table of (node, root) for every node that is not the least of its component; links: (a, b), without null."""
-    pairs = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    now = scratch.save(pairs.repartition("b").mapInArrow(_local, "a long, b long"), f"{name}-forest")
+    pairs = scratch.save(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), f"{name}-links")
+    tasks = pairs.count() // TASK_LINKS + 1
+    now = scratch.save(pairs.repartition(tasks).mapInArrow(_local, "a long, b long"), f"{name}-forest")
     mark, turn = None, 0
-    while True:
+    while tasks > 1:
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        # a star: every node has one link, and no root has one
-        roots = now.select(F.col("b").alias("a")).distinct()
-        if seen == mark or now.join(roots, "a", "left_semi").isEmpty() and now.groupBy("a").count().where("count > 1").isEmpty():
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        if seen == mark:
+            break
         mark = seen
         now = scratch.save(_small(_large(now)), f"{name}-star{turn}")
         turn += 1
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def relabel(df: DataFrame, found: DataFrame, node: str, name: str) -> DataFrame:

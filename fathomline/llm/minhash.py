@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ from fathomline.llm.store import Scratch
 _U = np.uint64
 #: 32 bands of 5 slots: of pairs at a similarity of 0.8, 3 in a million share no band.
 BANDS, ROWS = 32, 5
-#: All open pairs are taken once there are no more than so many for each class of equal sets.
-OPEN_PER_CLASS = 1
+#: Buckets of up to so many classes list their pairs; the classes of larger ones are compared in blocks of about BLOCK_SETS.
+SMALL_BUCKET, BLOCK_SETS = 16, 128
 #: Rank from which permutations are kept whole rather than traced back.
 TRACED = 4
 
@@ -152,11 +153,62 @@ def _agree(percent: int):
     return run
 
 
-def _open_pairs(nodes: DataFrame) -> int:
-    """Pairs that share a bucket and are in different components, counted per bucket."""
-    own = nodes.groupBy("band", "comp").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    both = own.groupBy("band").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("n"))
-    return int(both.agg(F.coalesce(F.sum("n"), F.lit(0.0))).first()[0])
+def _block_links(percent: int):
+    """Links between the sets of a pair of blocks (or within one), as a forest: each row's set and the least one it leads to."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, side = table["rep"].to_numpy(), table["side"].to_numpy()
+        lists = table["items"].combine_chunks()
+        flat = np.asarray(lists.flatten())
+        size = np.asarray(pa.compute.list_value_length(lists)).astype(np.int64)
+        owner = np.repeat(np.arange(len(ids)), size)
+        # shingles of one set only are in no intersection
+        _, inverse, seen = np.unique(flat, return_inverse=True, return_counts=True)
+        keep = seen[inverse] > 1
+        owner, column = owner[keep], np.unique(inverse[keep], return_inverse=True)[1]
+        both = np.zeros((len(ids), len(ids)), np.float32)
+        for low in range(0, int(column.max(initial=-1)) + 1, 8192):
+            part = (column >= low) & (column < low + 8192)
+            dense = np.zeros((len(ids), 8192), np.float32)
+            dense[owner[part], column[part] - low] = 1
+            both += dense @ dense.T
+        both = both.astype(np.int64)
+        linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        if (side != side[0]).any():
+            linked &= side[:, None] != side[None, :]  # those within a block are another pair's task
+        np.fill_diagonal(linked, True)
+        root = ids.copy()
+        while True:
+            low = np.where(linked, root[None, :], np.iinfo(np.int64).max).min(axis=1)
+            if (low == root).all():
+                break
+            root = low
+        return pa.table({"a": root, "b": ids}).filter(pa.array(root != ids))
+
+    return run
+
+
+def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Members (grp, rep, n) of large groups with side and pair: a row for each pair of blocks that a member is needed in.
+
+    A group is cut by size, so that sets which could be similar are in the same or
+    neighbouring classes, and by hash into blocks of about BLOCK_SETS.
+    """
+    known = members.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int"))
+    count = known.groupBy("grp", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks"))
+    known = known.join(count, ["grp", "class"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    ahead = count.select("grp", (F.col("class") - 1).alias("class"), F.col("blocks").alias("next"))
+    behind = count.select("grp", (F.col("class") + 1).alias("class"), F.col("blocks").alias("last"))
+    known = known.join(ahead, ["grp", "class"], "left").join(behind, ["grp", "class"], "left")
+
+    def pairs(n, make):
+        return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), make)
+
+    mine, cls = F.col("block"), F.col("class")
+    within = pairs(F.col("blocks"), lambda j: F.struct(cls.alias("c1"), F.least(mine, j).alias("b1"), cls.alias("c2"), F.greatest(mine, j).alias("b2"), (mine > j).cast("int").alias("side")))
+    up = pairs(F.coalesce("next", F.lit(0)), lambda j: F.struct(cls.alias("c1"), mine.alias("b1"), (cls + 1).alias("c2"), j.alias("b2"), F.lit(0).alias("side")))
+    down = pairs(F.coalesce("last", F.lit(0)), lambda j: F.struct((cls - 1).alias("c1"), j.alias("b1"), cls.alias("c2"), mine.alias("b2"), F.lit(1).alias("side")))
+    return known.select("grp", "rep", F.explode(F.concat(within, up, down)).alias("p")).select("grp", "rep", "p.*")
 
 
 def near_duplicates(
@@ -166,7 +218,6 @@ def near_duplicates(
     text: str = "text",
     size: int = 5,
     percent: int = 80,
-    max_rounds: int = 6,
 ) -> DataFrame:
     """One row per row of docs: key, n_shingles, component_id, kept.
 
@@ -178,73 +229,49 @@ def near_duplicates(
     gives an empty result; other columns are not read.
 
     Equal sets form a class and only its least key goes on. Candidates are classes
-    that share a band and could be that similar by their sizes; each is verified on
-    the full sets. A band's classes are not paired with each other at first: in
-    each round, one class of each bucket is compared with the others that are not
-    yet in its component. As the members of a true group fall into one component,
-    what is left to compare shrinks. Once it is small, or after max_rounds, the
-    last round takes all pairs of a bucket that are in different components, so
-    no candidate goes unchecked if it could still join two components.
+    that share a band; all are verified on the full sets. In buckets of up to
+    SMALL_BUCKET classes the pairs are listed, without repetition, and joined with
+    their sets: at most SMALL_BUCKET rows for each class and band. Classes that
+    meet in larger buckets form a group, which is cut into blocks; each pair of
+    blocks is compared by one matrix product and gives a forest of links, never
+    its pairs.
     """
-    spark = docs.sparkSession
     known = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = scratch.save(known.mapInArrow(_sign(size), "doc_id long, n long, k1 long, k2 long, bands array<long>"), "signed")
     classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
     classes = scratch.save(classes, "classes")
     first = signed.join(classes.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"]).where(F.col("doc_id") == F.col("rep"))
     entries = first.select("rep", "n", F.explode("bands").alias("band"))
-    shared = entries.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("band")
-    entries = scratch.save(entries.join(shared, "band").dropDuplicates(["band", "rep"]), "entries")
+    shared = entries.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high")
+    entries = entries.join(shared.select("band", "low", "rows"), "band").dropDuplicates(["band", "rep"])
+    entries = scratch.save(entries, "entries")
 
     needed = entries.select(F.col("rep").alias("id")).distinct()
     texts = known.where("doc_id IS NOT NULL").join(needed, known["doc_id"] == needed["id"], "left_semi")
     sets = scratch.save(texts.mapInArrow(_sets(size), "id long, items array<long>"), "sets").dropDuplicates(["id"])
 
-    def fits(a: str, b: str):
-        return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-        met = met.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-        return met.select("a", "b", "x", "y").mapInArrow(_agree(percent), "a long, b long")
-
-    nodes = entries.withColumn("comp", F.col("rep"))
-    tried, links, found = None, None, None
-    for turn in range(max_rounds):
-        # open buckets: those whose classes are in more than one component
-        order = F.xxhash64(F.lit(turn), "rep") if turn else F.col("rep")
-        pivot = nodes.groupBy("band").agg(
-            F.min(F.struct(order.alias("o"), "rep", "n", "comp")).alias("p"),
-            F.min("comp").alias("low"),
-            F.max("comp").alias("high"),
-            F.count(F.lit(1)).alias("rows"),
-        ).where("low < high")
-        last = turn == max_rounds - 1 or turn > 0 and _open_pairs(nodes) <= OPEN_PER_CLASS * classes.count()
-        if not last:
-            pairs = nodes.join(pivot.select("band", "p"), "band").where((F.col("comp") != F.col("p.comp")) & fits("n", "p.n"))
-            pairs = pairs.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
-        else:
-            left = nodes.join(pivot.select("band"), "band")
-            other = left.select("band", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-            pairs = left.join(other, "band").where((F.col("rep") < F.col("rep2")) & (F.col("comp") != F.col("comp2")) & fits("n", "n2"))
-            pairs = pairs.select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, f"pairs{turn}")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        good = scratch.save(verify(pairs), f"links{turn}")
-        if not good.isEmpty():
-            links = good if links is None else links.unionByName(good)
-            found = connected(links, scratch, f"turn{turn}")
-            nodes = scratch.save(relabel(entries, found, "rep", "comp"), f"nodes{turn}")
-        if last:
-            break
-    scratch.drop("sets", "entries", *(f"nodes{i}" for i in range(max_rounds)))
-
-    least = classes.withColumn("component_id", F.col("rep"))
-    if found is not None:
-        least = relabel(classes, found, "rep", "component_id")
+    small = entries.where(F.col("rows") <= SMALL_BUCKET)
+    other = small.select("band", F.col("rep").alias("b"), F.col("n").alias("n2"))
+    pairs = small.select("band", F.col("rep").alias("a"), "n").join(other, "band")
+    similar = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
+    pairs = pairs.where((F.col("a") < F.col("b")) & similar).select("a", "b").distinct()
+    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
+    met = met.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+    links = scratch.save(met.select("a", "b", "x", "y").mapInArrow(_agree(percent), "a long, b long"), "links")
+
+    large = entries.where(F.col("rows") > SMALL_BUCKET)
+    if not large.isEmpty():
+        stars = large.where("low < rep").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
+        group = connected(stars, scratch, "groups")
+        members = relabel(large.select("rep", "n").distinct(), group, "rep", "grp")
+        members = scratch.save(members, "members")
+        placed = _block_pairs(members, percent).join(sets.select(F.col("id").alias("rep"), "items"), "rep")
+        forest = placed.groupBy("grp", "c1", "b1", "c2", "b2").applyInArrow(_block_links(percent), "a long, b long")
+        links = links.unionByName(scratch.save(forest, "forest"))
+    found = connected(links, scratch, "found")
+    scratch.drop("sets", "entries")
+
+    least = relabel(classes, found, "rep", "component_id")
     members = signed.where("doc_id IS NOT NULL").join(least.select("k1", "k2", "n", "component_id"), ["k1", "k2", "n"], "left")
     lost = signed.where("doc_id IS NULL").withColumn("component_id", F.lit(None).cast("long"))
     out = members.withColumn("component_id", F.coalesce("component_id", "doc_id")).select("doc_id", "n", "component_id").unionByName(lost.select("doc_id", "n", "component_id"))
