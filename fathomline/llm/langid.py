@@ -188,6 +188,31 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "do
     return docs.select(*rest).mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
+def known_only(docs: DataFrame, model: tuple[list[str], np.ndarray], min_score: float = 0.05, min_letters: int = 20, text: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
+    """docs without rows whose text is null, has no letter or resembles no language of the model.
+
+    The last: min_letters letters or more and a score below min_score, which is less
+    than chance makes of a text in any language learned. A model that has learned
+    nothing rejects only texts without letters. All columns stay as they are.
+    """
+    names, table = model
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(dimensions, seed)
+        for batch in batches:
+            for a, b in blocks(batch[text], BLOCK_BYTES):
+                texts = batch[text][a:b].fill_null("").to_pylist()
+                made, some = coder.vectors(texts)
+                if names:
+                    score = (made @ table.T).max(axis=1)
+                    low = np.flatnonzero(some & (score < min_score))
+                    long = [i for i in low if sum(map(str.isalpha, texts[i])) >= min_letters]
+                    some[long] = False
+                yield batch.slice(a, b - a).filter(pa.array(some))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(key: str = "doc_id", folds: int = 5):
     """Whether a row is kept from training: crc32 of its key as text, modulo folds, is 0. A null key is not."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == 0, F.lit(False))

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.llm import words
@@ -277,3 +277,22 @@ def near_duplicates(
     out = members.withColumn("component_id", F.coalesce("component_id", "doc_id")).select("doc_id", "n", "component_id").unionByName(lost.select("doc_id", "n", "component_id"))
     kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))
     return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+
+
+def deduplicate(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs with one row of each group of near-duplicates, the one with the least key, with all its columns.
+
+    Of rows that share that key the one whose text has the least hash stays. Rows
+    with a null key stay, as do texts without words unless their key is repeated.
+    Only keys are joined: those that go, as they are fewer than those that stay.
+    """
+    found = scratch.save(near_duplicates(docs, scratch, key, text, **options), "kept")
+    gone = found.where("NOT kept").select(F.col(key).alias("_key")).distinct()
+    out = docs.join(gone, docs[key] == gone["_key"], "left_anti")
+    again = found.where(F.col("kept") & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).count().where("count > 1").select("_key")
+    again = scratch.save(again, "again")
+    if again.isEmpty():
+        return out
+    once = out.join(again, out[key] == again["_key"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text), text))
+    return once.unionByName(out.join(again, out[key] == again["_key"], "left_semi").withColumn("_rank", rank).where("_rank = 1").drop("_rank"))
