@@ -100,7 +100,7 @@ def _occurrences(window: int, edge: int):
 
 def _settle(window: int, edge: int):
     """Texts with the edges that repeat in them: what is known, and windows that are to be compared."""
-    names = ["key", "k", "n_words", "n_removed", "sha", "text", "sure", "edges", "windows"]
+    names = ["key", "k", "n_words", "n_removed", "sha", "text", "sure", "edges", "windows", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,7 +114,7 @@ def _settle(window: int, edge: int):
                 rows: dict[str, list] = {n: [] for n in names[3:]}
                 for i in range(len(part)):
                     gone, open_ = np.zeros(count[i], bool), False
-                    sure, ask_edge, ask_window = None, None, None
+                    sure, asked_edges, asked_windows, times = None, None, None, None
                     flags = part["flags"][i]
                     if flags.is_valid:
                         known = np.asarray(flags.values.field("edge")).view(np.uint64)
@@ -128,14 +128,17 @@ def _settle(window: int, edge: int):
                         sure = starts[settled] - w.first[i]
                         gone = _covered(sure, count[i], window)
                         open_ = bool(asked.any())
-                        ask_edge, ask_window = at[asked], all_windows[starts[asked]]
+                        # a window that a text repeats is one row with its count
+                        asked_windows, one, times = np.unique(all_windows[starts[asked]], return_index=True, return_counts=True)
+                        asked_edges = at[asked][one]
                     rows["n_removed"].append(int(gone.sum()))
                     rows["sha"].append(None if open_ else _kept(w, i, gone))
                     rows["text"].append(part["text"][i].as_py() if open_ else None)
                     rows["sure"].append(sure.astype(np.int32) if open_ else None)
-                    rows["edges"].append(ask_edge.view(np.int64) if open_ else None)
-                    rows["windows"].append(ask_window.view(np.int64) if open_ else None)
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                    rows["edges"].append(asked_edges.view(np.int64) if open_ else None)
+                    rows["windows"].append(asked_windows.view(np.int64) if open_ else None)
+                    rows["times"].append(times.astype(np.int32) if open_ else None)
+                kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
                 columns = [part["key"], part["k"], pa.array(count, pa.int64()), *(pa.array(rows[n], t) for n, t in zip(names[3:], kinds))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -184,13 +187,13 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text:
     repeats = degree.where("n > 1").select("edge", (F.col("low") == F.col("high")).alias("simple"))
     flags = found.select("k", "edge").join(repeats, "edge").groupBy("k").agg(F.collect_set(F.struct("edge", "simple")).alias("flags"))
     met = known.join(flags, "k", "left").select("key", "k", "text", "flags")
-    shape = f"key {kind}, k long, n_words long, n_removed long, sha string, text string, sure array<int>, edges array<long>, windows array<long>"
+    shape = f"key {kind}, k long, n_words long, n_removed long, sha string, text string, sure array<int>, edges array<long>, windows array<long>, times array<int>"
     settled = scratch.save(met.mapInArrow(_settle(window, edge), shape), "settled")
 
     asked = settled.where("text IS NOT NULL")
-    pairs = asked.select("k", F.explode(F.arrays_zip("edges", "windows")).alias("x")).select("k", "x.edges", "x.windows")
-    twice = pairs.groupBy("edges", "windows").count().where("count > 1").drop("count")
-    repeated = pairs.join(twice, ["edges", "windows"]).groupBy("k").agg(F.collect_set("windows").alias("repeated"))
+    pairs = asked.select("k", F.explode(F.arrays_zip("edges", "windows", "times")).alias("x")).select("k", "x.*")
+    twice = pairs.groupBy("edges", "windows").agg(F.sum("times").alias("n")).where("n > 1").drop("n")
+    repeated = pairs.drop("times").join(twice, ["edges", "windows"]).groupBy("k").agg(F.collect_set("windows").alias("repeated"))
     rest = asked.select("key", "k", "n_words", "text", "sure").join(repeated, "k", "left").select("key", "n_words", "text", "sure", "repeated")
     rest = rest.mapInArrow(_finish(window), f"key {kind}, n_words long, n_removed long, sha string")
     out = settled.where("text IS NULL").select("key", "n_words", "n_removed", "sha").unionByName(rest)
