@@ -1,29 +1,44 @@
-"""All queries over the driver's tables and their SQL."""
+"""All queries over the given tables and their SQL."""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+_MODULES = ("selection", "rates")
 
-def bounded_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return (
-        orders.where(F.col("o_orderstatus") != "F")
-        .select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score"))
-        .orderBy(F.desc_nulls_last("score"), "id")
-        .offset(50)
-        .limit(100)
-    )
 
+def query(sql: str | None = None):
+    """Register a function under its name, with SQL of the same result if there is any."""
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"bounded_query": bounded_query}
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _load() -> None:
+    for name in _MODULES:
+        importlib.import_module(f"fathomline.plans.{name}")
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "bounded_query": "SELECT o_orderkey AS id, o_totalprice AS score FROM orders WHERE o_orderstatus <> 'F' ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 100 OFFSET 50"
-    }
+    _load()
+    return dict(_SQL)
