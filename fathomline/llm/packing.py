@@ -10,7 +10,7 @@ string, readable by itself:
 Blocks are packed one by one and begin on a byte, so any block can be read by
 itself. Bits are filled from the lowest up; integers are little-endian. On a
 cluster packs are a binary column of Parquet files, which Spark can write to any
-store; ``save`` and ``open`` of the bytes elsewhere work as well.
+store; the bytes can be kept as a file of their own as well.
 """
 
 from __future__ import annotations
@@ -32,9 +32,10 @@ from fathomline.llm.words import BLOCK_BYTES, blocks
 MAGIC, HEADER, BLOCK_IDS = b"FBP1", struct.Struct("<4sIQQII"), 4096
 #: Ids after which a pack is closed, at the end of a document.
 PACK_IDS = 1 << 21
-#: Words whose ids a worker remembers; at that number it starts anew.
-REMEMBERED = 300_000
-_BLANKS = str.maketrans("\t\n\x0b\x0c\r", " " * 5)
+#: Characters that end a word as a piece of their own.
+_MARKS = frozenset(".,;:!?")
+#: Words whose ids a worker remembers; at that number those met once are forgotten.
+REMEMBERED = 200_000
 
 
 def width(n_ids: int) -> int:
@@ -99,59 +100,138 @@ class Pack:
 class Encoder:
     """Encodes texts with the tokenizers library, word by word.
 
-    No token of the vocabularies used here spans ASCII white space, which is
-    dropped, so a text's ids are those of its words in a row; each word is
-    encoded once and then remembered.
+    Where white space is dropped and no token spans it, a text's ids are those of
+    its words in a row; each word is then encoded once and remembered. New words are
+    encoded together, parted by a mark. Of a vocabulary that is not like that whole
+    texts are encoded.
     """
 
+    mark = "\x01"
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # words are remembered here
+        one, two, sign = (self._encode(x) for x in ("Ab", "cd,", self.mark))
+        self.by_word = len(sign) == 1 and self._encode(f" Ab\n {self.mark} cd, ") == one + sign + two
+        self.sign = sign[0] if sign else -1
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, bool)
+        if suffix:
+            self.is_end[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith(suffix)]] = True
+        self._start_anew()
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _start_anew(self) -> None:
         self.row: dict[str, int] = {}
-        self.flat = np.empty(1 << 16, np.uint32)
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(REMEMBERED, np.int64), np.zeros(REMEMBERED, np.int64)
-        self.used = 0
+        self.seen = np.zeros(REMEMBERED, np.int32)
+
+    def forget(self) -> None:
+        """Forget the words that were met once, or all if there are too many others."""
+        words, n = list(self.row), len(self.row)
+        often = np.flatnonzero(self.seen[:n] > 1)
+        start, size, flat = self.start[often], self.size[often], self.flat
+        self._start_anew()
+        if len(often) < REMEMBERED // 2:
+            ends = np.cumsum(size)
+            place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+            self._add([words[i] for i in often.tolist()], flat[place], ends)
+
+    def _add(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Remember words whose ids stand in a row; ends: where those of each word end."""
+        first, n = len(self.row), len(words)
+        while first + n > len(self.start):
+            self.start, self.size, self.seen = (np.append(x, np.zeros(len(x), x.dtype)) for x in (self.start, self.size, self.seen))
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.append(self.flat, np.empty(max(len(self.flat), len(ids)), np.uint32))
+        self.flat[self.used : self.used + len(ids)] = ids
+        size = np.diff(ends, prepend=0)
+        self.start[first : first + n], self.size[first : first + n] = self.used + ends - size, size
+        self.used += len(ids)
+        self.row.update(zip(words, range(first, first + n)))
 
     def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 2048):
-            part = words[at : at + 2048]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                ids, row = e.ids, len(self.row)
-                if row >= len(self.start):
-                    self.start, self.size = (np.append(x, np.zeros(len(x), np.int64)) for x in (self.start, self.size))
-                if self.used + len(ids) > len(self.flat):
-                    self.flat = np.append(self.flat, np.empty(max(len(self.flat), len(ids)), np.uint32))
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.start[row], self.size[row] = self.used, len(ids)
-                self.used += len(ids)
-                self.row[w] = row
+        """Encode and remember words.
+
+        A word of letters is one piece of the pre-tokenizer, with one token that
+        ends it; a mark behind it is one more. Such words need nothing in between.
+        """
+        one, two, other = [], [], []
+        for w in words:
+            if w.isalpha() and "İ" not in w:
+                one.append(w)
+            elif w[:-1].isalpha() and w[-1] in _MARKS and "İ" not in w:
+                two.append(w)
+            else:
+                other.append(w)
+        for n, own in ((1, one), (2, two)):
+            for at in range(0, len(own), 512):
+                part = own[at : at + 512]
+                ids = self._fast(" ".join(part))
+                ends = np.flatnonzero(self.is_end[ids])[n - 1 :: n] + 1
+                if len(ends) == len(part) and ends[-1] == len(ids) and np.count_nonzero(self.is_end[ids]) == n * len(part):
+                    self._add(part, ids, ends)
+                else:
+                    other += part
+        plain = [w for w in other if self.mark not in w]
+        for at in range(0, len(plain), 512):
+            part = plain[at : at + 512]
+            ids = self._fast(f" {self.mark} ".join(part) + f" {self.mark}")
+            marks = np.flatnonzero(ids == self.sign)
+            self._add(part, np.delete(ids, marks), marks - np.arange(len(marks)))
+        for w in other:
+            if self.mark in w:
+                ids = self._fast(w)
+                self._add([w], ids, np.array([len(ids)]))
+
+    def _fast(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def encode(self, texts: list[str], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each with the end id if there is one, and how many each has."""
+        if self.by_word:
+            ids, ends = self._by_word(texts)
+        else:
+            made = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            ids, ends = np.concatenate([np.empty(0, np.uint32), *made]), np.cumsum([len(x) for x in made], dtype=np.int64)
+        lengths = np.diff(ends, prepend=0)
+        if end is not None:
+            ids = np.insert(ids, ends, end)
+            lengths = lengths + 1
+        return ids, lengths
+
+    def _by_word(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.row) >= REMEMBERED:
             self.forget()
-        split = [t.translate(_BLANKS).split(" ") for t in texts]
+        split = [_blanked(t).split(" ") for t in texts]
         words = [w for s in split for w in s]
         new = list(set(words) - self.row.keys())
         self.learn(new)
         rows = np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
+        self.seen[: len(self.row)] += np.bincount(rows, minlength=len(self.row)).astype(np.int32)
         size = self.size[rows]
         total = np.concatenate([[0], np.cumsum(size)])
         place = np.arange(total[-1]) + np.repeat(self.start[rows] - total[:-1], size)
         ids = self.flat[place]
         ends = total[np.cumsum([len(s) for s in split])] if split else np.empty(0, np.int64)
-        lengths = np.diff(ends, prepend=0)
-        if end is not None:
-            ids = np.insert(ids, ends, end)
-            lengths = lengths + 1
         if max(map(len, new), default=0) > 1 << 12:
-            self.forget()  # no use in remembering such words
-        return ids, lengths
+            self._start_anew()  # no use in remembering such words
+        return ids, ends
+
+
+def _blanked(text: str) -> str:
+    """The text with all ASCII white space as blanks."""
+    for c in "\n\t\r\x0b\x0c":
+        if c in text:
+            text = text.replace(c, " ")
+    return text
 
 
 @lru_cache(maxsize=2)
