@@ -22,7 +22,9 @@ from fathomline.llm.words import BLOCK_BYTES, blocks
 DIMENSIONS, SEED = 1024, 7
 UNKNOWN = "und"
 #: Letter vectors and trigram vectors that a worker remembers.
-REMEMBERED_LETTERS, REMEMBERED_TRIGRAMS = 4_096, 20_000
+REMEMBERED_LETTERS, REMEMBERED_TRIGRAMS = 4_096, 16_384
+#: Trigrams that are multiplied at once.
+_PART = 4_096
 _BLANK = 32
 
 
@@ -33,7 +35,7 @@ class Encoder:
         self.dimensions, self.seed = dimensions, seed
         self.letters: dict[int, np.ndarray] = {}
         self.row: dict[int, int] = {}
-        self.table = np.empty((REMEMBERED_TRIGRAMS, dimensions), np.float32)
+        self.table = np.empty((REMEMBERED_TRIGRAMS, dimensions), np.int8)
         self.is_letter = np.zeros(0x110000, np.uint8)  # 0: not looked at yet, 1: no, 2: yes
 
     def letter(self, code: int) -> np.ndarray:
@@ -84,8 +86,8 @@ class Encoder:
         for low in range(0, len(texts), 64):
             a, b = np.searchsorted(own, [low, low + 64])
             kinds, place = np.unique(tri[a:b], return_inverse=True)
-            for at in range(0, len(kinds), REMEMBERED_TRIGRAMS // 2):
-                part = kinds[at : at + REMEMBERED_TRIGRAMS // 2]
+            for at in range(0, len(kinds), _PART):
+                part = kinds[at : at + _PART]
                 inside = (place >= at) & (place < at + len(part))
                 counts = np.zeros((min(64, len(texts) - low), len(part)), np.float32)
                 counts[own[a:b][inside] - low, place[inside] - at] = count[a:b][inside]
@@ -105,7 +107,7 @@ class Encoder:
         for k in missing:
             self.table[len(self.row)] = self.bound(k)
             self.row[k] = len(self.row)
-        return self.table[[self.row[k] for k in listed]]
+        return self.table[[self.row[k] for k in listed]].astype(np.float32)
 
 
 _encoders: dict[tuple[int, int], Encoder] = {}

@@ -1,45 +1,5 @@
-"""Intermediate tables in the shared folder of the cluster.
+"""Intermediate tables in the shared folder of the cluster."""
 
-A table written here survives the loss of any executor, and cuts the lineage of
-what reads it. The folder is ``spark.checkpoint.dir``; only where that is unset
-(tests, a single machine) a temporary folder is made and set.
-"""
+from fathomline.sources.store import Scratch, shared_dir
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-class Scratch:
-    """Tables of one run of one operator, each in a folder of its own."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
-
-    def save(self, df: DataFrame, table: str) -> DataFrame:
-        """Write df and read it again."""
-        df.write.parquet(self.path(table))
-        return self.spark.read.schema(df.schema).parquet(self.path(table))
-
-    def drop(self, *tables: str) -> None:
-        """Delete tables that no later step reads."""
-        jvm = self.spark._jvm
-        for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(table))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["Scratch", "shared_dir"]

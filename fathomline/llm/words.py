@@ -16,7 +16,7 @@ import pyarrow as pa
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are handled in blocks of about so many bytes; one longer text is a block.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -47,7 +47,7 @@ def powers(base: int, n: int) -> np.ndarray:
         out = np.full(size, base, np.uint64)
         out[0] = 1
         np.multiply.accumulate(out, out=out)
-        if size > 4 * BLOCK_BYTES:
+        if size > 8 * BLOCK_BYTES:
             return out
         have = _powers[base] = out
     return have[:n]
