@@ -52,9 +52,12 @@ def unpooled_z(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
     return F.when((n1 > 0) & (n2 > 0) & (se > 0), (p1 - p2) / se).otherwise(F.lit(0.0))
 
 
-@F.pandas_udf("double")
-def two_sided_p(z: pd.Series) -> pd.Series:
-    """p-value of |z|; neither engine has erfc, and this runs on aggregated rows only."""
+def two_sided_p(z: str) -> Column:
+    """p-value of the absolute value of a column; Spark has no erfc, and this runs on aggregated rows only."""
+    return F.pandas_udf(_erfc_p, "double")(z)
+
+
+def _erfc_p(z: pd.Series) -> pd.Series:
     return z.map(lambda x: max(MIN_P, math.erfc(abs(x) / math.sqrt(2.0))))
 
 
