@@ -9,7 +9,9 @@ from fathomline.functions import geo
 from fathomline.plans.registry import query, table
 
 _STEP = "(SELECT conv_id, turn, role, length(text) AS len FROM conversations)"
-_WAY = Window.partitionBy("conv_id").orderBy("turn")
+def _way():
+    return Window.partitionBy("conv_id").orderBy("turn")
+
 
 
 def _steps(spark, sf_dir) -> DataFrame:
@@ -18,13 +20,13 @@ def _steps(spark, sf_dir) -> DataFrame:
 
 @query(f"SELECT conv_id, turn AS u, next_turn AS v, len FROM (SELECT *, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_turn FROM {_STEP}) WHERE next_turn IS NOT NULL")
 def lead_segments(spark, sf_dir):
-    return _steps(spark, sf_dir).withColumn("v", F.lead("turn").over(_WAY)).where("v IS NOT NULL").select("conv_id", F.col("turn").alias("u"), "v", "len")
+    return _steps(spark, sf_dir).withColumn("v", F.lead("turn").over(_way())).where("v IS NOT NULL").select("conv_id", F.col("turn").alias("u"), "v", "len")
 
 
 @query(f"SELECT conv_id, turn, CAST(sum(len) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS distance, CAST(coalesce(sum(len) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS starts_at FROM {_STEP}")
 def cumulative_route(spark, sf_dir):
-    upto = _WAY.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = _WAY.rowsBetween(Window.unboundedPreceding, -1)
+    upto = _way().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = _way().rowsBetween(Window.unboundedPreceding, -1)
     return _steps(spark, sf_dir).select("conv_id", "turn", F.sum("len").over(upto).alias("distance"), F.coalesce(F.sum("len").over(before), F.lit(0)).alias("starts_at"))
 
 
@@ -35,8 +37,8 @@ def cumulative_route(spark, sf_dir):
 def maneuver_islands(spark, sf_dir):
     """Runs of steps in the same state: gaps and islands."""
     state = F.col("len") > 300
-    rows = _steps(spark, sf_dir).withColumn("change", F.when(state == F.lag(state).over(_WAY), 0).otherwise(1))
-    rows = rows.withColumn("island", F.sum("change").over(_WAY.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = _steps(spark, sf_dir).withColumn("change", F.when(state == F.lag(state).over(_way()), 0).otherwise(1))
+    rows = rows.withColumn("island", F.sum("change").over(_way().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return rows.groupBy("conv_id", "island").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count(F.lit(1)).alias("n"), F.sum("len").alias("total"))
 
 
@@ -46,14 +48,14 @@ def maneuver_islands(spark, sf_dir):
 )
 def maneuvers(spark, sf_dir):
     heading = F.col("len") % 360
-    rows = _steps(spark, sf_dir).withColumn("angle", geo.turn(F.lag(heading).over(_WAY).cast("double"), heading.cast("double")).cast("long"))
+    rows = _steps(spark, sf_dir).withColumn("angle", geo.turn(F.lag(heading).over(_way()).cast("double"), heading.cast("double")).cast("long"))
     return rows.where("angle IS NOT NULL").select("conv_id", "turn", "angle", geo.maneuver(F.col("angle")).alias("maneuver"))
 
 
 @query(f"SELECT conv_id, role, len, len - first_value(len) OVER (PARTITION BY conv_id ORDER BY turn) AS delta FROM {_STEP}")
 def profile_deltas(spark, sf_dir):
     """Difference of each alternative from the first one."""
-    return _steps(spark, sf_dir).select("conv_id", "role", "len", (F.col("len") - F.first("len").over(_WAY)).alias("delta"))
+    return _steps(spark, sf_dir).select("conv_id", "role", "len", (F.col("len") - F.first("len").over(_way())).alias("delta"))
 
 
 @query("SELECT event_id, date_trunc('day', ts) AS day, dayofweek(ts) IN (1, 2, 3, 4, 5) AND hour(ts) BETWEEN 8 AND 17 OR (dayofweek(ts) = 6 AND (hour(ts) >= 22)) OR (dayofweek(ts) = 0 AND hour(ts) < 4) AS active FROM events")
