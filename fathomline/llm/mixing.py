@@ -134,16 +134,23 @@ def plan(
     dealt = scratch.save(dealt.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "left", "cut", "draws"), "dealt")
 
     met = rows.join(dealt, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")), "left").drop("_source", "_block")
-    # the one block that a source's partial pass ends in, row by row: take the rows that fit in
-    # permuted order, then fill the gap from the smallest of the others
-    order = Window.partitionBy("source").orderBy("_hash", "key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the one block that a source's partial pass ends in, row by row: take the rows that fit in permuted
+    # order, then fill the gap from the smallest of the others or with the one row nearest to it in size,
+    # whichever comes nearer to the target
+    whole_block = Window.partitionBy("source")
+    order = whole_block.orderBy("_hash", "key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = met.where(F.col("cut")).withColumn("_fits", F.sum("size").over(order) <= F.col("left"))
-    fitting = F.sum(F.when(F.col("_fits"), F.col("size")).otherwise(0)).over(Window.partitionBy("source"))
-    ends = ends.withColumn("_gap", F.col("left") - fitting)
-    fill = Window.partitionBy("source", "_fits").orderBy("size", "_hash", "key").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("_before", F.coalesce(F.sum("size").over(fill), F.lit(0)))
-    kept = F.col("_fits") | (F.col("_before") + F.col("size") / 2 <= F.col("_gap"))
-    ends = ends.withColumn("draws", F.when(kept, F.col("draws")).otherwise(F.slice("draws", 1, F.size("draws") - 1))).drop("_fits", "_gap", "_before")
+    taken = lambda test: F.sum(F.when(test, F.col("size")).otherwise(0)).over(whole_block)
+    ends = ends.withColumn("_gap", F.col("left") - taken(F.col("_fits")))
+    others = Window.partitionBy("source", "_fits")
+    fill = others.orderBy("size", "_hash", "key").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_fill", ~F.col("_fits") & (F.coalesce(F.sum("size").over(fill), F.lit(0)) + F.col("size") / 2 <= F.col("_gap")))
+    off = F.abs(F.col("_gap") - F.col("size"))
+    ends = ends.withColumn("_one", ~F.col("_fits") & (F.row_number().over(others.orderBy(off, "_hash", "key")) == 1) & (off < F.col("_gap")))
+    short = lambda test: F.abs(F.col("_gap") - taken(F.col(test)))
+    ends = ends.withColumn("_single", short("_one") < short("_fill"))
+    kept = F.col("_fits") | F.when(F.col("_single"), F.col("_one")).otherwise(F.col("_fill"))
+    ends = ends.withColumn("draws", F.when(kept, F.col("draws")).otherwise(F.slice("draws", 1, F.size("draws") - 1))).drop("_fits", "_gap", "_fill", "_one", "_single")
     rest = met.where(F.coalesce(~F.col("cut"), F.lit(True)))
     out = rest.unionByName(ends)
     out = out.withColumn("draws", F.coalesce("draws", F.array().cast("array<struct<pass:int,shard:int>>")))
