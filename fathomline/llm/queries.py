@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import bpe, chat, decontaminate, langid, minhash, mixing, packing, quality, sharding, substrings
+from fathomline.llm import bpe, chat, decontaminate, langid, minhash, mixing, packing, quality, sharding, sql, substrings
 from fathomline.llm.store import Scratch
 
 
@@ -50,7 +50,8 @@ def op5_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(_table(spark, sf_dir, "documents"), Scratch(spark, "quality"))
+    out = quality.judge(_table(spark, sf_dir, "documents"), Scratch(spark, "quality"))
+    return out.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op7_budgeted_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_superminhash": sql.NEAR_DUPLICATES, "op6_divergence_rules": sql.QUALITY, "op8_debruijn_repeats": sql.REPEATS}

@@ -462,3 +462,10 @@ def test_pipeline_on_odd_rows(spark, docs, tmp_path):
     rows.limit(0).write.parquet(str(nothing / "documents.parquet"))
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(nothing / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(nothing)).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_against_sql(name, spark, duck):
+    from compare import rows
+
+    assert rows(queries.queries()[name](spark, SF).toPandas()) == rows(duck.sql(queries.oracle_sql()[name]).df())
