@@ -140,3 +140,62 @@ def snapped_nodes(spark, sf_dir):
 
     p = points(spark, sf_dir)
     return graph.snap(p.where("label % 2 = 0").select("id", "x", "y"), p.where("label % 2 = 1").select(F.col("id").alias("node"), "x", "y"), 30.0)
+
+
+PROFILES = {"car": None, "van": 7.0, "lorry": 12.0}
+
+
+@query(
+    "WITH RECURSIVE e AS MATERIALIZED (SELECT u, v, w, p.profile FROM " + _LIMIT + """ CROSS JOIN (VALUES ('car'), ('van'), ('lorry')) p(profile) WHERE p.profile = 'car' OR maxweight IN ('', 'none', '20') OR p.profile = 'van' AND maxweight = '7.5 t'),
+    p AS (SELECT q.profile, c_custkey AS origin, c_custkey AS node, 0::DOUBLE AS cost, 0 AS hops FROM customer CROSS JOIN (VALUES ('car'), ('van'), ('lorry')) q(profile) WHERE c_custkey % 100 = 0
+    UNION ALL SELECT p.profile, p.origin, e.v, p.cost + e.w, p.hops + 1 FROM p JOIN e ON e.u = p.node AND e.profile = p.profile WHERE p.hops < """ + str(HOPS) + """),
+    b AS (SELECT profile, origin, node, min(cost) AS cost FROM p GROUP BY ALL)
+    SELECT x.profile, x.origin, x.node, x.cost, x.cost - f.cost AS delta FROM b x JOIN b f ON f.profile = 'car' AND f.origin = x.origin AND f.node = x.node WHERE x.node % 50 = 0"""
+)
+def profile_compare(spark, sf_dir):
+    """Costs of several vehicles and their difference from the first, by one search: the profile is part of the node."""
+    key = lambda node: F.struct(F.col("profile"), F.col(node).cast("long").alias("node"))
+    rows = _limited(spark, sf_dir).withColumn("limit", limits.weight(F.col("maxweight")))
+    fits = F.filter(F.array(*(F.when(limits.passes(F.col("limit"), need), F.lit(name)) for name, need in PROFILES.items())), lambda x: x.isNotNull())
+    ways = rows.withColumn("profile", F.explode(fits)).select(key("u").alias("u"), key("v").alias("v"), "w")
+    starts = _origins(spark, sf_dir).withColumn("profile", F.explode(F.array(*map(F.lit, PROFILES)))).select(key("origin").alias("origin"), key("node").alias("node"), "start")
+    got = graph.shortest(ways, starts, Scratch(spark, "profiles"), rounds=HOPS).where("node.node % 50 = 0")
+    got = got.select("node.profile", F.col("origin.node").alias("origin"), "node.node", "cost")
+    first = got.where(F.col("profile") == next(iter(PROFILES))).select("origin", "node", F.col("cost").alias("base"))
+    return got.join(first, ["origin", "node"]).select("profile", "origin", "node", "cost", (F.col("cost") - F.col("base")).alias("delta"))
+
+
+@query(
+    f"""WITH ends AS (SELECT way, u AS node FROM {EDGES} UNION SELECT way, v FROM {EDGES}), r AS (SELECT c_custkey AS id, c_nationkey % 11 AS from_way, (c_nationkey + 1) % 11 AS to_way, c_custkey AS via FROM customer)
+    SELECT r.id, EXISTS (SELECT 1 FROM ends e WHERE e.way = r.from_way AND e.node = r.via) AS from_ok, EXISTS (SELECT 1 FROM ends e WHERE e.way = r.to_way AND e.node = r.via) AS to_ok FROM r"""
+)
+def restriction_checks(spark, sf_dir):
+    """Turn relations whose via node is an end of both of their ways."""
+    e = edges(spark, sf_dir)
+    ends = e.select("way", F.col("u").alias("via")).unionByName(e.select("way", F.col("v").alias("via"))).distinct()
+    r = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") % 11).alias("from_way"), ((F.col("c_nationkey") + 1) % 11).alias("to_way"), F.col("c_custkey").alias("via"))
+    side = lambda name, flag: ends.select(F.col("way").alias(name), "via", F.lit(True).alias(flag))
+    met = r.join(side("from_way", "_f"), ["from_way", "via"], "left").join(side("to_way", "_t"), ["to_way", "via"], "left")
+    return met.select("id", F.coalesce("_f", F.lit(False)).alias("from_ok"), F.coalesce("_t", F.lit(False)).alias("to_ok"))
+
+
+@query(
+    f"""SELECT id, CASE WHEN cents % 7 = 0 THEN false WHEN cents % 3 = 0 AND cents % 2 = 0 THEN false WHEN cents % 5 = 0 THEN cents % 2 = 0 ELSE true END AS open,
+    least(CASE WHEN cents % 4 = 0 THEN NULL ELSE 80 END, CASE WHEN cents % 2 = 0 THEN 50 END, CASE WHEN cents % 3 = 0 THEN 30 END) AS kmh, CASE WHEN cents % 3 = 0 THEN 'no' WHEN cents % 2 = 0 THEN 'yes' ELSE 'base' END AS direction FROM {EDGES}"""
+)
+def conditional_rules(spark, sf_dir):
+    """Access, speed and direction under conditions, for a lorry that delivers."""
+    from fathomline.functions import rules
+
+    c = F.col("cents")
+    even, third = c % 2 == 0, c % 3 == 0
+    none = F.lit(None).cast("boolean")
+    access = F.array(
+        F.struct(F.lit("no").alias("mode"), F.lit("hgv").alias("class"), (even & third).alias("active")),
+        F.struct(F.lit("yes").alias("mode"), F.when(even, "delivery").otherwise("taxi").alias("class"), (c % 5 == 0).alias("active")),
+        F.struct(F.lit("no").alias("mode"), F.lit("bus").alias("class"), F.when(c % 7 == 0, none).otherwise(F.lit(False)).alias("active")),
+    )
+    speeds = F.array(F.struct(F.lit(50).alias("kmh"), even.alias("active")), F.struct(F.lit(30).alias("kmh"), third.alias("active")))
+    ways = F.array(F.struct(F.lit("yes").alias("value"), even.alias("active")), F.struct(F.lit("no").alias("value"), third.alias("active")))
+    base = F.when(c % 4 != 0, 80)
+    return edges(spark, sf_dir).select("id", rules.access(access, ["hgv", "delivery"], F.lit(True)).alias("open"), rules.speed(base, speeds).alias("kmh"), rules.oneway(F.lit("base"), ways).alias("direction"))

@@ -238,3 +238,34 @@ def geo_distances(spark, sf_dir):
     p = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("embedding")[0].cast("double") - 7).alias("lon"), (F.col("embedding")[1].cast("double") + 53).alias("lat"))
     at = (F.lit(53.2), F.lit(-7.5), F.col("lat"), F.col("lon"))
     return p.select("id", F.round(geo.haversine(*at), 3).alias("haversine"), F.round(geo.equirect(*at), 3).alias("equirect"))
+
+
+@query(
+    f"""WITH h AS (SELECT a.h AS degree, coalesce(s.n, 0) AS x, coalesce(t.n, 0) AS y FROM (SELECT unnest(range(180)) AS h) a
+    LEFT JOIN (SELECT CAST(floor(round({_ANGLE}, 6)) AS BIGINT) AS h, count(*) AS n FROM {_NN} e JOIN {POINTS} a ON a.id = e.id JOIN {POINTS} b ON b.id = e.id2 GROUP BY 1) s USING (h)
+    LEFT JOIN (SELECT CAST(area % 180 AS BIGINT) AS h, count(*) AS n FROM {POINTS} GROUP BY 1) t USING (h))
+    SELECT round(corr(x, y), 9) AS r, CASE WHEN abs(corr(x, y)) >= 0.40 THEN 'explains' WHEN abs(corr(x, y)) >= 0.15 THEN 'partly' ELSE 'not' END AS verdict FROM h"""
+)
+def histogram_correlation(spark, sf_dir):
+    """Correlation of two histograms by degree, empty degrees included, and what it says."""
+    p = points(spark, sf_dir)
+    e = spatial.nearest(spatial.within(p, _second(p), 60.0).where("id <> id2"), "id", ["d2", "id2"], 2)
+    b = F.round(geo.undirected_bearing(F.col("x2") - F.col("x"), F.col("y2") - F.col("y")), 6)
+    one = e.groupBy(F.floor(b).alias("degree")).agg(F.count(F.lit(1)).alias("x"))
+    two = p.groupBy((F.col("area") % 180).cast("long").alias("degree")).agg(F.count(F.lit(1)).alias("y"))
+    met = spark.range(180).select(F.col("id").alias("degree")).join(one, "degree", "left").join(two, "degree", "left").na.fill(0)
+    out = met.agg(F.corr("x", "y").alias("r"))
+    size = F.abs("r")
+    return out.select(F.round("r", 9).alias("r"), F.when(size >= 0.40, "explains").when(size >= 0.15, "partly").otherwise("not").alias("verdict"))
+
+
+@query(
+    f"""SELECT count(*) AS n, count(*) FILTER (list_bool_or(list_transform([5, 8, 13, 21, 34, 55], lambda f: abs(d - f) / f::DOUBLE <= 0.03))) AS fibonacci, count(*) FILTER (list_bool_or(list_transform([6, 10, 15, 24, 38, 50], lambda f: abs(d - f) / f::DOUBLE <= 0.03))) AS sham
+    FROM (SELECT sqrt({_OTHER}) AS d FROM {_NN} e JOIN {POINTS} a ON a.id = e.id JOIN {POINTS} b ON b.id = e.id2)"""
+)
+def fibonacci_distances(spark, sf_dir):
+    """Distances to neighbours near Fibonacci numbers and near others of the same size."""
+    p = points(spark, sf_dir)
+    e = spatial.nearest(spatial.within(p, _second(p), 60.0).where("id <> id2"), "id", ["d2", "id2"], 2).withColumn("d", F.sqrt("d2"))
+    near = lambda values: F.exists(F.array(*map(F.lit, values)), lambda f: F.abs(F.col("d") - f) / f <= 0.03)
+    return e.agg(F.count(F.lit(1)).alias("n"), F.count_if(near([5, 8, 13, 21, 34, 55])).alias("fibonacci"), F.count_if(near([6, 10, 15, 24, 38, 50])).alias("sham"))
