@@ -20,6 +20,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,10 @@ MAGIC, HEADER, BLOCK_IDS = b"FBP1", struct.Struct("<4sIQQII"), 4096
 PACK_IDS = 1 << 21
 #: Characters that end a word as a piece of their own.
 _MARKS = frozenset(".,;:!?")
+#: Letters whose lower case is more than one letter or depends on its place.
+_ODD = frozenset("\u0130\u03a3")
 #: Words whose ids a worker remembers; at that number those met once are forgotten.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 
 def width(n_ids: int) -> int:
@@ -118,6 +121,7 @@ class Encoder:
         one, two, sign = (self._encode(x) for x in ("Ab", "cd,", self.mark))
         self.by_word = len(sign) == 1 and self._encode(f" Ab\n {self.mark} cd, ") == one + sign + two
         self.sign = sign[0] if sign else -1
+        self.one_case = self._encode("Ab") == self._encode("ab")
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, bool)
         if suffix:
@@ -161,25 +165,22 @@ class Encoder:
         """Encode and remember words.
 
         A word of letters is one piece of the pre-tokenizer, with one token that
-        ends it; a mark behind it is one more. Such words need nothing in between.
+        ends it, in any case if the vocabulary has one case only; a mark behind it is
+        one more piece. So pieces are encoded, many at once, and words made of them.
         """
+        row = self.row
         one, two, other = [], [], []
         for w in words:
-            if w.isalpha() and "İ" not in w:
+            if w.isalpha() and not _ODD.intersection(w):
                 one.append(w)
-            elif w[:-1].isalpha() and w[-1] in _MARKS and "İ" not in w:
+            elif w[:-1].isalpha() and w[-1] in _MARKS and not _ODD.intersection(w):
                 two.append(w)
             else:
                 other.append(w)
-        for n, own in ((1, one), (2, two)):
-            for at in range(0, len(own), 512):
-                part = own[at : at + 512]
-                ids = self._fast(" ".join(part))
-                ends = np.flatnonzero(self.is_end[ids])[n - 1 :: n] + 1
-                if len(ends) == len(part) and ends[-1] == len(ids) and np.count_nonzero(self.is_end[ids]) == n * len(part):
-                    self._add(part, ids, ends)
-                else:
-                    other += part
+        low = str.lower if self.one_case else str
+        pieces = {low(w) for w in one} | {low(w[:-1]) for w in two} | {w[-1] for w in two}
+        other += self._learn_pieces([x for x in pieces if x not in row])
+        other = [w for w in dict.fromkeys(other) if w not in row]  # a word's row is its place in the dictionary
         plain = [w for w in other if self.mark not in w]
         for at in range(0, len(plain), 512):
             part = plain[at : at + 512]
@@ -190,6 +191,33 @@ class Encoder:
             if self.mark in w:
                 ids = self._fast(w)
                 self._add([w], ids, np.array([len(ids)]))
+        one = [w for w in one if w not in row]
+        two = [w for w in two if w not in row]
+        rows = np.fromiter((row[low(w)] for w in one), np.int64, len(one))
+        self._add(one, *self._gather(rows))
+        rows = np.fromiter((row[x] for w in two for x in (low(w[:-1]), w[-1])), np.int64, 2 * len(two))
+        ids, ends = self._gather(rows)
+        self._add(two, ids, ends[1::2])
+
+    def _learn_pieces(self, pieces: list[str]) -> list[str]:
+        """Encode pieces; returns those that did not turn out to be one piece each."""
+        bad = []
+        for at in range(0, len(pieces), 512):
+            part = pieces[at : at + 512]
+            ids = self._fast(" ".join(part))
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                self._add(part, ids, ends)
+            else:
+                bad += part
+        return bad
+
+    def _gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of remembered words in a row, and where those of each end."""
+        size = self.size[rows]
+        ends = np.cumsum(size)
+        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[rows] - (ends - size), size)
+        return self.flat[place], ends
 
     def _fast(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -211,15 +239,15 @@ class Encoder:
         if len(self.row) >= REMEMBERED:
             self.forget()
         split = [_blanked(t).split(" ") for t in texts]
-        words = [w for s in split for w in s]
-        new = list(set(words) - self.row.keys())
-        self.learn(new)
-        rows = np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
+        words = list(chain.from_iterable(split))
+        rows = np.fromiter(map(self.row.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(rows < 0).tolist()
+        new = [words[i] for i in missing]
+        self.learn(list(dict.fromkeys(new)))
+        rows[missing] = np.fromiter(map(self.row.__getitem__, new), np.int64, len(new))
         self.seen[: len(self.row)] += np.bincount(rows, minlength=len(self.row)).astype(np.int32)
-        size = self.size[rows]
-        total = np.concatenate([[0], np.cumsum(size)])
-        place = np.arange(total[-1]) + np.repeat(self.start[rows] - total[:-1], size)
-        ids = self.flat[place]
+        ids, word_ends = self._gather(rows)
+        total = np.concatenate([[0], word_ends])
         ends = total[np.cumsum([len(s) for s in split])] if split else np.empty(0, np.int64)
         if max(map(len, new), default=0) > 1 << 12:
             self._start_anew()  # no use in remembering such words
