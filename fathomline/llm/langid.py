@@ -125,20 +125,19 @@ def train(
 ) -> tuple[list[str], np.ndarray]:
     """Languages and their prototypes, from a bounded sample of the labelled rows.
 
-    Of each language the per_language rows with the least hash of their key are
-    taken (all, if it has fewer). Only that sample is bounded; rows without a label
-    or a letter teach nothing. Each task adds up its rows; the sums, one for each
-    task, language and dimension, are added up by Spark.
+    Of each language about per_language rows are taken (all, if it has fewer): those
+    whose key's hash is below the share of the language's rows that this is. Only
+    that sample is bounded; rows without a label or a letter teach nothing. Each
+    task adds up its rows; the sums, one for each task, language and dimension, are
+    added up by Spark.
     """
-    from pyspark.sql import Window
-
-    ranked = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.xxhash64(F.lit(seed), key).alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "key"))
-    limits = ranked.withColumn("r", rank).where(F.col("r") <= per_language).groupBy("lang").agg(F.max("h").alias("h")).collect()  # one row for each language
-    limit = F.lit(False)
-    for row in limits:
-        limit = limit | ((F.col(lang) == row["lang"]) & (F.xxhash64(F.lit(seed), key) <= row["h"]))
-    sample = labelled.where(limit).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    counts = known.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each language
+    place = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 31))
+    share = F.lit(0)
+    for row in counts:
+        share = F.when(F.col(lang) == row["lang"], F.lit(min(1 << 31, -(-(per_language << 31) // row["n"])))).otherwise(share)
+    sample = known.where(place < share).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, sums = encoder(dimensions, seed), {}
