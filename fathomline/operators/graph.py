@@ -9,6 +9,7 @@ are rows, so neither the graph nor a search has to fit a task.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -37,12 +38,16 @@ def shortest(
     edges: DataFrame,
     origins: DataFrame,
     scratch: Scratch,
-    rounds: int = 50,
+    rounds: int | None = None,
     cost: str = "w",
     step: Callable[[Column], Column] | None = None,
     second: str | None = None,
 ) -> DataFrame:
-    """Labels (origin, node, cost, second, hops, prev) of what can be reached within so many edges.
+    """Labels (origin, node, cost, second, hops, prev) of all that can be reached, or of what so many edges reach.
+
+    Without rounds the search goes on until no label improves, so labels are least
+    costs and those of prev fit them. With rounds a label may be followed by a
+    better one of its prev, so that paths() is not for them.
 
     origins: (origin, node, start), start being the cost to begin with (a departure
     time, if costs are times). step makes a label's cost into that behind an edge
@@ -54,9 +59,11 @@ def shortest(
     known = scratch.save(first, "labels0")
     front = known
     extra = F.col(second).cast("double") if second else F.lit(0.0)
-    ways = edges.select(F.col("u").alias("node"), F.col("v"), *(c for c in edges.columns if c not in ("u", "v")))
+    ways = scratch.save(edges.select(F.col("u").alias("node"), F.col("v"), *(c for c in edges.columns if c not in ("u", "v"))), "ways")
     order = lambda: F.struct("cost", "second", "hops", "prev")
-    for turn in range(1, rounds + 1):
+    # a least path meets no node twice: who still improves after that many edges has negative costs
+    nodes = ways.select("v").distinct().count() if rounds is None else None
+    for turn in itertools.count(1) if rounds is None else range(1, rounds + 1):
         met = front.join(ways, "node")
         after = step(F.col("cost")) if step else F.col("cost") + F.col(cost)
         new = met.select("origin", F.col("v").alias("node"), after.cast("double").alias("cost"), (F.col("second") + extra).alias("second"), (F.col("hops") + 1).alias("hops"), F.col("node").alias("prev"))
@@ -66,6 +73,8 @@ def shortest(
         front = scratch.save(better.select("origin", "node", "new.*"), f"front{turn}")
         if front.isEmpty():
             break
+        if nodes is not None and turn > nodes:
+            raise ValueError(f"labels still improve after {turn} edges in a graph of {nodes} nodes: costs must not be negative")
         rest = known.join(front.select("origin", "node"), ["origin", "node"], "left_anti")
         known = scratch.save(rest.unionByName(front), f"labels{turn}")
         scratch.drop(f"labels{turn - 1}", *([f"front{turn - 1}"] if turn > 1 else []))
@@ -89,12 +98,12 @@ def transitions(edges: DataFrame, banned: DataFrame, only: DataFrame) -> DataFra
     return met.where(ok).select(F.col("from_id").alias("u"), F.col("to_id").alias("v"), "w")
 
 
-def paths(labels: DataFrame, wanted: DataFrame, scratch: Scratch, rounds: int = 50) -> DataFrame:
-    """Node sequences (origin, node, path) of wanted labels, traced back a step a round for all of them together."""
+def paths(labels: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """Node sequences (origin, node, path) of wanted labels, traced back a step a round for all of them together, to the last."""
     back = labels.select("origin", F.col("node").alias("at"), "prev")
     open_ = scratch.save(wanted.select("origin", "node").withColumn("at", F.col("node")).withColumn("path", F.array("node")), "trace0")
     done = None
-    for turn in range(1, rounds + 2):
+    for turn in itertools.count(1):
         met = open_.join(back, ["origin", "at"])
         ended = met.where("prev IS NULL").select("origin", "node", "path")
         ended = scratch.save(ended, f"ended{turn}")

@@ -67,7 +67,7 @@ def status_profile(spark, sf_dir):
 def profile_paths(spark, sf_dir):
     """Paths of the vehicle that the limits let through; the filter reaches the edges before any search."""
     open_ = _limited(spark, sf_dir).where(limits.passes(limits.weight(F.col("maxweight")), 12.0))
-    return graph.shortest(open_.select("u", "v", "w"), _origins(spark, sf_dir), Scratch(spark, "paths"), rounds=HOPS).select("origin", "node", "cost")
+    return graph.shortest(open_.select("u", "v", "w"), _origins(spark, sf_dir), Scratch(spark, "paths")).select("origin", "node", "cost")
 
 
 @query(_paths_sql() + "SELECT a.origin, b.c_custkey AS node, (SELECT min(cost) FROM p WHERE p.origin = a.origin AND p.node = b.c_custkey) AS cost FROM (SELECT DISTINCT origin FROM p) a CROSS JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 100 = 50) b")
@@ -75,7 +75,7 @@ def od_matrix(spark, sf_dir):
     """Costs from each origin to each of the destinations; null where none is reached."""
     o = _origins(spark, sf_dir)
     d = table(spark, sf_dir, "customer").where("c_custkey % 100 = 50").select(F.col("c_custkey").alias("node"))
-    labels = graph.shortest(edges(spark, sf_dir), o, Scratch(spark, "matrix"), rounds=HOPS)
+    labels = graph.shortest(edges(spark, sf_dir), o, Scratch(spark, "matrix"))
     pairs = o.select("origin").crossJoin(d)  # a stated set of pairs
     return pairs.join(labels.select("origin", "node", "cost"), ["origin", "node"], "left")
 
@@ -85,7 +85,7 @@ def route_segments(spark, sf_dir):
     """Paths as node sequences, a segment a row, with the running cost; tested against a plain search."""
     scratch = Scratch(spark, "route")
     e = edges(spark, sf_dir)
-    labels = graph.shortest(e, _origins(spark, sf_dir), scratch, rounds=HOPS)
+    labels = graph.shortest(e, _origins(spark, sf_dir), scratch)
     traced = graph.paths(labels, labels.where(F.col("hops") == HOPS), Scratch(spark, "trace"))
     return traced.join(labels.select("origin", "node", "cost", "hops"), ["origin", "node"])
 
@@ -101,7 +101,7 @@ def restricted_turns(spark, sf_dir):
     make = lambda a, b: nodes.select(F.lit(a).cast("long").alias("from_way"), "via", F.lit(b).cast("long").alias("to_way"))
     turns = graph.transitions(e, make(5, 6).unionByName(make(5, 7)), make(3, 4))
     start = e.where("id % 150 = 0").select(F.col("id").alias("origin"), F.col("id").alias("node"), F.col("w").alias("start"))
-    return graph.shortest(turns, start, Scratch(spark, "turns"), rounds=5).select("origin", "node", "cost")
+    return graph.shortest(turns, start, Scratch(spark, "turns")).select("origin", "node", "cost")
 
 
 @query()
@@ -109,7 +109,7 @@ def timed_paths(spark, sf_dir):
     """Earliest arrivals: every third edge is a ferry that leaves at full quarters of an hour; waiting is part of the cost."""
     e = edges(spark, sf_dir).withColumn("ferry", F.col("cents") % 3 == 0)
     wait = lambda t: F.when(F.col("ferry"), F.ceil(t / 900) * 900).otherwise(t) + F.col("w")
-    return graph.shortest(e, _origins(spark, sf_dir), Scratch(spark, "timed"), rounds=HOPS, step=wait).select("origin", "node", F.col("cost").alias("arrival"), "hops")
+    return graph.shortest(e, _origins(spark, sf_dir), Scratch(spark, "timed"), step=wait).select("origin", "node", F.col("cost").alias("arrival"), "hops")
 
 
 @query(f"SELECT count(*) AS edges, count(DISTINCT u) AS nodes, CAST(sum(w) AS BIGINT) AS length, max(w) AS longest, count(DISTINCT way) AS ways FROM {EDGES}")
@@ -159,7 +159,7 @@ def profile_compare(spark, sf_dir):
     fits = F.filter(F.array(*(F.when(limits.passes(F.col("limit"), need), F.lit(name)) for name, need in PROFILES.items())), lambda x: x.isNotNull())
     ways = rows.withColumn("profile", F.explode(fits)).select(key("u").alias("u"), key("v").alias("v"), "w")
     starts = _origins(spark, sf_dir).withColumn("profile", F.explode(F.array(*map(F.lit, PROFILES)))).select(key("origin").alias("origin"), key("node").alias("node"), "start")
-    got = graph.shortest(ways, starts, Scratch(spark, "profiles"), rounds=HOPS).where("node.node % 50 = 0")
+    got = graph.shortest(ways, starts, Scratch(spark, "profiles")).where("node.node % 50 = 0")
     got = got.select("node.profile", F.col("origin.node").alias("origin"), "node.node", "cost")
     first = got.where(F.col("profile") == next(iter(PROFILES))).select("origin", "node", F.col("cost").alias("base"))
     return got.join(first, ["origin", "node"]).select("profile", "origin", "node", "cost", (F.col("cost") - F.col("base")).alias("delta"))
