@@ -86,7 +86,7 @@ def route_segments(spark, sf_dir):
     scratch = Scratch(spark, "route")
     e = edges(spark, sf_dir)
     labels = graph.shortest(e, _origins(spark, sf_dir), scratch)
-    traced = graph.paths(labels, labels.where(F.col("hops") == HOPS), Scratch(spark, "trace"))
+    traced = graph.paths(labels, labels, Scratch(spark, "trace"))
     return traced.join(labels.select("origin", "node", "cost", "hops"), ["origin", "node"])
 
 
@@ -159,7 +159,7 @@ def profile_compare(spark, sf_dir):
     fits = F.filter(F.array(*(F.when(limits.passes(F.col("limit"), need), F.lit(name)) for name, need in PROFILES.items())), lambda x: x.isNotNull())
     ways = rows.withColumn("profile", F.explode(fits)).select(key("u").alias("u"), key("v").alias("v"), "w")
     starts = _origins(spark, sf_dir).withColumn("profile", F.explode(F.array(*map(F.lit, PROFILES)))).select(key("origin").alias("origin"), key("node").alias("node"), "start")
-    got = graph.shortest(ways, starts, Scratch(spark, "profiles")).where("node.node % 50 = 0")
+    got = graph.shortest(ways, starts, Scratch(spark, "profiles"))
     got = got.select("node.profile", F.col("origin.node").alias("origin"), "node.node", "cost")
     first = got.where(F.col("profile") == next(iter(PROFILES))).select("origin", "node", F.col("cost").alias("base"))
     return got.join(first, ["origin", "node"]).select("profile", "origin", "node", "cost", (F.col("cost") - F.col("base")).alias("delta"))

@@ -110,3 +110,16 @@ def test_negative_circle(spark):
     e = spark.createDataFrame([(0, 1, -1.0), (1, 0, -1.0)], "u long, v long, w double")
     with pytest.raises(ValueError):
         graph.shortest(e, spark.createDataFrame([(0, 0, 0.0)], "origin long, node long, start double"), Scratch(spark, "circle"))
+
+
+def test_profile_compare_whole(spark, sf_dir):
+    rows = graphs.edges(spark, sf_dir).collect()
+    best = {p: expected(spark, sf_dir, _open(rows, p)) for p in graphs.PROFILES}
+    got = QUERIES["profile_compare"](spark, sf_dir).collect()
+    assert {(r["profile"], r["origin"], r["node"]) for r in got} == {(p, *pair) for p, found in best.items() for pair in found}
+
+
+def test_route_segments_whole(spark, sf_dir):
+    best = expected(spark, sf_dir, leaving(graphs.edges(spark, sf_dir).collect()))
+    got = QUERIES["route_segments"](spark, sf_dir).collect()
+    assert len(got) == len(best) and {(r["origin"], r["node"]) for r in got} == set(best)
