@@ -61,7 +61,7 @@ def permutation_p(spark, sf_dir):
 
 @query("SELECT o_custkey AS u, o_orderkey AS v, 'forward' AS kind FROM orders WHERE o_orderkey <= 3000 UNION ALL SELECT o_orderkey, o_custkey, 'backward' FROM orders WHERE o_orderkey <= 3000 UNION ALL SELECT l_orderkey, l_partkey, 'ferry' FROM lineitem WHERE l_orderkey <= 500")
 def union_edges(spark, sf_dir):
-    o, li = table(spark, sf_dir, "orders").where("o_orderkey <= 3000"), table(spark, sf_dir, "lineitem").where("l_orderkey <= 500")
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     edges = o.select(F.col("o_custkey").alias("u"), F.col("o_orderkey").alias("v"), F.lit("forward").alias("kind"))
     edges = edges.unionByName(o.select(F.col("o_orderkey").alias("u"), F.col("o_custkey").alias("v"), F.lit("backward").alias("kind")))
     return edges.unionByName(li.select(F.col("l_orderkey").alias("u"), F.col("l_partkey").alias("v"), F.lit("ferry").alias("kind")))

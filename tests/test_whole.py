@@ -123,3 +123,31 @@ def test_route_segments_whole(spark, sf_dir):
     best = expected(spark, sf_dir, leaving(graphs.edges(spark, sf_dir).collect()))
     got = QUERIES["route_segments"](spark, sf_dir).collect()
     assert len(got) == len(best) and {(r["origin"], r["node"]) for r in got} == set(best)
+
+
+def test_holm_adjust_above_4000(spark, duck, tmp_path):
+    duck.sql(f"COPY (SELECT * REPLACE (o_orderkey + 5000 AS o_orderkey) FROM orders) TO '{tmp_path}/orders.parquet'")
+    families = {}
+    for key, price in duck.sql("SELECT o_orderkey + 5000, o_totalprice FROM orders").fetchall():
+        families.setdefault(key % 40, []).append((round(price * 100) % 1000 / 10000, key))
+    expected = {}
+    for family in families.values():
+        most = 0.0
+        for k, (p, key) in enumerate(sorted(family)):
+            most = max(most, (len(family) - k) * max(p, 1e-300))
+            expected[key] = min(1.0, most)
+    got = {r["id"]: r["p_adjusted"] for r in QUERIES["holm_adjust"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(expected, abs=1e-11)
+
+
+def test_union_edges_all(spark, sf_dir, duck):
+    o = duck.sql("SELECT o_custkey, o_orderkey FROM orders").fetchall()
+    expected = [(c, k, "forward") for c, k in o] + [(k, c, "backward") for c, k in o]
+    expected += [(k, p, "ferry") for k, p in duck.sql("SELECT l_orderkey, l_partkey FROM lineitem").fetchall()]
+    assert sorted(map(tuple, QUERIES["union_edges"](spark, sf_dir).collect())) == sorted(expected)
+
+
+def test_references_by_two_keys_all(spark, sf_dir, duck):
+    c, s = duck.sql("SELECT c_custkey, c_nationkey, c_name FROM customer").fetchall(), duck.sql("SELECT s_suppkey, s_nationkey, s_name FROM supplier").fetchall()
+    expected = [(a[0], "account", a[2]) for a in c for b in s if a[0] == b[0]] + [(a[0], "nation", b[2]) for a in c for b in s if a[1] == b[1]]
+    assert sorted(map(tuple, QUERIES["references_by_two_keys"](spark, sf_dir).collect())) == sorted(expected)
