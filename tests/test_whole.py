@@ -3,7 +3,7 @@
 import heapq
 
 from fathomline.operators import graph
-from fathomline.plans import graphs, registry
+from fathomline.plans import graphs, registry, spatial
 from fathomline.sources.store import Scratch
 
 import pytest
@@ -151,3 +151,55 @@ def test_references_by_two_keys_all(spark, sf_dir, duck):
     c, s = duck.sql("SELECT c_custkey, c_nationkey, c_name FROM customer").fetchall(), duck.sql("SELECT s_suppkey, s_nationkey, s_name FROM supplier").fetchall()
     expected = [(a[0], "account", a[2]) for a in c for b in s if a[0] == b[0]] + [(a[0], "nation", b[2]) for a in c for b in s if a[1] == b[1]]
     assert sorted(map(tuple, QUERIES["references_by_two_keys"](spark, sf_dir).collect())) == sorted(expected)
+
+
+@pytest.fixture(scope="module")
+def shapes(spark, sf_dir):
+    """All points and a box (id, x0, y0, x1, y1) of each of them."""
+    p = spatial.points(spark, sf_dir).collect()
+    half = {r["id"]: r["area"] % 40 + 5 for r in p}
+    return p, [(r["id"], r["x"] - half[r["id"]], r["y"] - half[r["id"]], r["x"] + half[r["id"]] + 7, r["y"] + half[r["id"]]) for r in p]
+
+
+def _in(p, b):
+    return b[1] <= p["x"] <= b[3] and b[2] <= p["y"] <= b[4]
+
+
+def test_contain_else_near_all(spark, sf_dir, shapes):
+    p, boxes = shapes
+    expected = {}
+    for b in boxes:
+        met = []
+        for r in p:
+            d2 = (r["x"] - (b[1] + b[3]) / 2) ** 2 + (r["y"] - (b[2] + b[4]) / 2) ** 2
+            if r["label"] % 3 == 0 and (_in(r, b) or d2 <= 2500):
+                met.append((0 if _in(r, b) else 1, d2, r["id"]))
+        if met:
+            expected[b[0]] = min(met)
+    assert {r["id"]: (r["mode"], r["d2"], r["pid"]) for r in QUERIES["contain_else_near"](spark, sf_dir).collect()} == expected
+
+
+def test_point_in_first_feature_all(spark, sf_dir, shapes):
+    p, boxes = shapes
+    expected = {r["id"]: min((b[0] for b in boxes if _in(r, b)), default=None) for r in p}
+    assert {r["id"]: r["seq"] for r in QUERIES["point_in_first_feature"](spark, sf_dir).collect()} == expected
+
+
+def test_parts_in_footprint_all(spark, sf_dir, shapes):
+    p, boxes = shapes
+    inside = {b[0]: [r["area"] for r in p if _in(r, b)] for b in boxes}
+    expected = {i: (len(areas), sum(areas), max(areas)) for i, areas in inside.items() if areas}
+    assert {r["id"]: (r["n"], r["area"], r["highest"]) for r in QUERIES["parts_in_footprint"](spark, sf_dir).collect()} == expected
+
+
+def test_nearest_line_all(spark, sf_dir, shapes):
+    p, boxes = shapes
+    expected = {}
+    for r in p:
+        far = []
+        for _, ax, ay, bx, by in boxes:
+            t = max(0.0, min(1.0, ((r["x"] - ax) * (bx - ax) + (r["y"] - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+            far.append(((r["x"] - ax - t * (bx - ax)) ** 2 + (r["y"] - ay - t * (by - ay)) ** 2) ** 0.5)
+        if min(far) <= 40:
+            expected[r["id"]] = min(far)
+    assert {r["id"]: r["distance"] for r in QUERIES["nearest_line"](spark, sf_dir).collect()} == pytest.approx(expected, abs=1e-6)
