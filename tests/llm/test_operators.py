@@ -56,9 +56,9 @@ def sets_of(text, k):
 
 
 def components_of(rows, k, percent):
-    """Plain version: every pair of rows, rows of one key being one node."""
-    sets = [(i, sets_of(t, k)) for i, t in rows if i is not None]
-    parent = {i: i for i, _ in sets}
+    """Plain version: every pair of texts; for each row with a key, the least key that its text's links lead to."""
+    sets = [(i, sets_of(t, k)) for i, t in rows]
+    parent = list(range(len(sets)))
 
     def find(x):
         while parent[x] != x:
@@ -66,22 +66,23 @@ def components_of(rows, k, percent):
         return x
 
     for n, (i, a) in enumerate(sets):
-        for j, b in sets[:n]:
+        for m, (j, b) in enumerate(sets[:n]):
             both = len(a & b)
-            if i != j and both and 100 * both >= percent * (len(a) + len(b) - both):
-                x, y = find(i), find(j)
+            if i is not None and j is not None and both and 100 * both >= percent * (len(a) + len(b) - both):
+                x, y = find(n), find(m)
                 parent[max(x, y)] = min(x, y)
-    return {i: find(i) for i in parent}
+    least = {}
+    for n, (i, _) in enumerate(sets):
+        if i is not None:
+            least[find(n)] = min(i, least.get(find(n), i))
+    return [None if i is None else least[find(n)] for n, (i, _) in enumerate(sets)]
 
 
 def test_near_duplicates(spark, docs, empty):
     got = minhash.near_duplicates(docs, Scratch(spark, "t"), size=4).collect()
     expected = components_of([r[:2] for r in edge_rows()], 4, 80)
-    assert len(got) == len(edge_rows())
-    for r in got:
-        assert r["component_id"] == (expected[r["doc_id"]] if r["doc_id"] is not None else None)
-        assert r["kept"] == (r["doc_id"] is None or r["component_id"] == r["doc_id"])
-    assert expected[3] == 1 and expected[2] == 1
+    same_multiset([(r["doc_id"], r["component_id"], r["kept"]) for r in got], [(r[0], c, r[0] is None or c == r[0]) for r, c in zip(edge_rows(), expected)])
+    assert expected[1] == expected[2] == expected[3] == 1
     assert minhash.near_duplicates(empty, Scratch(spark, "t")).collect() == []
 
 
@@ -95,7 +96,49 @@ def test_large_groups_of_near_copies(spark):
             w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
         rows.append((i * 3, " ".join(w[: rng.randint(90, 150)] if rng.random() < 0.3 else w)))
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t"), size=4).collect()}
-    assert got == components_of(rows, 4, 80) and len(set(got.values())) > 20
+    assert [got[i] for i, _ in rows] == components_of(rows, 4, 80) and len(set(got.values())) > 20
+
+
+class Counting(Scratch):
+    """Counts the rows of all tables saved."""
+
+    rows = 0
+
+    def save(self, df, table):
+        out = super().save(df, table)
+        self.rows += out.count()
+        return out
+
+
+def test_work_grows_with_a_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "_block_pairs", lambda members, percent, plain=minhash._block_pairs: made.save(plain(members, percent), "placed"))
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+    counts = {}
+    for n in (600, 2400):
+        rows = [(0, " ".join(base))]
+        for i in range(1, n):
+            w = list(base)
+            for _ in range(rng.choice([1, 2, 3, 3, 30])):
+                w[rng.randrange(150)] = f"x{rng.randrange(10**9)}"
+            rows.append((i, " ".join(w)))
+        made = Counting(spark, "t")
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), made, size=4).collect()
+        assert sum(r["component_id"] == 0 for r in got) > 0.7 * n
+        counts[n] = made.rows
+    assert counts[2400] < 4.4 * counts[600]
+
+
+def test_repeated_keys_have_the_groups_of_their_texts(spark):
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(1, a), (3, a), (3, b), (5, c), (5, c + " more"), (7, b + " b"), (2, None), (2, ""), (9, c)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_duplicates(table, Scratch(spark, "t"), size=4).collect()
+    same_multiset([(r["doc_id"], r["component_id"]) for r in got], list(zip((r[0] for r in rows), components_of(rows, 4, 80))))
+    kept = [tuple(r) for r in minhash.deduplicate(table, Scratch(spark, "t"), size=4).collect()]
+    assert Counter(t for _, t in kept if t) in (Counter([a, b, c]), Counter([a, b, c + " more"])) and len(kept) == 5
+    assert {i for i, t in kept if t} == {1, 3, 5}
 
 
 def test_superminhash_estimates_and_permutes():
@@ -115,7 +158,7 @@ def test_deduplicate_keeps_one_of_each(spark, docs):
     assert got.columns == docs.columns
     ids = Counter(r["doc_id"] for r in got.select("doc_id").collect())
     expected = components_of([r[:2] for r in edge_rows()], 4, 80)
-    assert ids == Counter({i: 1 for i, c in expected.items() if i == c}) + Counter({None: 2})
+    assert ids == Counter({r[0]: 1 for r, c in zip(edge_rows(), expected) if r[0] == c and r[0] is not None}) + Counter({None: 2})
 
 
 def test_components_with_many_tasks(spark, monkeypatch):
@@ -445,8 +488,8 @@ def test_pipeline(spark):
         assert now.columns == docs.columns
         kept.append({r["doc_id"] for r in now.select("doc_id").collect()})
     assert len(kept[0]) == docs.count() and len(kept[1]) < len(kept[0]) and kept[2] < kept[1] and kept[3] <= kept[2]
-    expected = components_of([tuple(r) for r in docs.select("doc_id", "text").collect()], 5, 80)
-    assert kept[1] == {i for i, c in expected.items() if i == c}
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    assert kept[1] == {r[0] for r, c in zip(rows, components_of(rows, 5, 80)) if r[0] == c}
     leaked = {r["doc_id"] for r in decontaminate.contaminated(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert kept[2] == kept[1] - leaked and leaked & kept[1]
     assert corpus_pipeline.run(spark, SF).count() == now.count()
