@@ -380,24 +380,57 @@ def test_chat(spark):
 # 8
 
 
-def test_repeats(spark, docs, empty):
-    got = substrings.remove_repeats(docs, Scratch(spark, "t"), window=35).collect()
+def plain_repeats(rows, window):
     counts, texts = Counter(), []
-    for i, t, *_ in edge_rows():
+    for i, t in rows:
         w = WORD.findall(t or "")
         texts.append((i, w))
-        counts.update(tuple(w[j : j + 35]) for j in range(len(w) - 34))
+        counts.update(tuple(w[j : j + window]) for j in range(len(w) - window + 1))
     expected = []
     for i, w in texts:
         gone = np.zeros(len(w), bool)
-        for j in range(len(w) - 34):
-            if counts[tuple(w[j : j + 35])] > 1:
-                gone[j : j + 35] = True
+        for j in range(len(w) - window + 1):
+            if counts[tuple(w[j : j + window])] > 1:
+                gone[j : j + window] = True
         kept = " ".join(x for x, g in zip(w, gone) if not g)
         expected.append((i, len(w), int(gone.sum()), hashlib.sha256(kept.encode()).hexdigest()))
+    return expected
+
+
+def test_repeats(spark, docs, empty):
+    got = substrings.remove_repeats(docs, Scratch(spark, "t"), window=35).collect()
+    expected = plain_repeats([r[:2] for r in edge_rows()], 35)
     same_multiset([tuple(r) for r in got], expected)
     assert sum(e[2] > 0 for e in expected) >= 7
     assert substrings.remove_repeats(empty, Scratch(spark, "t")).collect() == []
+    with pytest.raises(ValueError):
+        substrings.remove_repeats(docs, Scratch(spark, "t"), window=5, edge=6)
+
+
+def branching_rows(seed):
+    """Texts cut from few passages with changes, so that paths branch, end, cross and repeat in one text."""
+    rng = random.Random(seed)
+    passages = [[rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(20, 120))] for _ in range(5)]
+    rows = []
+    for i in range(150):
+        w = []
+        for _ in range(rng.randint(1, 4)):
+            p = rng.choice(passages)
+            a = rng.randrange(len(p))
+            w += p[a : a + rng.randint(5, 90)]
+            if rng.random() < 0.5:
+                w.append(rng.choice("xyz"))
+        rows.append((i, rng.choice([" ", "\n", "  "]).join(w)))
+    return rows + [(i, rows[0][1]) for i in range(200, 230)] + [(300, "a " * 500), (301, "a " * 77), (302, "a b " * 60), (303, " ".join(passages[0]))]
+
+
+@pytest.mark.parametrize(("window", "edge", "bits"), [(35, 12, 64), (35, 8, 64), (20, 20, 64), (12, 3, 64), (35, 12, 9), (20, 5, 6)])
+def test_repeats_with_branches_and_colliding_hashes(spark, window, edge, bits):
+    rows = branching_rows(window + edge)
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), Scratch(spark, "t"), window=window, edge=edge, bits=bits).collect()
+    expected = plain_repeats(rows, window)
+    same_multiset([tuple(r) for r in got], expected)
+    assert 0.1 < sum(e[2] for e in expected) / sum(e[1] for e in expected) < 0.999
 
 
 # 9
