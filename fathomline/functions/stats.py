@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -61,14 +62,20 @@ def _erfc_p(z: pd.Series) -> pd.Series:
     return z.map(lambda x: max(MIN_P, math.erfc(abs(x) / math.sqrt(2.0))))
 
 
-def holm(df: DataFrame, p: str, family: list[str], order: list[str], name: str = "p_adjusted") -> DataFrame:
-    """Add Holm-adjusted p-values within each family; order breaks ties."""
-    ranked = Window.partitionBy(*family).orderBy(F.col(p), *order)
-    upto = ranked.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def holm(df: DataFrame, p: str, family: list[str], name: str = "p_adjusted") -> DataFrame:
+    """Add Holm-adjusted p-values within each family.
+
+    Equal values have one result, so values are counted before they are put in order:
+    a task orders the distinct values of a family.
+    """
+    counts = df.groupBy(*family, p).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*family).orderBy(p).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = F.sum("_n").over(Window.partitionBy(*family)) - F.sum("_n").over(upto) + F.col("_n")  # those from this value on
     value = F.least(F.lit(1.0), F.greatest(F.lit(MIN_P), F.col(p)))
-    out = df.withColumn("_k", F.row_number().over(ranked)).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(*family)))
-    step = (F.col("_m") - F.col("_k") + 1) * value
-    return out.withColumn("_s", step).withColumn(name, F.least(F.lit(1.0), F.max("_s").over(upto))).drop("_k", "_m", "_s")
+    counts = counts.withColumn("_s", left * value).withColumn(name, F.least(F.lit(1.0), F.max("_s").over(upto)))
+    other = counts.select(*(F.col(c).alias(f"_{c}") for c in (*family, p)), name)
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*family, p)))
+    return df.drop(name).join(other, same).select(*(c for c in df.columns if c != name), name)
 
 
 def verdict(p_adjusted: Column, direction: Column) -> Column:
