@@ -2,15 +2,18 @@
 
 Labels (origin, node, cost, ...) spread by rounds: the labels that the last round
 improved are joined with the edges that leave their nodes, the best new label of
-each origin and node is kept, and those that beat the label held go on. A round is
-one join and one aggregation, and is written before the next. Nodes and origins
-are rows, so neither the graph nor a search has to fit a task.
+each origin and node is kept, and those that beat the label held go on. A round
+writes only labels that improved; once these outnumber the others all are merged,
+so a label is written a number of times that grows with the logarithm of the
+search. Nodes and origins are rows, so neither the graph nor a search has to fit a
+task.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +45,11 @@ def shortest(
     cost: str = "w",
     step: Callable[[Column], Column] | None = None,
     second: str | None = None,
+    state: tuple[Column, Column] | None = None,
+    passes: Column | None = None,
+    least: float | None = None,
 ) -> DataFrame:
-    """Labels (origin, node, cost, second, hops, prev) of all that can be reached, or of what so many edges reach.
+    """Labels (origin, node, state, cost, second, hops, prev, prev_state) of all that can be reached, or of what so many edges reach.
 
     Without rounds the search goes on until no label improves, so labels are least
     costs and those of prev fit them. With rounds a label may be followed by a
@@ -51,34 +57,89 @@ def shortest(
 
     origins: (origin, node, start), start being the cost to begin with (a departure
     time, if costs are times). step makes a label's cost into that behind an edge
-    (default: plus the edge's cost), which must not make a later arrival earlier.
-    second is a further quantity that is summed and breaks ties of cost, as do
-    fewer edges and the lesser node before. Costs must not be negative.
+    (default: plus the edge's cost). second is a further quantity that is summed and
+    breaks ties of cost, as do fewer edges and the lesser node before. Costs must not
+    be negative.
+
+    state: what a search has to remember of its way (a ferry it is on, rules half
+    met), at the start and behind an edge; step, state and passes (whether an edge may
+    be taken) may use the label's columns state and cost and those of the edge. Nodes
+    are then labelled once for each state. least: the least that any edge costs. With
+    it, labels go on in the order of their costs, as those within ``least`` of the
+    lowest can't be improved any more; that is needed where a later arrival may find
+    open what an earlier one finds closed. Else step and passes must not make a later
+    arrival earlier.
     """
-    first = origins.select("origin", "node", F.col("start").cast("double").alias("cost"), F.lit(0.0).alias("second"), F.lit(0).alias("hops"), F.lit(None).cast(edges.schema["u"].dataType).alias("prev"))
-    known = scratch.save(first, "labels0")
-    front = known
+    key = ["origin", "node", "state"]
+    begin, after_state = state or (F.lit(0), F.col("state"))
+    none = F.lit(None).cast(edges.schema["u"].dataType)
+    first = origins.select("origin", "node", begin.alias("state"), F.col("start").cast("double").alias("cost"), F.lit(0.0).alias("second"), F.lit(0).alias("hops"), none.alias("prev"))
+    first = first.withColumn("prev_state", F.when(F.lit(False), F.col("state")))
+    base, size = scratch.save_counted(first, "labels0")
+    deltas: list[DataFrame] = []
+    grown, front = 0, base
     extra = F.col(second).cast("double") if second else F.lit(0.0)
     ways = scratch.save(edges.select(F.col("u").alias("node"), F.col("v"), *(c for c in edges.columns if c not in ("u", "v"))), "ways")
-    order = lambda: F.struct("cost", "second", "hops", "prev")
+    order = F.struct("cost", "second", "hops", "prev", "prev_state")
+    best = lambda rows, name="new": rows.groupBy(*key).agg(F.min(order).alias(name))
     # a least path meets no node twice: who still improves after that many edges has negative costs
-    nodes = ways.select("v").distinct().count() if rounds is None else None
+    nodes = ways.select("v").distinct().count() if rounds is None and state is None and least is None else None
     for turn in itertools.count(1) if rounds is None else range(1, rounds + 1):
-        met = front.join(ways, "node")
+        now, later = front, None
+        if least is not None:
+            low = front.groupBy("origin").agg(F.min("cost").alias("_low"))
+            parted = front.join(low, "origin").withColumn("_now", F.col("cost") < F.col("_low") + least)
+            now, later = parted.where("_now").drop("_low", "_now"), parted.where("NOT _now").drop("_low", "_now")
+        met = now.join(ways, "node")
+        met = met if passes is None else met.where(F.coalesce(passes, F.lit(False)))
         after = step(F.col("cost")) if step else F.col("cost") + F.col(cost)
-        new = met.select("origin", F.col("v").alias("node"), after.cast("double").alias("cost"), (F.col("second") + extra).alias("second"), (F.col("hops") + 1).alias("hops"), F.col("node").alias("prev"))
-        new = new.where("cost IS NOT NULL").groupBy("origin", "node").agg(F.min(order()).alias("new"))
-        held = known.select("origin", "node", order().alias("old"))
-        better = new.join(held, ["origin", "node"], "left").where(F.col("old").isNull() | (F.struct("new.cost", "new.second") < F.struct("old.cost", "old.second")))
-        front = scratch.save(better.select("origin", "node", "new.*"), f"front{turn}")
-        if front.isEmpty():
-            break
+        new = met.select(
+            "origin", F.col("v").alias("node"), after_state.alias("state"), after.cast("double").alias("cost"), (F.col("second") + extra).alias("second"), (F.col("hops") + 1).alias("hops"), F.col("node").alias("prev"), F.col("state").alias("prev_state")
+        )
+        held = best(reduce(DataFrame.unionByName, deltas, base), "old")
+        better = best(new.where("cost IS NOT NULL")).join(held, key, "left").where(F.col("old").isNull() | (F.struct("new.cost", "new.second") < F.struct("old.cost", "old.second")))
+        found, n = scratch.save_counted(better.select(*key, "new.*"), f"found{turn}")
+        if n:
+            deltas.append(found)
+            grown += n
+        if later is None:
+            front = found
+            if not n:
+                break
+        else:
+            # of a label that waits and one that beats it only the better goes on
+            front, waiting = scratch.save_counted(best(later.unionByName(found)).select(*key, "new.*"), f"front{turn}")
+            if not waiting:
+                break
         if nodes is not None and turn > nodes:
             raise ValueError(f"labels still improve after {turn} edges in a graph of {nodes} nodes: costs must not be negative")
-        rest = known.join(front.select("origin", "node"), ["origin", "node"], "left_anti")
-        known = scratch.save(rest.unionByName(front), f"labels{turn}")
-        scratch.drop(f"labels{turn - 1}", *([f"front{turn - 1}"] if turn > 1 else []))
-    return known
+        if grown > size:
+            base, size = scratch.save_counted(best(reduce(DataFrame.unionByName, deltas, base)).select(*key, "new.*"), f"labels{turn}")
+            deltas, grown = [], 0
+    out = scratch.save(best(reduce(DataFrame.unionByName, deltas, base)).select(*key, "new.*"), "labels")
+    scratch.drop_all_but("labels")
+    return out
+
+
+def in_turns(before: Column, way: Column, node: Column, begins: Column) -> tuple[Column, Column]:
+    """What rules over several ways make of turns: whether an edge may be taken, and the state (way, rules) behind it.
+
+    A rule (only, steps) is a sequence of steps (node, way) from the way that it begins
+    on; a node of null is any. rules are those begun, with the steps still to come.
+    begins: rules that begin on the edge's way. A turn onto another way is the next
+    step of some rules and ends the others. A rule's last step is forbidden, or, for
+    an only rule, is the one turn allowed where it comes next: such rules decide,
+    whatever is forbidden.
+    """
+    turns = before["way"].isNotNull() & (before["way"] != way)
+    here = F.filter(before["rules"], lambda r: r["steps"][0]["node"].isNull() | (r["steps"][0]["node"] == node))
+    due = F.filter(here, lambda r: F.size(r["steps"]) == 1)
+    takes = lambda r: r["steps"][0]["way"] == way
+    bound = F.filter(due, lambda r: r["only"])
+    ok = F.when(F.size(bound) > 0, F.exists(bound, takes)).otherwise(~F.exists(due, lambda r: ~r["only"] & takes(r)))
+    on = F.transform(F.filter(here, lambda r: takes(r) & (F.size(r["steps"]) > 1)), lambda r: F.struct(r["only"].alias("only"), F.slice(r["steps"], 2, F.size(r["steps"]) - 1).alias("steps")))
+    rules = F.when(turns, F.array_sort(F.concat(on, begins))).when(before["way"].isNull(), begins).otherwise(before["rules"])
+    return ~turns | ok, F.struct(way.alias("way"), rules.alias("rules"))
 
 
 def transitions(edges: DataFrame, banned: DataFrame, only: DataFrame) -> DataFrame:
@@ -99,16 +160,16 @@ def transitions(edges: DataFrame, banned: DataFrame, only: DataFrame) -> DataFra
 
 
 def paths(labels: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
-    """Node sequences (origin, node, path) of wanted labels, traced back a step a round for all of them together, to the last."""
-    back = labels.select("origin", F.col("node").alias("at"), "prev")
-    open_ = scratch.save(wanted.select("origin", "node").withColumn("at", F.col("node")).withColumn("path", F.array("node")), "trace0")
+    """Node sequences (origin, node, state, path) of wanted labels, traced back a step a round for all of them together, to the last."""
+    back = labels.select("origin", F.col("node").alias("at"), F.col("state").alias("at_state"), "prev", "prev_state")
+    open_ = scratch.save(wanted.select("origin", "node", "state").withColumn("at", F.col("node")).withColumn("at_state", F.col("state")).withColumn("path", F.array("node")), "trace0")
     done = None
     for turn in itertools.count(1):
-        met = open_.join(back, ["origin", "at"])
-        ended = met.where("prev IS NULL").select("origin", "node", "path")
-        ended = scratch.save(ended, f"ended{turn}")
+        met = open_.join(back, ["origin", "at", "at_state"])
+        met = scratch.save(met, f"met{turn}")
+        ended = met.where("prev IS NULL").select("origin", "node", "state", "path")
         done = ended if done is None else done.unionByName(ended)
-        open_ = scratch.save(met.where("prev IS NOT NULL").select("origin", "node", F.col("prev").alias("at"), F.concat(F.array("prev"), "path").alias("path")), f"trace{turn}")
+        open_ = met.where("prev IS NOT NULL").select("origin", "node", "state", F.col("prev").alias("at"), F.col("prev_state").alias("at_state"), F.concat(F.array("prev"), "path").alias("path"))
         if open_.isEmpty():
             break
     return done
@@ -120,8 +181,3 @@ def snap(points: DataFrame, nodes: DataFrame, cell: float) -> DataFrame:
 
     other = nodes.select("node", F.col("x").alias("x2"), F.col("y").alias("y2"))
     return nearest_at_all(points, other, cell, "id", ["node"]).select("id", "node", "d2")
-
-
-def components_by_way(edges: DataFrame) -> DataFrame:
-    """Ways with their number of edges and length."""
-    return edges.groupBy("way").agg(F.count(F.lit(1)).alias("edges"), F.sum("w").alias("length"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.functions import limits
+from fathomline.functions import limits, rules
 from fathomline.operators import graph
 from fathomline.plans.registry import query, table
 from fathomline.sources.store import Scratch
@@ -35,6 +35,18 @@ def _paths_sql(where: str = "true") -> str:
     UNION ALL SELECT p.origin, e.v, p.cost + e.w, p.hops + 1 FROM p JOIN e ON e.u = p.node WHERE p.hops < {HOPS}) """
 
 
+def _search_sql(ways: str, starts: str, after: str = "p.cost + e.w", state: str = "", begin: str = "", where: str = "true") -> str:
+    """Least costs to the end: p has one row for each origin, node and further key columns (state), replaced as long as costs improve."""
+    keys = ["origin", "node", *(c.split(" AS ")[1] for c in state.split(" | ") if c)]
+    listed, extra = ", ".join(keys), "".join(f", {c}" for c in state.split(" | ") if c)
+    same = " AND ".join(f"o.{k} IS NOT DISTINCT FROM n.{k}" for k in keys)
+    return f"""WITH RECURSIVE e AS MATERIALIZED ({ways}), p({listed}, cost) USING KEY ({listed}) AS (SELECT origin, node{begin}, cost FROM ({starts})
+    UNION SELECT {", ".join("n." + k for k in keys)}, n.cost FROM (SELECT {listed}, min(cost) AS cost FROM (SELECT p.origin, e.v AS node{extra}, {after} AS cost FROM p JOIN e ON e.u = p.node WHERE {where}) GROUP BY {listed}) n LEFT JOIN recurring.p o ON {same} WHERE o.cost IS NULL OR n.cost < o.cost) """
+
+
+_STARTS = "SELECT c_custkey AS origin, c_custkey AS node, 0::DOUBLE AS cost FROM customer WHERE c_custkey % 100 = 0"
+
+
 @query(_paths_sql() + "SELECT origin, node, min(cost) AS cost FROM p GROUP BY origin, node")
 def shortest_path_hops(spark, sf_dir):
     return graph.shortest(edges(spark, sf_dir), _origins(spark, sf_dir), Scratch(spark, "paths"), rounds=HOPS).select("origin", "node", "cost")
@@ -63,14 +75,14 @@ def status_profile(spark, sf_dir):
     return _limited(spark, sf_dir).withColumn("r", rank).groupBy("way").agg(F.max("r").alias("worst"), F.count(F.lit(1)).alias("edges"), F.sum("w").alias("length"))
 
 
-@query(_paths_sql("cents % 5 IN (0, 2, 4)").replace("u, v, w FROM", "u, v, w FROM") + "SELECT origin, node, min(cost) AS cost FROM p GROUP BY origin, node")
+@query(_search_sql(f"SELECT u, v, w FROM {EDGES} WHERE cents % 5 IN (0, 2, 4)", _STARTS) + "SELECT origin, node, cost FROM p")
 def profile_paths(spark, sf_dir):
     """Paths of the vehicle that the limits let through; the filter reaches the edges before any search."""
     open_ = _limited(spark, sf_dir).where(limits.passes(limits.weight(F.col("maxweight")), 12.0))
     return graph.shortest(open_.select("u", "v", "w"), _origins(spark, sf_dir), Scratch(spark, "paths")).select("origin", "node", "cost")
 
 
-@query(_paths_sql() + "SELECT a.origin, b.c_custkey AS node, (SELECT min(cost) FROM p WHERE p.origin = a.origin AND p.node = b.c_custkey) AS cost FROM (SELECT DISTINCT origin FROM p) a CROSS JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 100 = 50) b")
+@query(_search_sql(f"SELECT u, v, w FROM {EDGES}", _STARTS) + "SELECT a.origin, b.c_custkey AS node, p.cost FROM (SELECT DISTINCT origin FROM p) a CROSS JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 100 = 50) b LEFT JOIN p ON p.origin = a.origin AND p.node = b.c_custkey")
 def od_matrix(spark, sf_dir):
     """Costs from each origin to each of the destinations; null where none is reached."""
     o = _origins(spark, sf_dir)
@@ -80,19 +92,67 @@ def od_matrix(spark, sf_dir):
     return pairs.join(labels.select("origin", "node", "cost"), ["origin", "node"], "left")
 
 
-@query()
-def route_segments(spark, sf_dir):
-    """Paths as node sequences, a segment a row, with the running cost; tested against a plain search."""
-    scratch = Scratch(spark, "route")
-    e = edges(spark, sf_dir)
-    labels = graph.shortest(e, _origins(spark, sf_dir), scratch)
+_BACK = """WITH RECURSIVE e AS MATERIALIZED (SELECT u, v, w FROM """ + EDGES + """), p(origin, node, k) USING KEY (origin, node) AS (SELECT c_custkey, c_custkey, {'cost': 0::DOUBLE, 'hops': 0, 'prev': NULL::BIGINT} FROM customer WHERE c_custkey % 100 = 0
+    UNION SELECT n.origin, n.node, n.k FROM (SELECT p.origin, e.v AS node, min({'cost': p.k.cost + e.w, 'hops': p.k.hops + 1, 'prev': e.u::BIGINT}) AS k FROM p JOIN e ON e.u = p.node GROUP BY p.origin, e.v) n LEFT JOIN recurring.p o ON o.origin = n.origin AND o.node = n.node WHERE o.k IS NULL OR n.k < o.k),
+    t AS (SELECT origin, node, node AS at, CAST(node AS VARCHAR) AS path FROM p UNION ALL SELECT t.origin, t.node, p.k.prev, p.k.prev || '>' || t.path FROM t JOIN p ON p.origin = t.origin AND p.node = t.at WHERE p.k.prev IS NOT NULL),
+    r AS (SELECT t.origin, t.node, t.path, p.k.cost AS cost, p.k.hops AS hops FROM t JOIN p ON p.origin = t.origin AND p.node = t.node WHERE t.at = t.origin AND p.k.hops = len(string_split(t.path, '>')) - 1) """
+
+
+def _routes(spark, sf_dir) -> DataFrame:
+    labels = graph.shortest(edges(spark, sf_dir), _origins(spark, sf_dir), Scratch(spark, "route"))
     traced = graph.paths(labels, labels, Scratch(spark, "trace"))
     return traced.join(labels.select("origin", "node", "cost", "hops"), ["origin", "node"])
 
 
+@query(_BACK + "SELECT origin, node, path, cost, hops FROM r")
+def route_segments(spark, sf_dir):
+    """Paths as node sequences, with their cost."""
+    return _routes(spark, sf_dir).select("origin", "node", F.array_join("path", ">").alias("path"), "cost", "hops")
+
+
+_RULES = "(SELECT u, v, way, w, cents % 3 = 0 AS ferry, CASE cents % 5 WHEN 0 THEN 'not_provided' WHEN 1 THEN 'supported' WHEN 2 THEN 'unlimited' WHEN 3 THEN 'unsupported' ELSE 'supported' END AS weight_status, CASE WHEN way IN (3, 5) THEN 'restricted' ELSE 'free' END AS turns, row_number() OVER (PARTITION BY u, v ORDER BY w, id) AS rn FROM " + EDGES + ")"
+_PARTS = "s AS (SELECT origin, node, unnest(range(1, hops + 1)) AS seq, string_split(path, '>') AS n FROM r), g AS (SELECT s.origin, s.node, s.seq, x.u, x.v, x.way, x.w, x.ferry, x.weight_status, x.turns FROM s JOIN " + _RULES + " x ON x.rn = 1 AND x.u = CAST(n[seq] AS BIGINT) AND x.v = CAST(n[seq + 1] AS BIGINT)) "
+
+
+def _parts(spark, sf_dir) -> DataFrame:
+    """A row for each segment of each path, with the edge that it takes and the rules behind that."""
+    pairs = F.transform(F.sequence(F.lit(1), F.col("hops")), lambda i: F.struct(i.alias("seq"), F.get("path", i - 1).alias("u"), F.get("path", i).alias("v")))
+    steps = _routes(spark, sf_dir).where("hops > 0").select("origin", "node", F.explode(pairs).alias("s")).select("origin", "node", "s.*")
+    rules = _limited(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("u", "v").orderBy("w", "id"))).where("rank = 1")
+    status, turns = limits.weight(F.col("maxweight"))["status"], F.when(F.col("way").isin(3, 5), "restricted").otherwise("free")
+    return steps.join(rules.select("u", "v", "way", "w", (F.col("cents") % 3 == 0).alias("ferry"), status.alias("weight_status"), turns.alias("turns")), ["u", "v"])
+
+
+@query(_BACK + ", " + _PARTS + "SELECT origin, node, seq, u, v, way, w, ferry, weight_status, turns, CAST(sum(w) OVER (PARTITION BY origin, node ORDER BY seq) AS BIGINT) AS run FROM g")
+def rule_provenance(spark, sf_dir):
+    """Every segment of every path with its way, the rules that apply to it, and the running length."""
+    run = F.sum("w").over(Window.partitionBy("origin", "node").orderBy("seq"))
+    return _parts(spark, sf_dir).select("origin", "node", "seq", "u", "v", "way", "w", "ferry", "weight_status", "turns", run.alias("run"))
+
+
+@query(
+    _BACK + ", " + _PARTS + """SELECT origin, node, count(*) AS segments, CAST(sum(w) AS BIGINT) AS length, CAST(coalesce(sum(w) FILTER (ferry), 0) AS BIGINT) AS ferry_length, count(*) FILTER (ferry) AS ferry_segments, count(DISTINCT way) FILTER (ferry) AS ferry_ways, count(DISTINCT way) AS ways,
+    count(*) FILTER (weight_status = 'unsupported') AS unread_limits, '{"type":"LineString","nodes":[' || array_to_string(list(u ORDER BY seq), ',') || ',' || any_value(node) || ']}' AS line FROM g GROUP BY origin, node"""
+)
+def route_response(spark, sf_dir):
+    """One record for each route: lengths, ferries, ways, limits that could not be read, and the line of its nodes."""
+    g = _parts(spark, sf_dir).groupBy("origin", "node").agg(
+        F.count(F.lit(1)).alias("segments"),
+        F.sum("w").alias("length"),
+        F.coalesce(F.sum(F.when(F.col("ferry"), F.col("w"))), F.lit(0)).alias("ferry_length"),
+        F.count_if("ferry").alias("ferry_segments"),
+        F.countDistinct(F.when(F.col("ferry"), F.col("way"))).alias("ferry_ways"),
+        F.countDistinct("way").alias("ways"),
+        F.count_if(F.col("weight_status") == "unsupported").alias("unread_limits"),
+        F.sort_array(F.collect_list(F.struct("seq", "u"))).alias("at"),  # as many as the route has segments
+    )
+    line = F.concat(F.lit('{"type":"LineString","nodes":['), F.array_join(F.transform("at", lambda x: x["u"].cast("string")), ","), F.lit(","), F.col("node").cast("string"), F.lit("]}"))
+    return g.withColumn("line", line).drop("at")
+
+
 @query(
-    f"""WITH RECURSIVE t AS MATERIALIZED (SELECT a.id AS u, b.id AS v, b.w FROM {EDGES} a JOIN {EDGES} b ON a.v = b.u WHERE CASE WHEN a.way = 3 THEN b.way = 4 ELSE NOT (a.way = 5 AND b.way IN (6, 7)) END),
-    p AS (SELECT id AS origin, id AS node, w::DOUBLE AS cost, 0 AS hops FROM {EDGES} WHERE id % 150 = 0 UNION ALL SELECT p.origin, t.v, p.cost + t.w, p.hops + 1 FROM p JOIN t ON t.u = p.node WHERE p.hops < 5) SELECT origin, node, min(cost) AS cost FROM p GROUP BY origin, node"""
+    _search_sql(f"SELECT a.id AS u, b.id AS v, b.w FROM {EDGES} a JOIN {EDGES} b ON a.v = b.u WHERE CASE WHEN a.way = 3 THEN b.way = 4 ELSE NOT (a.way = 5 AND b.way IN (6, 7)) END", f"SELECT id AS origin, id AS node, w::DOUBLE AS cost FROM {EDGES} WHERE id % 150 = 0")
+    + "SELECT origin, node, cost FROM p"
 )
 def restricted_turns(spark, sf_dir):
     """Search over edges, so that turns from way to way can be forbidden or made the only ones."""
@@ -104,12 +164,77 @@ def restricted_turns(spark, sf_dir):
     return graph.shortest(turns, start, Scratch(spark, "turns")).select("origin", "node", "cost")
 
 
-@query()
+# rules over chains of ways, anywhere: from way, then the ways to come; the last one forbidden or the only one
+CHAINS = [(5, False, [6, 7]), (5, False, [6, 8]), (2, False, [9]), (3, True, [4, 1])]
+
+
+@query(
+    _search_sql(
+        f"SELECT u, v, w, way FROM {EDGES}",
+        _STARTS.replace("0::DOUBLE AS cost", "NULL::BIGINT AS way, 0 AS met, 0::DOUBLE AS cost"),
+        state="e.way AS way | CASE WHEN p.way = e.way THEN p.met WHEN p.way = 5 AND e.way = 6 THEN 1 WHEN p.way = 3 AND e.way = 4 THEN 2 ELSE 0 END AS met",
+        begin=", way, met",
+        where="p.way IS NULL OR p.way = e.way OR CASE WHEN p.met = 2 THEN e.way = 1 ELSE NOT (p.met = 1 AND e.way IN (7, 8)) AND NOT (p.way = 2 AND e.way = 9) END",
+    )
+    + "SELECT origin, node, min(cost) AS cost FROM p GROUP BY origin, node"
+)
+def via_way_turns(spark, sf_dir):
+    """Rules over several ways in a row, half-met ones being part of what a search remembers."""
+    kind = "array<struct<only:boolean,steps:array<struct<node:bigint,way:bigint>>>>"
+    none = F.array().cast(kind)
+    rule = lambda only, ways: F.struct(F.lit(only).alias("only"), F.array(*(F.struct(F.lit(None).cast("long").alias("node"), F.lit(w).cast("long").alias("way")) for w in ways)).alias("steps"))
+    begins = F.coalesce(*(F.when(F.col("way") == way, F.array(*(rule(only, to) for f, only, to in CHAINS if f == way))) for way in sorted({c[0] for c in CHAINS})), none)
+    e = edges(spark, sf_dir).select("u", "v", "w", "way", begins.alias("begins"))
+    ok, after = graph.in_turns(F.col("state"), F.col("way"), F.col("node"), F.col("begins"))
+    start = F.struct(F.lit(None).cast("long").alias("way"), none.alias("rules"))
+    got = graph.shortest(e, _origins(spark, sf_dir), Scratch(spark, "chains"), state=(start, after), passes=ok)
+    return got.groupBy("origin", "node").agg(F.min("cost").alias("cost"))
+
+
+@query(
+    _search_sql(
+        f"SELECT u, v, w, CASE WHEN cents % 3 = 0 THEN way ELSE -1 END AS ferry FROM {EDGES}",
+        _STARTS.replace("0::DOUBLE AS cost", "-1::BIGINT AS ferry, 0::DOUBLE AS cost"),
+        after="CASE WHEN e.ferry >= 0 AND e.ferry <> p.ferry THEN ceil(p.cost / 900) * 900 ELSE p.cost END + e.w",
+        state="e.ferry AS ferry",
+        begin=", ferry",
+    )
+    + "SELECT origin, node, min(cost) AS arrival FROM p GROUP BY origin, node"
+)
 def timed_paths(spark, sf_dir):
-    """Earliest arrivals: every third edge is a ferry that leaves at full quarters of an hour; waiting is part of the cost."""
-    e = edges(spark, sf_dir).withColumn("ferry", F.col("cents") % 3 == 0)
-    wait = lambda t: F.when(F.col("ferry"), F.ceil(t / 900) * 900).otherwise(t) + F.col("w")
-    return graph.shortest(e, _origins(spark, sf_dir), Scratch(spark, "timed"), step=wait).select("origin", "node", F.col("cost").alias("arrival"), "hops")
+    """Earliest arrivals: edges of some ways are ferries that leave at full quarters of an hour; who boards one waits, who stays on the same one does not."""
+    e = edges(spark, sf_dir).withColumn("ferry", F.when(F.col("cents") % 3 == 0, F.col("way")).otherwise(F.lit(-1)).cast("long"))
+    boards = (F.col("ferry") >= 0) & (F.col("ferry") != F.col("state"))
+    wait = lambda t: F.when(boards, F.ceil(t / 900) * 900).otherwise(t) + F.col("w")
+    got = graph.shortest(e.select("u", "v", "w", "ferry"), _origins(spark, sf_dir), Scratch(spark, "timed"), step=wait, state=(F.lit(-1).cast("long"), F.col("ferry")))
+    return got.groupBy("origin", "node").agg(F.min("cost").alias("arrival"))
+
+
+def _ruled(spark, sf_dir) -> DataFrame:
+    """Edges in seconds with rules that hold at some times; the second of each pair of ways is for one direction only, now and then."""
+    c = F.col("cents")
+    return edges(spark, sf_dir).select("u", "v", (300 + F.col("w")).alias("seconds"), (c % 4 == 0).alias("closes"), (c % 5 == 0).alias("slows"), (c % 7 == 0).alias("back"), (c % 6 == 0).alias("lorries"))
+
+
+@query()
+def conditional_paths(spark, sf_dir):
+    """Earliest arrivals of a lorry where access, speed and direction depend on the time of arrival at an edge; tested against a plain search.
+
+    Some edges are closed in the first third of each half hour, but to deliveries on
+    edges that name them; some take twice as long in the second half of each hour;
+    some can be taken against their direction in even hours only.
+    """
+    e = _ruled(spark, sf_dir).withColumn("against", F.lit(False))
+    e = e.unionByName(e.where("back").select(F.col("v").alias("u"), F.col("u").alias("v"), "seconds", "closes", "slows", "back", "lorries", F.lit(True).alias("against")))
+    t = F.col("cost")
+    rule = lambda mode, kind, on: F.struct(F.lit(mode).alias("mode"), F.lit(kind).alias("class"), on.alias("active"))
+    shut = F.col("closes") & (t % 1800 < 600)
+    open_ = rules.access(F.array(rule("no", "hgv", shut & ~F.col("lorries")), rule("yes", "delivery", shut & F.col("lorries"))), ["hgv", "delivery"], F.lit(True))
+    way = rules.oneway(F.lit("yes"), F.array(F.struct(F.lit("no").alias("value"), (F.floor(t / 3600) % 2 == 0).alias("active"))))
+    passes = open_ & (~F.col("against") | (way == "no"))
+    kmh = rules.speed(F.lit(80), F.array(F.struct(F.lit(40).alias("kmh"), (F.col("slows") & (t % 3600 >= 1800)).alias("active"))))
+    got = graph.shortest(e, _origins(spark, sf_dir), Scratch(spark, "rules"), step=lambda x: x + F.col("seconds") * 80 / kmh, passes=passes, least=300.0)
+    return got.select("origin", "node", F.col("cost").alias("arrival"))
 
 
 @query(f"SELECT count(*) AS edges, count(DISTINCT u) AS nodes, CAST(sum(w) AS BIGINT) AS length, max(w) AS longest, count(DISTINCT way) AS ways FROM {EDGES}")
@@ -146,11 +271,14 @@ PROFILES = {"car": None, "van": 7.0, "lorry": 12.0}
 
 
 @query(
-    "WITH RECURSIVE e AS MATERIALIZED (SELECT u, v, w, p.profile FROM " + _LIMIT + """ CROSS JOIN (VALUES ('car'), ('van'), ('lorry')) p(profile) WHERE p.profile = 'car' OR maxweight IN ('', 'none', '20') OR p.profile = 'van' AND maxweight = '7.5 t'),
-    p AS (SELECT q.profile, c_custkey AS origin, c_custkey AS node, 0::DOUBLE AS cost, 0 AS hops FROM customer CROSS JOIN (VALUES ('car'), ('van'), ('lorry')) q(profile) WHERE c_custkey % 100 = 0
-    UNION ALL SELECT p.profile, p.origin, e.v, p.cost + e.w, p.hops + 1 FROM p JOIN e ON e.u = p.node AND e.profile = p.profile WHERE p.hops < """ + str(HOPS) + """),
-    b AS (SELECT profile, origin, node, min(cost) AS cost FROM p GROUP BY ALL)
-    SELECT x.profile, x.origin, x.node, x.cost, x.cost - f.cost AS delta FROM b x JOIN b f ON f.profile = 'car' AND f.origin = x.origin AND f.node = x.node WHERE x.node % 50 = 0"""
+    _search_sql(
+        "SELECT u, v, w, p.profile FROM " + _LIMIT + " CROSS JOIN (VALUES ('car'), ('van'), ('lorry')) p(profile) WHERE p.profile = 'car' OR maxweight IN ('', 'none', '20') OR p.profile = 'van' AND maxweight = '7.5 t'",
+        _STARTS.replace("0::DOUBLE AS cost", "q.profile, 0::DOUBLE AS cost").replace("FROM customer", "FROM customer CROSS JOIN (VALUES ('car'), ('van'), ('lorry')) q(profile)"),
+        state="p.profile AS profile",
+        begin=", profile",
+        where="e.profile = p.profile",
+    )
+    + "SELECT x.profile, x.origin, x.node, x.cost, x.cost - f.cost AS delta FROM p x JOIN p f ON f.profile = 'car' AND f.origin = x.origin AND f.node = x.node"
 )
 def profile_compare(spark, sf_dir):
     """Costs of several vehicles and their difference from the first, by one search: the profile is part of the node."""
@@ -185,8 +313,6 @@ def restriction_checks(spark, sf_dir):
 )
 def conditional_rules(spark, sf_dir):
     """Access, speed and direction under conditions, for a lorry that delivers."""
-    from fathomline.functions import rules
-
     c = F.col("cents")
     even, third = c % 2 == 0, c % 3 == 0
     none = F.lit(None).cast("boolean")

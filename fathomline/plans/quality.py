@@ -140,10 +140,10 @@ def dimension_joins(spark, sf_dir):
     return o.join(c, "c_custkey", "left").join(n, "n_nationkey", "left").join(table(spark, sf_dir, "region"), "r_regionkey", "left").select("o_orderkey", "c_name", "n_name", "r_name")
 
 
-@query("SELECT c_custkey AS id, 'account' AS via, c_name AS ref FROM customer JOIN supplier ON s_suppkey = c_custkey UNION ALL SELECT c_custkey, 'nation', s_name FROM customer JOIN supplier ON s_nationkey = c_nationkey AND s_acctbal > 9000 WHERE c_custkey <= 50")
+@query("SELECT c_custkey AS id, 'account' AS via, c_name AS ref FROM customer JOIN supplier ON s_suppkey = c_custkey UNION ALL SELECT c_custkey, 'branch', s_name FROM customer JOIN supplier ON s_nationkey = c_nationkey AND s_suppkey = c_custkey // 10")
 def references_by_two_keys(spark, sf_dir):
     """References found by either of two keys; one found by both is listed twice."""
     c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
     one = c.join(s, F.col("s_suppkey") == F.col("c_custkey")).select(F.col("c_custkey").alias("id"), F.lit("account").alias("via"), F.col("c_name").alias("ref"))
-    two = c.join(s, F.col("s_nationkey") == F.col("c_nationkey"))
-    return one.unionByName(two.select(F.col("c_custkey").alias("id"), F.lit("nation").alias("via"), F.col("s_name").alias("ref")))
+    two = c.join(s, (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("s_suppkey") == F.floor(F.col("c_custkey") / 10)))
+    return one.unionByName(two.select(F.col("c_custkey").alias("id"), F.lit("branch").alias("via"), F.col("s_name").alias("ref")))

@@ -59,7 +59,7 @@ def permutation_p(spark, sf_dir):
     return sample.permutation(rows, "year", "id", "label", "hit")
 
 
-@query("SELECT o_custkey AS u, o_orderkey AS v, 'forward' AS kind FROM orders WHERE o_orderkey <= 3000 UNION ALL SELECT o_orderkey, o_custkey, 'backward' FROM orders WHERE o_orderkey <= 3000 UNION ALL SELECT l_orderkey, l_partkey, 'ferry' FROM lineitem WHERE l_orderkey <= 500")
+@query("SELECT o_custkey AS u, o_orderkey AS v, 'forward' AS kind FROM orders UNION ALL SELECT o_orderkey, o_custkey, 'backward' FROM orders UNION ALL SELECT l_orderkey, l_partkey, 'ferry' FROM lineitem")
 def union_edges(spark, sf_dir):
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     edges = o.select(F.col("o_custkey").alias("u"), F.col("o_orderkey").alias("v"), F.lit("forward").alias("kind"))

@@ -30,7 +30,7 @@ def boxes(spark, sf_dir) -> DataFrame:
     return p.select("id", (F.col("x") - half).alias("x0"), (F.col("y") - half).alias("y0"), (F.col("x") + half + 7).alias("x1"), (F.col("y") + half).alias("y1"), F.col("id").alias("seq"))
 
 
-BOXES = f"(SELECT id, x - (area % 40 + 5) AS x0, y - (area % 40 + 5) AS y0, x + (area % 40 + 5) + 7 AS x1, y + (area % 40 + 5) AS y1, id AS seq FROM {POINTS} WHERE id % 5 = 0)"
+BOXES = f"(SELECT id, x - (area % 40 + 5) AS x0, y - (area % 40 + 5) AS y0, x + (area % 40 + 5) + 7 AS x1, y + (area % 40 + 5) AS y1, id AS seq FROM {POINTS})"
 _OTHER = "pow(a.x - b.x, 2) + pow(a.y - b.y, 2)"
 
 

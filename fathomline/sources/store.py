@@ -11,7 +11,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +43,11 @@ class Scratch:
         self.saved.append(table)
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
+    def save_counted(self, df: DataFrame, table: str) -> tuple[DataFrame, int]:
+        """Write df and read it again; also its number of rows, counted as they are written."""
+        seen = Observation()
+        return self.save(df.observe(seen, F.count(F.lit(1)).alias("n")), table), seen.get.get("n", 0)
+
     def drop(self, *tables: str) -> None:
         """Delete tables that no later step reads."""
         jvm = self.spark._jvm
