@@ -7,6 +7,8 @@ The template marks every turn, so a window can be read back:
     assistant  <s>text</s>
     other      [TURN]role\\ttext[/TURN]
 
+A newline ends every turn, so that no token reaches from one turn into the next and
+a window has as many tokens as its turns together, marks and escapes included.
 Control strings, backslashes and, in roles, tabs are escaped inside texts as a
 backslash and a letter; undoing that gives the text back exactly.
 
@@ -52,10 +54,10 @@ def unescape(text: str) -> str:
 
 
 def format_turn(role: str, text: str) -> tuple[str, str, str]:
-    """Opening mark, escaped text and closing mark of a turn."""
+    """Opening mark, escaped text, and closing mark with a newline of a turn."""
     if role in _MARKS:
-        return _MARKS[role][0], escape(text), _MARKS[role][1]
-    return "[TURN]" + _ESCAPE_ROLE.sub(lambda m: _OUT[m[0]], role) + "\t", escape(text), "[/TURN]"
+        return _MARKS[role][0], escape(text), _MARKS[role][1] + "\n"
+    return "[TURN]" + _ESCAPE_ROLE.sub(lambda m: _OUT[m[0]], role) + "\t", escape(text), "[/TURN]\n"
 
 
 def parse(window: str) -> list[tuple[str, str]]:
@@ -75,62 +77,49 @@ class Windows:
 
     def __init__(self, budget: int, history: int):
         self.budget, self.history = budget, history
-        self.system: tuple[str, str, int] | None = None
-        self.turns: list[tuple[str, str]] = []  # history, then the new ones
+        self.system: tuple[str, tuple[str, str, str], int] | None = None
+        self.turns: list[tuple[str, tuple[str, str, str]]] = []
         self.sums = [0]  # running sums of their tokens
-        self.old = self.made = 0
+        self.first = self.new = self.made = 0  # of the turns held, the first one shown, and the first one not shown before
         self.place = -1  # of the system turn among them
 
-    @property
-    def shows_system(self) -> bool:
-        return self.place >= 0
+    def _tokens(self) -> int:
+        """Tokens of what the window shows: turns from the first one on, and the system turn if it isn't among them."""
+        return self.sums[-1] - self.sums[self.first] + (self.system[2] if self.system and self.place < self.first else 0)
 
-    def add(self, role: str, text: str, tokens: int) -> dict | None:
+    def add(self, role: str, parts: tuple[str, str, str], tokens: int) -> dict | None:
         """Take a turn; returns the window that it didn't fit any more, if so."""
         closed = None
-        head = self._head()
-        if len(self.turns) > self.old and head + self.sums[-1] + tokens > self.budget:
+        if len(self.turns) > self.new and self._tokens() + tokens > self.budget:
             closed = self.close()
-        while self.old and self._head() + self.sums[-1] + tokens > self.budget:
-            self._forget()  # rather less history than a window over its budget
+        while self.first < self.new and self._tokens() + tokens > self.budget:
+            self.first += 1  # rather less history than a window over its budget
         if role == "system" and self.system is None:
-            self.system, self.place = (role, text, tokens), len(self.turns)
-        self.turns.append((role, text))
+            self.system, self.place = (role, parts, tokens), len(self.turns)
+        self.turns.append((role, parts))
         self.sums.append(self.sums[-1] + tokens)
         return closed
 
-    def _head(self) -> int:
-        """Tokens of the system turn if it has to be added to the turns held."""
-        return self.system[2] if self.system and not self.shows_system else 0
-
-    def _forget(self) -> None:
-        self.place = self.place - 1 if self.place >= 0 else -1
-        del self.turns[0], self.sums[0]
-        self.old -= 1
-        first = self.sums[0]
-        self.sums = [s - first for s in self.sums]
-
     def close(self) -> dict | None:
         """The open window; its last turns become the next one's history."""
-        if len(self.turns) == self.old:
+        if len(self.turns) == self.new:
             return None
-        shown = list(self.turns)
-        tokens, repeated = self.sums[-1], self.old
-        if self.system and not self.shows_system:
+        shown, repeated, tokens = self.turns[self.first :], self.new - self.first, self._tokens()
+        if self.system and self.place < self.first:
             shown.insert(0, self.system[:2])
-            tokens, repeated = tokens + self.system[2], repeated + 1
+            repeated += 1
         text, loss, at = [], [], 0
-        for i, (role, body) in enumerate(shown):
-            before, inner, after = format_turn(role, body)
+        for i, (role, (before, inner, after)) in enumerate(shown):
             if role == "assistant" and i >= repeated:
                 loss.append({"start": at + len(before), "end": at + len(before) + len(inner)})
             text += [before, inner, after]
             at += len(before) + len(inner) + len(after)
         out = {"window": self.made, "repeated": repeated, "turns": len(shown), "tokens": tokens, "text": "".join(text), "loss": loss}
         self.made += 1
-        self.old = len(self.turns)
-        while self.old and self.sums[-1] > self.history:
-            self._forget()
+        while self.first < len(self.turns) and self.sums[-1] - self.sums[self.first] > self.history:
+            self.first += 1
+        del self.turns[: self.first], self.sums[: self.first]
+        self.place, self.first, self.new = max(-1, self.place - self.first), 0, len(self.turns)
         return out
 
 
@@ -155,10 +144,11 @@ def format_conversations(turns: DataFrame, tokenizer: str, budget: int = BUDGET,
 
     Turns are in the order of turn, role and text. Null texts and roles are empty;
     null conversation ids are one conversation. Every turn is in one window as new,
-    repeated rows too. A turn over the budget is not cut: its window has it, and the
-    system turn, alone. An empty table gives no windows; other columns are not read.
-    Rows are shuffled once by conversation and sorted; a task holds one open window
-    at a time, whatever the length of a conversation.
+    repeated rows too. tokens counts the whole text of a window, and is at most the
+    budget. Only a turn that goes over it together with the system turn is not cut:
+    its window has these two alone. An empty table gives no windows; other columns
+    are not read. Rows are shuffled once by conversation and sorted; a task holds one
+    open window at a time, whatever the length of a conversation.
     """
     kind = turns.schema[conv].dataType.simpleString()
     rows = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -177,7 +167,8 @@ def format_conversations(turns: DataFrame, tokenizer: str, budget: int = BUDGET,
             if row is not None:
                 if state["open"] is None:
                     state["conv"], state["open"] = row[0], Windows(budget, history)
-                if closed := state["open"].add(row[1], row[2], count(row[2])):
+                parts = format_turn(row[1], row[2])
+                if closed := state["open"].add(row[1], parts, count("".join(parts))):
                     out.append({"conv": row[0], **closed})
             return out
 
