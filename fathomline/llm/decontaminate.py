@@ -2,18 +2,24 @@
 
 Texts are compared as sequences of words: runs of letters and digits, lower-cased.
 An item of n words may differ from a passage by e = n * percent / 100 words
-(substituted, inserted, deleted). Cut into e + 1 pieces, at least one piece is
-whole in such a passage, so every passage has an exact piece hit; around each
-hit Myers' algorithm finds the least distance, a whole column of the dynamic
-programme in a few operations on one integer.
+(substituted, inserted, deleted), a short one by none. Cut into e + 1 pieces, at
+least one piece is whole in such a passage, so every passage has an exact piece
+hit. The places around hits are merged where they overlap; in each Myers' algorithm
+finds the least distance, a whole column of the dynamic programme in a few
+operations on one integer.
+
+Items go to the executors as texts, in blocks of BLOCK_ITEM_BYTES, each of which is
+one pass over the documents; every worker makes its own index of the block, about
+four times the size of the texts.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm import words
+from fathomline.llm.store import Scratch
 
 _U = np.uint64
 _GAP = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _MARKS = re.compile(r"[\u00a0-\u00bf\u2000-\u206f\u3000-\u303f]")
 #: Bytes of items that go to the executors at once; more are handled in further passes over the documents.
-BLOCK_ITEM_BYTES = 8 << 20
-_FILTER_BITS = 20
+BLOCK_ITEM_BYTES = 16 << 20
+#: Items of fewer words have to occur exactly, and of fewer than the second number do not make a document unclean.
+MIN_WORDS, TELLING_WORDS = 8, 4
+_FILTER_BITS = 22
 
 
 def normal(text: str) -> str:
@@ -78,130 +87,169 @@ def positions(pattern: list[int]) -> dict[int, int]:
     return dict(out)
 
 
-@dataclass
 class Items:
-    """A block of items, cut into pieces that are found by the hash of their first words."""
+    """Index of a block of items: for each length of piece the sorted hashes of the pieces, with their items and places."""
 
-    ids: list
-    percent: int
-    hashes: list[list[int]] = field(default_factory=list)
-    budget: list[int] = field(default_factory=list)
-    lead: int = 3  # words of a piece that are looked up first
-    pieces: dict[int, list[tuple[int, int, int]]] = field(default_factory=lambda: defaultdict(list))
-
-    def add(self, texts: list[str], min_words: int) -> Items:
+    def __init__(self, ids: list, texts: list[str], percent: int, min_words: int):
         cutted = cut(texts)
-        ids, self.ids = self.ids, []
-        for i, key in enumerate(ids):
-            own = cutted.hash[cutted.first[i] : cutted.first[i + 1]].tolist()
-            if len(own) >= min_words:
-                self.ids.append(key)
-                self.hashes.append(own)
-                self.budget.append(len(own) * self.percent // 100)
-        bounds = [[j * len(h) // (e + 1) for j in range(e + 2)] for h, e in zip(self.hashes, self.budget)]
-        self.lead = min([min(np.diff(b)) for b in bounds], default=1)
-        for i, (h, b) in enumerate(zip(self.hashes, bounds)):
-            for low, high in zip(b[:-1], b[1:]):
-                self.pieces[_lead_hash(h[low : low + self.lead])].append((i, low, high))
-        self.table = np.zeros(1 << _FILTER_BITS, bool)
-        keys = np.fromiter(self.pieces, np.uint64, len(self.pieces))
-        self.table[keys >> _U(64 - _FILTER_BITS)] = True
-        self.pieces = dict(self.pieces)
-        self.places = [positions(h) for h in self.hashes]
-        return self
+        some = np.flatnonzero(np.diff(cutted.first))
+        self.ids = [ids[i] for i in some.tolist()]
+        self.first = np.r_[cutted.first[some], len(cutted.hash)]  # items without words leave no gap
+        self.hash, self.places = cutted.hash, lru_cache(4096)(self._places)
+        self.size = np.diff(self.first)
+        self.budget = np.where(self.size < min_words, 0, self.size * percent // 100)
+        owner = np.repeat(np.arange(len(self.ids)), self.budget + 1)
+        number = np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(self.budget + 1)[:-1]], self.budget + 1) if len(owner) else owner
+        low = number * self.size[owner] // (self.budget[owner] + 1)
+        length = (number + 1) * self.size[owner] // (self.budget[owner] + 1) - low
+        self.pieces = {}
+        for n in np.unique(length).tolist():
+            own = np.flatnonzero(length == n)
+            h = cutted.windows(n)[self.first[owner[own]] + low[own]]
+            own, h = own[np.argsort(h, kind="stable")], np.sort(h)
+            seen = np.zeros(1 << _FILTER_BITS, bool)
+            seen[h >> _U(64 - _FILTER_BITS)] = True
+            self.pieces[n] = (h, owner[own], low[own], seen)
+
+    def pattern(self, item: int) -> list[int]:
+        return self.hash[self.first[item] : self.first[item + 1]].tolist()
+
+    def _places(self, item: int) -> dict[int, int]:
+        return positions(self.pattern(item))
+
+    def ranges(self, w: words.Words) -> tuple[np.ndarray, ...]:
+        """Text, item, first and last word (exclusive) of the places where an item has a piece and may be as a whole, merged where they overlap."""
+        rows = []
+        for n, (hashes, owner, low, seen) in self.pieces.items():
+            h = w.windows(n)
+            at = np.flatnonzero(seen[h >> _U(64 - _FILTER_BITS)])
+            a, b = (np.searchsorted(hashes, h[at], side) for side in ("left", "right"))
+            at, a, b = at[a < b], a[a < b], b[a < b]
+            text = np.searchsorted(w.first, at, "right") - 1
+            inside = at + n <= w.first[text + 1]
+            at, a, b, text = at[inside], a[inside], b[inside], text[inside]
+            which = np.repeat(a - np.r_[0, np.cumsum(b - a)[:-1]], b - a) + np.arange((b - a).sum()) if len(at) else at
+            at, text, item = np.repeat(at, b - a), np.repeat(text, b - a), owner[which]
+            start, e = at - low[which], self.budget[item]
+            rows.append((text, item, np.maximum(start - e, w.first[text]), np.minimum(start + self.size[item] + e, w.first[text + 1])))
+        text, item, start, stop = (np.concatenate([np.empty(0, np.int64), *c]) for c in zip(*rows)) if rows else (np.empty(0, np.int64),) * 4
+        order = np.lexsort((start, item, text))
+        text, item, start, stop = text[order], item[order], start[order], stop[order]
+        if not len(text):
+            return text, item, start, stop
+        pair = np.cumsum(np.r_[0, (text[1:] != text[:-1]) | (item[1:] != item[:-1])])
+        far = len(w.hash) + 1  # keeps pairs apart in one running maximum
+        reach = np.maximum.accumulate(stop + pair * far)
+        new = np.flatnonzero(np.r_[True, (start + pair * far)[1:] > reach[:-1]])
+        return text[new], item[new], start[new], (reach - pair * far)[np.r_[new[1:], len(text)] - 1]
 
     def find(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, distance, first word, word behind the last) of every item within its budget, the best place of each."""
         w = cut(texts)
-        leads = w.windows(self.lead)
-        at = np.flatnonzero(self.table[leads >> _U(64 - _FILTER_BITS)])
-        owner = np.searchsorted(w.first, at, "right") - 1
-        tried: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for p, text in zip(at.tolist(), owner.tolist()):
-            start, stop = int(w.first[text]), int(w.first[text + 1])
-            for item, low, high in self.pieces.get(int(leads[p]), ()):
-                pattern, e = self.hashes[item], self.budget[item]
-                if p + high - low > stop or w.hash[p : p + high - low].tolist() != pattern[low:high]:
-                    continue
-                pair = (text, item)
-                a, b = max(start, p - low - e), min(stop, p - low + len(pattern) + e)
-                if any(x <= a and b <= y for x, y in tried[pair]) or (pair in found and found[pair][0] == 0):
-                    continue
-                tried[pair].append((a, b))
-                own = w.hash[a:b].tolist()
-                distance, end = best_match(pattern, own, self.places[item])
-                if distance <= e and (pair not in found or distance < found[pair][0]):
-                    back, length = best_match(pattern[::-1], own[:end][::-1])  # the same match from its end: its start
-                    found[pair] = (distance, a + end - length - start, a + end - start)
+        for text, item, a, b in zip(*(x.tolist() for x in self.ranges(w))):
+            best = found.get((text, item))
+            if best and best[0] == 0:
+                continue
+            own = w.hash[a:b].tolist()
+            pattern = self.pattern(item)
+            distance, end = best_match(pattern, own, self.places(item))
+            if distance <= self.budget[item] and (best is None or distance < best[0]):
+                # the same match from its end: its start; it is no longer than the item and its budget
+                back, length = best_match(pattern[::-1], own[max(0, end - len(pattern) - distance) : end][::-1])
+                start = int(w.first[text])
+                found[text, item] = (distance, a + end - length - start, a + end - start)
         return [(text, item, *rest) for (text, item), rest in sorted(found.items())]
 
 
-def _lead_hash(hashes: list[int]) -> int:
-    """The hash that Words.windows gives these words."""
-    one = words.Words(None, None, None, None, np.array(hashes, np.uint64))
-    return int(one.windows(len(hashes))[0])
+_index: dict[str, Items] = {}
+
+
+class Block:
+    """The texts of one block of items, as they go to the executors; index() makes what a worker searches with, once."""
+
+    def __init__(self, name: str, ids: list, texts: list[str], percent: int, min_words: int):
+        self.name, self.made = name, (ids, texts, percent, min_words)
+
+    def index(self) -> Items:
+        if self.name not in _index:
+            _index.clear()
+            _index[self.name] = Items(*self.made)
+        return _index[self.name]
 
 
-def item_blocks(items: DataFrame, percent: int, min_words: int, key: str = "item_id", text: str = "text", limit: int = BLOCK_ITEM_BYTES) -> Iterator[Items]:
+def item_blocks(items: DataFrame, percent: int, min_words: int = MIN_WORDS, key: str = "item_id", text: str = "text", limit: int = BLOCK_ITEM_BYTES) -> Iterator[Block]:
     """The items, block by block; blocks are dealt by hash so that each has about limit bytes."""
     known = items.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     size = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     count = size // limit + 1
     for i in range(count):
         rows = known.where(F.pmod(F.xxhash64("key", "text"), F.lit(count)) == i).orderBy("key", "text").collect()  # about limit bytes
-        yield Items([r["key"] for r in rows], percent).add([r["text"] for r in rows], min_words)
+        yield Block(uuid.uuid4().hex, [r["key"] for r in rows], [r["text"] for r in rows], percent, min_words)
 
 
 def contaminated(
-    docs: DataFrame, items: DataFrame, percent: int = 20, min_words: int = 8, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text"
+    docs: DataFrame, items: DataFrame, percent: int = 20, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
-    """One row for each document and item found in it: key, item key, distance, first_word, end_word.
-
-    distance is in words and at most percent of the item's; first_word and end_word
-    (exclusive) count the document's normalised words. Items of fewer than min_words
-    words, and null ones, are too short to tell and are not searched. Null and empty
-    texts hold nothing. Repeated rows are reported one by one. Empty tables give an
-    empty result; other columns are not read. Documents are scanned once for each
-    block of items, and nothing is shuffled.
+    """One row for each document and item found in it: key, item key, distance, first_word, end_word, item_words.
+
+    distance is in words and at most percent of the item's; items of fewer than
+    min_words words are found where they occur exactly. first_word and end_word
+    (exclusive) count the document's normalised words. Null items and items without
+    words are in nothing, and null and empty texts hold nothing. Repeated rows are
+    reported one by one. Empty tables give an empty result; other columns are not
+    read. Documents are scanned once for each block of items, and nothing is shuffled.
     """
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     out = None
     for block in item_blocks(items, percent, min_words, item_key, item_text):
-        part = rows.mapInArrow(_search(block, item_kind), f"key {kind}, item {item_kind.simpleString()}, distance int, first_word int, end_word int")
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        part = rows.mapInArrow(_search(shared, item_kind), f"key {kind}, item {item_kind.simpleString()}, distance int, first_word int, end_word int, item_words int")
         out = part if out is None else out.unionByName(part)
-    return out.select(F.col("key").alias(key), F.col("item").alias(item_key), "distance", "first_word", "end_word")
+    return out.select(F.col("key").alias(key), F.col("item").alias(item_key), "distance", "first_word", "end_word", "item_words")
 
 
-def _search(block: Items, item_kind):
+def _search(shared, item_kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
+        index = shared.value.index()
         for batch in batches:
             for a, b in words.blocks(batch["text"]):
-                found = block.find(batch["text"][a:b].to_pylist())
+                found = index.find(batch["text"][a:b].to_pylist())
                 which = pa.array([a + f[0] for f in found], pa.int64())
-                columns = [batch["key"].take(which), pa.array([block.ids[f[1]] for f in found], to_arrow_type(item_kind))]
+                columns = [batch["key"].take(which), pa.array([index.ids[f[1]] for f in found], to_arrow_type(item_kind))]
                 columns += [pa.array([f[i] for f in found], pa.int32()) for i in (2, 3, 4)]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "item", "distance", "first_word", "end_word"])
+                columns.append(pa.array(index.size[[f[1] for f in found]].astype(np.int32)) if found else pa.array([], pa.int32()))
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "item", "distance", "first_word", "end_word", "item_words"])
 
     return run
 
 
-def clean(docs: DataFrame, items: DataFrame, percent: int = 20, min_words: int = 8, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without the rows that hold an item, with all their columns. Rows with a null text are kept."""
+def clean(
+    docs: DataFrame, items: DataFrame, scratch: Scratch, percent: int = 20, min_words: int = MIN_WORDS, telling: int = TELLING_WORDS, text: str = "text", item_key: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """docs without the rows that hold an item of at least ``telling`` words, with all their columns.
+
+    What holds an item is as in contaminated; shorter items are in too much prose to
+    tell. Rows with a null text are kept, repeated rows are judged one by one, and
+    empty tables change nothing. With several blocks of items the rows left are
+    written between the passes, so that a task holds one index.
+    """
 
-    def keep(block: Items):
+    def keep(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = shared.value.index()
             for batch in batches:
                 for a, b in words.blocks(batch[text]):
                     whole = np.ones(b - a, bool)
-                    whole[[f[0] for f in block.find(batch[text][a:b].fill_null("").to_pylist())]] = False
+                    whole[[f[0] for f in index.find(batch[text][a:b].fill_null("").to_pylist()) if index.size[f[1]] >= telling]] = False
                     yield batch.slice(a, b - a).filter(pa.array(whole))
 
         return run
 
-    for block in item_blocks(items, percent, min_words, item_key, item_text):
-        docs = docs.mapInArrow(keep(block), docs.schema)
+    for i, block in enumerate(item_blocks(items, percent, min_words, item_key, item_text)):
+        docs = scratch.save(docs, f"pass{i}") if i else docs
+        docs = docs.mapInArrow(keep(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
     return docs
