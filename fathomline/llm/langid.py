@@ -120,6 +120,16 @@ def encoder(dimensions: int, seed: int) -> Encoder:
     return _encoders[dimensions, seed]
 
 
+def _share(known: DataFrame, per_language: int, lang: str, key: str, seed: int) -> DataFrame:
+    """About per_language rows of each language: those whose key's hash is below the share of its rows that this is."""
+    counts = known.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each language
+    place = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 31))
+    share = F.lit(0)
+    for row in counts:
+        share = F.when(F.col(lang) == row["lang"], F.lit(min(1 << 31, -(-(per_language << 31) // row["n"])))).otherwise(share)
+    return known.where(place < share)
+
+
 def train(
     labelled: DataFrame, per_language: int = 2_000, text: str = "text", lang: str = "lang", key: str = "doc_id", dimensions: int = DIMENSIONS, seed: int = SEED
 ) -> tuple[list[str], np.ndarray]:
@@ -132,12 +142,7 @@ def train(
     added up by Spark.
     """
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = known.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each language
-    place = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 31))
-    share = F.lit(0)
-    for row in counts:
-        share = F.when(F.col(lang) == row["lang"], F.lit(min(1 << 31, -(-(per_language << 31) // row["n"])))).otherwise(share)
-    sample = known.where(place < share).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    sample = _share(known, per_language, lang, key, seed).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, sums = encoder(dimensions, seed), {}
@@ -189,27 +194,54 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "do
     return docs.select(*rest).mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
-def known_only(docs: DataFrame, model: tuple[list[str], np.ndarray], min_score: float = 0.05, min_letters: int = 20, text: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
-    """docs without rows whose text is null, has no letter or resembles no language of the model.
+#: Letters from which on texts have limits of their own; shorter texts are never rejected for their score.
+LENGTHS = (20, 50, 100, 200, 500, 2000)
+#: The score that a text in no learned language may reach by chance: 4.5 times the noise of 1,024 random places.
+CHANCE = 0.14
+
 
-    The last: min_letters letters or more and a score below min_score, which is less
-    than chance makes of a text in any language learned. A model that has learned
-    nothing rejects only texts without letters. All columns stay as they are.
+def limits(labelled: DataFrame, model: tuple[list[str], np.ndarray], per_language: int = 2_000, least: int = 50, text: str = "text", lang: str = "lang", key: str = "doc_id", seed: int = SEED) -> dict[tuple[str, int], float]:
+    """The least score that a text predicted as a language should have, for each language and class of length.
+
+    Half of the score that 95 of 100 rows labelled and predicted as that language
+    reach, from the sample that train() takes; CHANCE at least, and CHANCE alone
+    where fewer than ``least`` rows tell.
+    """
+    sample = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    sample = _share(sample, per_language, lang, key, seed).select(F.col(text).alias("text"), F.col(lang).alias("label"))
+    scored = predict(sample, model, text="text", seed=seed).where("label = lang_pred")
+    letters = F.regexp_count("text", F.lit(r"\p{L}"))
+    bands = F.array(*map(F.lit, LENGTHS))
+    scored = scored.withColumn("band", F.array_max(F.filter(bands, lambda x: x <= letters)))
+    rows = scored.where("band IS NOT NULL").groupBy("label", "band").agg(F.percentile_approx("score", 0.05, 10_000).alias("low"), F.count(F.lit(1)).alias("n")).collect()  # languages x lengths
+    return {(r["label"], r["band"]): max(CHANCE, r["low"] / 2) for r in rows if r["n"] >= least}
+
+
+def known_only(docs: DataFrame, model: tuple[list[str], np.ndarray], lower: dict[tuple[str, int], float], text: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
+    """docs without rows whose text is null, has no letter or is in no language of the model.
+
+    The last: it has LENGTHS[0] letters or more and scores below the limit of the
+    language it is nearest to, for its length, or below CHANCE where there is none.
+    A model that has learned nothing rejects only texts without letters. Repeated
+    rows are judged alike, an empty table stays empty, and all columns stay as they are.
     """
     names, table = model
+    bands = np.array(LENGTHS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(dimensions, seed)
         for batch in batches:
             for a, b in blocks(batch[text], BLOCK_BYTES):
                 texts = batch[text][a:b].fill_null("").to_pylist()
-                made, some = coder.vectors(texts)
+                made, keep = coder.vectors(texts)
                 if names:
-                    score = (made @ table.T).max(axis=1)
-                    low = np.flatnonzero(some & (score < min_score))
-                    long = [i for i in low if sum(map(str.isalpha, texts[i])) >= min_letters]
-                    some[long] = False
-                yield batch.slice(a, b - a).filter(pa.array(some))
+                    cosine = made @ table.T
+                    best = cosine.argmax(axis=1)
+                    highest = max([CHANCE, *lower.values()])
+                    for i in np.flatnonzero(keep & (cosine.max(axis=1) < highest)):
+                        band = int(np.searchsorted(bands, sum(map(str.isalpha, texts[i])), "right")) - 1
+                        keep[i] = band < 0 or cosine[i, best[i]] >= lower.get((names[best[i]], LENGTHS[band]), CHANCE)
+                yield batch.slice(a, b - a).filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
 
