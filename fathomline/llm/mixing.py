@@ -25,6 +25,10 @@ from fathomline.llm.words import WORD
 BLOCK_ROWS, MAX_BLOCKS = 256, 1 << 16
 #: More sources than these are joined by a shuffle rather than sent to all executors.
 BROADCAST_SOURCES = 20_000
+#: The same for blocks of all sources, a few dozen bytes each.
+BROADCAST_BLOCKS = 500_000
+#: Ranges of a hash in which draws are put in order, a power of two; tasks that write one shard.
+BUCKETS, FILES = 1024, 64
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], max_repeat: float, share: float = 1.0) -> DataFrame:
@@ -54,31 +58,49 @@ def targets(sources: DataFrame, weights: tuple[float, ...], max_repeat: float, s
     return out.select("source", "source_size", "source_rows", "weight", "target", blocks.cast("int").alias("blocks"))
 
 
-def deal(draws: DataFrame, shards: int, seed: int) -> DataFrame:
+def deal(draws: DataFrame, scratch: Scratch, shards: int, seed: int) -> DataFrame:
     """Add shard to a table of draws by a splitting tree over shards.
 
-    A node of n shards sends the first part of its draws, in the order of a hash,
-    to its first half of the shards, in proportion to their number.
+    All draws stand in one random order. A node of n shards holds a run of them and
+    sends the first part, in proportion, to its first half of the shards: of every
+    source as many as a multivariate hypergeometric draw gives. The places in the
+    order are counted within BUCKETS ranges of the hash, so no task sorts all draws.
     """
-    out = draws.withColumn("_low", F.lit(0)).withColumn("_n", F.lit(shards))
-    for level in range(max(0, (shards - 1).bit_length())):
-        node = Window.partitionBy("_low", "_n")
-        rank = F.row_number().over(node.orderBy(F.xxhash64(F.lit(seed), F.lit(level), "source", "block", "pass"), F.col("source").isNull(), "source", "block", "pass"))
-        left = F.floor(F.col("_n") / 2).cast("int")
-        out = out.withColumn("_rank", rank).withColumn("_size", F.count(F.lit(1)).over(node))
-        goes = F.col("_rank") * F.col("_n") <= F.col("_size") * left
-        out = out.withColumn("_left", left).withColumn("_goes", goes)
-        out = out.withColumn("_low", F.when(F.col("_goes"), F.col("_low")).otherwise(F.col("_low") + F.col("_left")))
-        out = out.withColumn("_n", F.when(F.col("_n") == 1, 1).when(F.col("_goes"), F.col("_left")).otherwise(F.col("_n") - F.col("_left")))
-    return out.withColumn("shard", F.col("_low").cast("int")).drop("_low", "_n", "_rank", "_size", "_left", "_goes")
+    hashed = draws.withColumn("_hash", F.xxhash64(F.lit(seed), "source", "block", "pass")).withColumn("_bucket", F.shiftrightunsigned("_hash", 64 - BUCKETS.bit_length() + 1).cast("int"))
+    hashed = scratch.save(hashed, "draws")
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = hashed.groupBy("_bucket").count().withColumn("_before", F.coalesce(F.sum("count").over(earlier), F.lit(0))).withColumn("_size", F.sum("count").over(Window.partitionBy()))
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", F.col("source").isNull(), "source", "block", "pass"))
+    out = hashed.withColumn("_inside", inside).join(F.broadcast(counts.drop("count")), "_bucket")  # BUCKETS rows at most
+    # of the run that the draw's node holds: its place in it (from 0) and its size; the node's first shard and their number
+    out = out.withColumn("_place", F.col("_before") + F.col("_inside") - 1).withColumn("_low", F.lit(0)).withColumn("_n", F.lit(shards))
+    for _ in range(max(0, (shards - 1).bit_length())):
+        half = F.floor(F.col("_n") / 2).cast("int")
+        first = F.floor(F.col("_size") * half / F.col("_n")).cast("long")
+        out = out.withColumn("_half", half).withColumn("_first", first).withColumn("_left", F.col("_place") < F.col("_first"))
+        out = out.select(
+            *(c for c in out.columns if c not in ("_place", "_size", "_low", "_n")),
+            F.when(F.col("_left"), F.col("_place")).otherwise(F.col("_place") - F.col("_first")).alias("_place"),
+            F.when(F.col("_left"), F.col("_first")).otherwise(F.col("_size") - F.col("_first")).alias("_size"),
+            F.when(F.col("_left"), F.col("_low")).otherwise(F.col("_low") + F.col("_half")).alias("_low"),
+            F.when(F.col("_n") == 1, 1).when(F.col("_left"), F.col("_half")).otherwise(F.col("_n") - F.col("_half")).alias("_n"),
+        ).drop("_half", "_first", "_left")
+    return out.withColumn("shard", F.col("_low").cast("int")).select(*draws.columns, "shard")
 
 
 @dataclass
 class Mix:
-    """rows: key, source, size, source_size, target, draws (array of shard and pass), taken."""
+    """rows: key, source, size, source_size, target, block, draws (array of pass and shard), taken.
+
+    dealt has the draws of whole blocks by (source, block) and ends, for the one block
+    of a source that its partial pass cuts, the draws of each row.
+    """
 
     rows: DataFrame
     sources: DataFrame
+    dealt: DataFrame
+    ends: DataFrame
+    seed: int
 
 
 def word_count(text: Column) -> Column:
@@ -129,7 +151,7 @@ def plan(
     block = scratch.save(block.select("source", "block", "left", "cut", "n"), "blocks")
 
     draws = block.where("n > 0").select("source", "block", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("pass"))
-    dealt = deal(draws, shards, seed).groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("draws"))
+    dealt = deal(draws, scratch, shards, seed).groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("draws"))
     dealt = block.where("n > 0").join(dealt.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "draws"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
     dealt = scratch.save(dealt.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "left", "cut", "draws"), "dealt")
 
@@ -151,28 +173,53 @@ def plan(
     ends = ends.withColumn("_single", short("_one") < short("_fill"))
     kept = F.col("_fits") | F.when(F.col("_single"), F.col("_one")).otherwise(F.col("_fill"))
     ends = ends.withColumn("draws", F.when(kept, F.col("draws")).otherwise(F.slice("draws", 1, F.size("draws") - 1))).drop("_fits", "_gap", "_fill", "_one", "_single")
+    ends = scratch.save(ends, "ends")
     rest = met.where(F.coalesce(~F.col("cut"), F.lit(True)))
     out = rest.unionByName(ends)
     out = out.withColumn("draws", F.coalesce("draws", F.array().cast("array<struct<pass:int,shard:int>>")))
-    return Mix(out.select("key", "source", "size", "source_size", "target", "block", "draws", (F.col("size") * F.size("draws")).alias("taken")), sources)
+    return Mix(out.select("key", "source", "size", "source_size", "target", "block", "draws", (F.col("size") * F.size("draws")).alias("taken")), sources, dealt, ends, seed)
+
+
+def _drawn(docs: DataFrame, made: Mix, key: str, text: str, source: str) -> DataFrame:
+    """docs, each row once for each of its draws, with _draw.
+
+    The draws of a whole block follow from a row's source and the hash of its key, so
+    texts are not shuffled for them: the table of blocks is sent to all executors
+    where it is small. Only rows of blocks that are cut meet their own draws by key
+    and size, the first of equal rows the first draws.
+    """
+    few = made.sources.count() <= BROADCAST_SOURCES
+    known = made.sources.select(F.col("source").alias("_source"), F.col("blocks").alias("_blocks"))
+    out = docs.withColumn("_block", F.xxhash64(F.lit(made.seed), key))
+    out = out.join(F.broadcast(known) if few else known, F.col(source).eqNullSafe(F.col("_source"))).withColumn("_block", F.pmod("_block", F.col("_blocks")).cast("int"))
+    dealt = made.dealt.select(F.col("_source").alias("_s"), F.col("_block").alias("_b"), F.col("cut").alias("_cut"), F.col("draws").alias("_draws"))
+    small = made.dealt.count() <= BROADCAST_BLOCKS
+    out = out.join(F.broadcast(dealt) if small else dealt, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b"))).drop("_s", "_b")
+    whole = out.where(~F.col("_cut"))
+    cut = out.where(F.col("_cut")).drop("_draws").withColumn("_size", word_count(F.col(text)))
+    cut = cut.withColumn("_number", F.row_number().over(Window.partitionBy("_source", key, "_size").orderBy(F.xxhash64(text))))
+    own = made.ends.select(F.col("source").alias("_s"), F.col("key").alias("_k"), F.col("size").alias("_z"), F.col("draws").alias("_draws"))
+    own = own.withColumn("_m", F.row_number().over(Window.partitionBy("_s", "_k", "_z").orderBy(F.desc(F.size("_draws")), F.col("_draws").cast("string"))))
+    same = F.col("_source").eqNullSafe(F.col("_s")) & F.col(key).eqNullSafe(F.col("_k")) & (F.col("_size") == F.col("_z")) & (F.col("_number") == F.col("_m"))
+    cut = cut.join(own, same).drop("_s", "_k", "_z", "_m", "_size", "_number")
+    columns = [*docs.columns, "_draws"]
+    return whole.select(*columns).unionByName(cut.select(*columns)).withColumn("_draw", F.explode("_draws")).drop("_draws")
 
 
 def mix(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The mix itself: rows of docs with all their columns, each as often as it is taken.
+    """The mix itself: rows of docs with all their columns, each as often as plan() takes it."""
+    made = plan(docs, scratch, key, text, source, **options)
+    return _drawn(docs, made, key, text, source).select(*docs.columns)
+
+
+def write_mix(docs: DataFrame, path: str, scratch: Scratch, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> None:
+    """Write the mix under path, a folder shard=N for each shard, the rows of each file in the order of a hash.
 
-    Rows of one key are planned together, so where a key is repeated each of its
-    rows follows the plan of the key's first row.
+    A column shard of docs is replaced. A shard's blocks are drawn and shuffled by
+    themselves, in up to FILES tasks a shard.
     """
-    made = plan(docs, scratch, key, text, source, **options).rows
-    taken = made.where(F.size("draws") > 0).select(F.col("key").alias("_key"), F.col("draws").alias("_draws")).dropDuplicates(["_key"])
-    joined = docs.join(taken, F.col(key).eqNullSafe(F.col("_key")))
-    return joined.withColumn("_draw", F.explode("_draws")).select(*docs.columns)
-
-
-def write_mix(docs: DataFrame, path: str, scratch: Scratch, key: str = "doc_id", seed: int = 11, **options) -> None:
-    """Write the mix under path, a folder shard=N for each shard, its rows in the order of a hash."""
-    made = plan(docs, scratch, key, seed=seed, **options).rows
-    taken = made.where(F.size("draws") > 0).select(F.col("key").alias("_key"), F.explode("draws").alias("_draw")).dropDuplicates()
-    out = docs.drop("shard").join(taken, F.col(key).eqNullSafe(F.col("_key")))
-    out = out.withColumn("shard", F.col("_draw.shard")).repartition("shard", F.pmod(F.xxhash64(key), F.lit(64)))
-    out.sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "_draw", key)).drop("_key", "_draw").write.partitionBy("shard").parquet(path)
+    made = plan(docs, scratch, key, text, source, **options)
+    out = _drawn(docs.drop("shard"), made, key, text, source).withColumn("shard", F.col("_draw.shard"))
+    place = F.xxhash64(F.lit(made.seed), "_draw", key)
+    out = out.withColumn("_place", place).repartition("shard", F.pmod("_place", F.lit(FILES)))
+    out.sortWithinPartitions("shard", "_place").drop("_draw", "_place").write.partitionBy("shard").parquet(path)
