@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows are numbered within blocks of so many neighbouring keys and of texts' checksums.
 KEY_BITS, SALTS = 20, 16
+#: Keys that are no integers are numbered within 2^12 ranges of their hash.
+HASH_BITS = 12
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -33,9 +35,9 @@ def assign(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "
     """One row per row of docs: key, size, text_crc32, law, shard, slot, grown_shard.
 
     size is the UTF-8 bytes of the text plus 1 and text_crc32 its checksum; a null
-    text counts as one of no bytes (1, 0). A null key is a key like any other.
-    slot numbers the rows of a shard from 0 without gaps, in order of key range
-    and checksum. Rows of one key go to one shard, repeated rows included; their
+    text counts as one of no bytes (1, 0). A null key is a key like any other, and
+    keys may be of any type. slot numbers the rows of a shard from 0 without gaps, in
+    order of key range (of its hash, if the key is no integer) and checksum. Rows of one key go to one shard, repeated rows included; their
     slots differ. grown_shard is the shard if there were one more. An empty table
     gives an empty result. Other columns of docs are not read.
 
@@ -51,6 +53,8 @@ def assign(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "
         h = hashes.to_numpy(np.int64).view(np.uint64)
         return pd.DataFrame({"shard": jump(h, shards).astype(np.int32), "grown_shard": jump(h, shards + 1).astype(np.int32)})
 
+    whole = docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
+    near = F.shiftright(F.col(key).cast("long"), KEY_BITS) if whole else F.shiftrightunsigned(F.xxhash64(key), 64 - HASH_BITS)
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(
         F.col(key),
@@ -63,7 +67,7 @@ def assign(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "
         "text_crc32",
         F.col("_at.shard").alias("shard"),
         F.col("_at.grown_shard").alias("grown_shard"),
-        F.shiftright(F.col(key).cast("long"), KEY_BITS).alias("_range"),
+        near.alias("_range"),
         (F.col("text_crc32") % SALTS).alias("_salt"),
     )
     block = ["shard", "_range", "_salt"]
@@ -91,7 +95,7 @@ def assign(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, key: str = "doc_id") -> None:
-    """Write docs with all its columns under path, a folder shard=N for each shard."""
+    """Write docs with all its columns under path, a folder shard=N for each shard; a column shard of docs is replaced."""
 
     @F.pandas_udf("int")
     def place(hashes: pd.Series) -> pd.Series:
