@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -199,11 +200,25 @@ def test_shards(spark, docs, empty):
         assert r["grown_shard"] in (r["shard"], 16) and 0 <= r["shard"] < 16 and r["law"] == "key"
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
     same_multiset([(r["doc_id"], r["size"], r["text_crc32"]) for r in got], [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in edge_rows()])
+    hashes = {r["doc_id"]: r["h"] % 2**64 for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    assert all((r["shard"], r["grown_shard"]) == (plain_jump(hashes[r["doc_id"]], 16), plain_jump(hashes[r["doc_id"]], 17)) for r in got)
+    named = docs.withColumn("doc_id", F.concat(F.lit("doc-"), "doc_id"))
+    by = defaultdict(list)
+    for r in sharding.assign(named).collect():
+        by[r["shard"]].append(r["slot"])
+    assert sum(map(len, by.values())) == len(edge_rows()) and all(sorted(v) == list(range(len(v))) for v in by.values())
     assert sharding.assign(empty).collect() == []
     with pytest.raises(ValueError):
         sharding.assign(docs, shards=0)
 
 
+def test_written_shards(spark, docs, tmp_path):
+    sharding.write_shards(docs, str(tmp_path / "s"), 16)
+    got = spark.read.parquet(str(tmp_path / "s"))
+    assert set(got.columns) == set(docs.columns)
+    same_multiset([(r["doc_id"], r["shard"]) for r in got.select("doc_id", "shard").collect()], [(r["doc_id"], r["shard"]) for r in sharding.assign(docs).select("doc_id", "shard").collect()])
+
+
 # 3
 
 
@@ -247,13 +262,61 @@ def test_languages_of_odd_rows(spark, docs, empty):
     for r in got.collect():
         none = not any(map(str.isalpha, r["text"] or ""))
         assert (r["lang_pred"] == "und") == none and 0 <= r["score"] <= 1 and (not none or r["score"] == 0)
-    kept = langid.known_only(docs, model)
+    lower = langid.limits(docs, model)
+    assert lower == {}  # too few rows to tell
+    kept = langid.known_only(docs, model, lower)
     assert kept.columns == docs.columns
-    same_multiset([r["doc_id"] for r in kept.collect()], [i for i, t, *_ in edge_rows() if any(map(str.isalpha, t or "")) and i not in (10, 13)])  # one word or letter over and over
+    scores = [(r["doc_id"], r["text"], r["score"]) for r in got.collect()]
+    same_multiset([r["doc_id"] for r in kept.collect()], [i for i, t, x in scores if any(map(str.isalpha, t or "")) and (x >= langid.CHANCE or sum(map(str.isalpha, t)) < 20)])
     nothing = langid.train(empty)
     assert nothing[0] == [] and {r["lang_pred"] for r in langid.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_predictions_against_plain_vectors(spark):
+    """Every text's vector, prototype and cosine by plain loops over its trigrams."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 2500").limit(60).cache()
+    coder = langid.Encoder()
+
+    def vector(text):
+        letters = " " + re.sub(r"\\s+", " ", "".join(c if c.isalpha() else " " for c in text.lower())) + " "
+        letters = re.sub(" +", " ", letters)
+        out = np.zeros(langid.DIMENSIONS)
+        for a, b, c in zip(letters, letters[1:], letters[2:]):
+            if b != " ":
+                out += np.roll(coder.letter(ord(a)), 2).astype(float) * np.roll(coder.letter(ord(b)), 1) * coder.letter(ord(c))
+        return out / max(np.linalg.norm(out), 1e-9)
+
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang").collect()]
+    sums = {}
+    for i, t, lang in rows:
+        if lang and zlib.crc32(str(i).encode()) % 5:
+            sums[lang] = sums.get(lang, 0) + vector(t)
+    expected = {}
+    for i, t, _ in rows:
+        scores = {k: float(vector(t) @ v / np.linalg.norm(v)) for k, v in sorted(sums.items())}
+        best = max(scores, key=scores.get)
+        expected[i] = (best, scores[best])
+    model = langid.train(docs.where(~langid.held_out()))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs, model).collect()}
+    assert set(got) == set(expected) and all(got[i][0] == expected[i][0] and got[i][1] == pytest.approx(max(0, expected[i][1]), abs=1e-4) for i in got)
+
+
+def test_foreign_scripts_are_rejected_and_labelled_rows_stay(spark):
+    rng = random.Random(6)
+    docs = spark.read.parquet(os.path.join(os.path.dirname(SF.rstrip("/")), "sf0.01", "documents.parquet"))
+    model = langid.train(docs)
+    lower = langid.limits(docs, model)
+    assert len(lower) >= 6 and all(langid.CHANCE <= x < 0.5 for x in lower.values())
+    foreign = [(-i, " ".join("".join(chr(rng.randrange(0x430, 0x450)) for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(15, 300)))) for i in range(1, 101)]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(foreign, "doc_id long, text string"))
+    kept = {r["doc_id"] for r in langid.known_only(table, model, lower).select("doc_id").collect()}
+    gone = docs.where(~F.col("doc_id").isin(list(kept))).select("text", "doc_id").collect()
+    assert not any(i < 0 for i in kept) and 0 < len(gone) <= 0.02 * docs.count()
+    for r in gone:  # one word over and over, no prose
+        w = WORD.findall(r["text"])
+        assert max(Counter(w).values()) > 0.1 * len(w)
+
+
 def test_vectors_are_sums_of_bound_trigrams():
     coder = langid.Encoder()
     (v,), _ = coder.vectors(["Ab, c"])
@@ -309,8 +372,79 @@ def test_mix_of_tables_is_near_its_targets(spark):
 
 def test_shards_of_a_mix_are_even(spark):
     draws = spark.createDataFrame([(f"s{i % 4}", i, 1) for i in range(103)], "source string, block int, pass int")
-    sizes = Counter(r["shard"] for r in mixing.deal(draws, 6, 1).collect())
-    assert len(sizes) == 6 and max(sizes.values()) - min(sizes.values()) <= 2
+    got = mixing.deal(draws, Scratch(spark, "t"), 6, 1).collect()
+    sizes = Counter(r["shard"] for r in got)
+    assert len(got) == 103 and len(sizes) == 6 and max(sizes.values()) - min(sizes.values()) <= 2
+    assert mixing.deal(draws, Scratch(spark, "t"), 1, 1).where("shard = 0").count() == 103
+    assert all(n < 15 for n in Counter((r["source"], r["shard"]) for r in got).values())
+
+
+def plain_mix(rows, weights, most, seed_hash):
+    """How often each row is taken: whole passes, blocks in order, then single rows of the block where the target is met."""
+    sizes, groups = Counter(), defaultdict(list)
+    for n, (key, source, size) in enumerate(rows):
+        sizes[source] += size
+        groups[source].append((n, key, size))
+    target = plain_targets(dict(sizes), weights, most)
+    taken = [0] * len(rows)
+    for source, own in groups.items():
+        count = -(-len(own) // mixing.BLOCK_ROWS)
+        passes = min(most, int(target[source] / sizes[source])) if sizes[source] else 0
+        left = target[source] - passes * sizes[source]
+        for n, *_ in own:
+            taken[n] = passes
+        for block in range(count if passes < most else 0):
+            inside = sorted((x for x in own if seed_hash[x[1]] % count == block), key=lambda x: (seed_hash[x[1]], x[1] is not None, x[1] or 0, x[2]))
+            words_ = sum(x[2] for x in inside)
+            if left >= words_:
+                for n, *_ in inside:
+                    taken[n] += 1
+            elif left > 0:
+                fits, run = [], 0
+                for x in inside:
+                    run += x[2]
+                    if run <= left:
+                        fits.append(x)
+                gap = left - sum(x[2] for x in fits)
+                others = [x for x in inside if x not in fits]
+                order = lambda x: (seed_hash[x[1]], x[1] is not None, x[1] or 0)
+                fill, run = [], 0
+                for x in sorted(others, key=lambda x: (x[2], *order(x))):
+                    if run + x[2] / 2 <= gap:
+                        fill.append(x)
+                    run += x[2]
+                one = sorted(others, key=lambda x: (abs(gap - x[2]), *order(x)))[:1]
+                one = [x for x in one if abs(gap - x[2]) < gap]
+                best = one if abs(gap - sum(x[2] for x in one)) < abs(gap - sum(x[2] for x in fill)) else fill
+                for n, *_ in fits + best:
+                    taken[n] += 1
+            left -= words_
+    return taken
+
+
+def test_mix_against_a_plain_version(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 4)
+    docs = docs.where("doc_id IS NULL OR doc_id <> 3")  # equal rows of one key may change places
+    rows = [tuple(r) for r in docs.select("doc_id", "source", mixing.word_count(F.col("text")), "text").collect()]
+    hashes = {r[0]: r[1] for r in docs.select("doc_id", F.xxhash64(F.lit(11), "doc_id")).collect()}
+    expected = plain_mix([r[:3] for r in rows], (5, 2, 1), 3, hashes)
+    got = mixing.plan(docs, Scratch(spark, "t"), shards=5)
+    same_multiset([(r["key"], r["size"], r["taken"]) for r in got.rows.collect()], [(r[0], r[2], n * r[2]) for r, n in zip(rows, expected)])
+    mixed = mixing.mix(docs, Scratch(spark, "t"), shards=5)
+    assert mixed.columns == docs.columns
+    same_multiset([tuple(r) for r in mixed.select("doc_id", "source", "text").collect() if r["text"]], [(r[0], r[1], r[3]) for r, n in zip(rows, expected) for _ in range(n) if r[3]])
+
+
+def test_written_mix(spark, docs, tmp_path):
+    made = mixing.plan(docs, Scratch(spark, "t"), shards=5).rows.collect()
+    mixing.write_mix(docs, str(tmp_path / "mix"), Scratch(spark, "t"), shards=5)
+    got = spark.read.parquet(str(tmp_path / "mix"))
+    assert set(got.columns) == set(docs.columns)
+    same_multiset([(r["doc_id"], r["shard"]) for r in got.select("doc_id", "shard").collect()], [(r["key"], d["shard"]) for r in made for d in r["draws"]])
+    whole = Counter(r["doc_id"] for r in got.select("doc_id").collect())
+    assert whole == Counter(i for i in (r["key"] for r in made for _ in r["draws"]))
+    ids = [r["doc_id"] for r in spark.read.parquet(str(tmp_path / "mix" / "shard=1")).coalesce(1).select("doc_id").collect() if r["doc_id"]]
+    assert ids != sorted(ids)
 
 
 # 6
@@ -377,6 +511,25 @@ def test_chat(spark):
     assert chat.format_conversations(turns.limit(0), TOKENIZER).collect() == []
 
 
+def test_windows_keep_to_their_budget(spark, library):
+    rng = random.Random(4)
+    marks = ["", "ok", "!!", "<<", ">>", "][", "</s>", "\\", "'s", "a" * 40]
+    rows = [(1, i, "user", "") for i in range(20_000)] + [(2, i, "assistant" if i % 2 else "user", "ok") for i in range(1500)]
+    rows += [(3, i, rng.choice(["user", "assistant", "tool", "<s>", ""]), "".join(rng.choice(marks) + rng.choice(["", " "]) for _ in range(rng.randint(0, 30)))) for i in range(2000)] + [(3, -1, "system", "short rules")]
+    rows += [(4, 0, "user", "word " * 2000), (4, 1, "assistant", "ok"), (5, 0, "system", "be brief " * 30), (5, 1, "user", "word " * 1000), (5, 2, "user", "ok")]
+    windows = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), TOKENIZER).collect()
+    for w in windows:
+        assert w["tokens"] == len(library.encode(w["text"], add_special_tokens=False).ids)
+        assert w["tokens"] <= 1024 or (w["conv_id"] in (4, 5) and w["turns"] - w["repeated"] == 1)
+        assert chat.parse(w["text"])[0] == ("system", "short rules") or w["conv_id"] != 3
+    new = Counter()
+    for w in windows:
+        new[w["conv_id"]] += w["turns"] - w["repeated"]
+    assert new == Counter(r[0] for r in rows)
+    sums = [w for w in windows if w["conv_id"] == 1]
+    assert len(sums) > 50 and all(w["tokens"] > 1000 for w in sums[:-1])
+
+
 # 8
 
 
@@ -455,28 +608,68 @@ def test_bit_parallel_distance():
         assert decontaminate.best_match(p, t) == plain_distance(p, t)
 
 
+def plain_leaks(rows, items, percent=20, min_words=8):
+    """Distance of every item to every text, by dynamic programming over normalised words."""
+    cut = lambda t: [x for x in re.split(r"[^a-z0-9\x80-\U0010ffff]+", decontaminate.normal(t or "")) if x]
+    out = []
+    for i, t in rows:
+        for j, p in items:
+            p, w = cut(p), cut(t)
+            e = len(p) * percent // 100 if len(p) >= min_words else 0
+            if p and t is not None:
+                distance, _ = plain_distance(p, w)
+                if distance <= e:
+                    out.append((i, j, distance, len(p)))
+    return out
+
+
 def test_leaks(spark, docs, empty):
     rng = random.Random(8)
-    items = [(1, prose(rng, 30)), (2, prose(rng, 15)), (3, "too short"), (4, None), (5, ""), (1, prose(rng, 20))]
+    items = [(1, prose(rng, 30)), (2, prose(rng, 15)), (3, "too short"), (4, None), (5, ""), (1, prose(rng, 20)), (6, "same same same same same same same same same"), (7, "Just four Words, here"), (8, prose(rng, 9))]
     w = items[0][1].split()
     near = w[:5] + ["other"] + w[6:12] + w[13:20] + ["added"] + w[20:]
     rows = [(1, "before " + items[0][1].upper().replace(".", "!") + " after"), (2, " ".join(near)), (3, " ".join(w[:20])), (4, prose(rng, 200)), (5, None), (6, items[1][1]), (6, items[1][1]), (None, items[5][1]), (7, "")]
+    rows += [(8, "it is too, short."), (9, "or just four words here"), (10, "same " * 300), (11, "just four other words here"), (12, items[1][1] + " x " + " ".join(items[1][1].split()[1:]))]
+    for i in range(20, 60):  # items with words changed, added and left out, within and beyond the budget
+        x = rng.choice([items[0][1], items[1][1], items[5][1], items[8][1]]).split()
+        for _ in range(rng.randint(0, 8)):
+            k = rng.randrange(len(x))
+            x[k : k + 1] = rng.choice([[], [x[k], "more"], ["changed"]])
+        rows.append((i, prose(rng, rng.randint(0, 40)) + " " + " ".join(x) + " " + prose(rng, rng.randint(0, 40))))
     table = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, key string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.contaminated(table, bench).collect()
-    same_multiset([(r["doc_id"], r["item_id"], r["distance"]) for r in got], [(1, 1, 0), (2, 1, 3), (6, 2, 0), (6, 2, 0), (None, 1, 0)])
-    kept = decontaminate.clean(table, bench)
+    expected = plain_leaks(rows, items)
+    same_multiset([(r["doc_id"], r["item_id"], r["distance"], r["item_words"]) for r in got], expected)
+    assert {(1, 1, 0, 30), (2, 1, 3, 30), (6, 2, 0, 15), (None, 1, 0, 20), (8, 3, 0, 2), (9, 7, 0, 4)} <= set(expected) and len(expected) > 25
+    for r in got:
+        assert 0 <= r["first_word"] < r["end_word"] and abs(r["end_word"] - r["first_word"] - r["item_words"]) <= r["distance"]
+    kept = decontaminate.clean(table, bench, Scratch(spark, "t"))
     assert kept.columns == table.columns
-    same_multiset([r["doc_id"] for r in kept.collect()], [3, 4, 5, 7])
+    bad = {i for i, _, _, n in expected if n >= 4}
+    same_multiset([r["doc_id"] for r in kept.collect()], [i for i, _ in rows if i not in bad])
+    assert {3, 4, 5, 7, 8, 11} & bad == set() and 9 in bad
     assert decontaminate.contaminated(empty, bench).collect() == [] and decontaminate.contaminated(docs, bench.limit(0)).collect() == []
-    assert decontaminate.clean(docs, bench.limit(0)).count() == len(edge_rows())
+    assert decontaminate.clean(docs, bench.limit(0), Scratch(spark, "t")).count() == len(edge_rows()) and decontaminate.clean(empty, bench, Scratch(spark, "t")).count() == 0
+
 
+def test_one_word_over_and_over_takes_linear_time():
+    index = decontaminate.Items(["i"], ["a " * 16], 20, 8)
+    began = time.time()
+    assert index.find(["a " * 40_000]) == [(0, 0, 0, 0, 16)]
+    assert time.time() - began < 2
 
-def test_item_blocks_cover_all_items(spark):
+
+def test_item_blocks_cover_all_items(spark, monkeypatch):
     rng = random.Random(9)
-    bench = spark.createDataFrame([(i, prose(rng, 12)) for i in range(50)], "item_id long, text string")
+    items = [(i, prose(rng, 12)) for i in range(50)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
     blocks = list(decontaminate.item_blocks(bench, 20, 8, limit=700))
-    assert len(blocks) > 3 and sorted(i for b in blocks for i in b.ids) == list(range(50))
+    assert len(blocks) > 3 and sorted(i for b in blocks for i in b.index().ids) == list(range(50))
+    monkeypatch.setattr(decontaminate.item_blocks, "__defaults__", (8, "item_id", "text", 1500))
+    table = spark.createDataFrame([(i, t) for i, t in items if i % 2] + [(99, "clean")], "doc_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.clean(table, bench, Scratch(spark, "t")).collect()] == [99]
+    same_multiset([tuple(r) for r in decontaminate.contaminated(table, bench).select("doc_id", "item_id").collect()], [(i, i) for i in range(1, 50, 2)])
 
 
 # 10
@@ -520,8 +713,8 @@ def test_pipeline(spark):
         now = scratch.save(stage(spark, now, SF), name)
         assert now.columns == docs.columns
         kept.append({r["doc_id"] for r in now.select("doc_id").collect()})
-    assert len(kept[0]) == docs.count() and len(kept[1]) < len(kept[0]) and kept[2] < kept[1] and kept[3] <= kept[2]
-    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    assert 0.98 * docs.count() <= len(kept[0]) and len(kept[1]) < len(kept[0]) and kept[2] < kept[1] and kept[3] <= kept[2]
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect() if r["doc_id"] in kept[0]]
     assert kept[1] == {r[0] for r, c in zip(rows, components_of(rows, 5, 80)) if r[0] == c}
     leaked = {r["doc_id"] for r in decontaminate.contaminated(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert kept[2] == kept[1] - leaked and leaked & kept[1]
