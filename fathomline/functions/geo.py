@@ -78,3 +78,8 @@ def ring_area(xs: Column, ys: Column) -> Column:
 
 
 DEGREE = math.pi / 180
+
+
+def cell_area(lat: Column, degrees: float) -> Column:
+    """Square kilometres of a grid cell of so many degrees around a latitude."""
+    return F.lit(degrees * LAT_M / 1000) * F.lit(degrees * LON_M / 1000) * F.cos(F.radians(lat))

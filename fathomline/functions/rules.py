@@ -48,3 +48,14 @@ def oneway(base: Column, rules: Column) -> Column:
     """The direction rule in force: an active no wins over an active yes, both over the base (value, active)."""
     on = lambda value: F.exists(rules, lambda r: F.coalesce(r["active"], F.lit(False)) & (r["value"] == value))
     return F.when(on("no"), F.lit("no")).when(on("yes"), F.lit("yes")).otherwise(base)
+
+
+def destination(hgv: Column, limit: Column) -> Column:
+    """Struct of access (heavy vehicles that end here only), exception (a limit that does not hold for these) and unsupported (a rule about them that cannot be read).
+
+    hgv is the value of the access tag, limit a conditional one; the exception is a
+    clause none, unlimited or unrestricted on condition destination.
+    """
+    parts = F.filter(F.transform(clauses(limit), clause), lambda c: F.contains(F.lower(c["condition"]), F.lit("destination")))
+    plain = lambda c: (F.lower(F.trim(c["condition"])) == "destination") & F.lower(F.trim(c["value"])).isin("none", "unlimited", "unrestricted")
+    return F.struct((F.lower(F.trim(F.coalesce(hgv, F.lit("")))) == "destination").alias("access"), F.exists(parts, plain).alias("exception"), F.exists(parts, lambda c: ~plain(c)).alias("unsupported"))

@@ -80,7 +80,7 @@ def parse_column(rows: DataFrame, text: str, name: str = "schedule") -> DataFram
 
 
 def active_at(schedule: Column, moment: Column, is_holiday: Column | None = None) -> Column:
-    """Whether a schedule is active: closed dates first, then holidays, then weekly and seasonal spans (one of Sunday night may reach into Monday)."""
+    """Whether a schedule is active: not on closed dates, nor on holidays if it is off then; else in weekly and seasonal spans (one of Sunday night may reach into Monday) and, on holidays, in those of holidays."""
     minute = F.weekday(moment) * DAY + F.hour(moment) * 60 + F.minute(moment)
     today = minute % DAY
     closed = F.array_contains(schedule["closed"], F.month(moment) * 100 + F.dayofmonth(moment))
@@ -93,15 +93,42 @@ def active_at(schedule: Column, moment: Column, is_holiday: Column | None = None
     weekly = F.exists(schedule["spans"], inside)
     holiday = F.coalesce(is_holiday, F.lit(False)) if is_holiday is not None else F.lit(False)
     on_holiday = F.exists(schedule["holiday_spans"], lambda s: (today >= s["start"]) & (today < s["end"]))
-    return schedule["supported"] & ~closed & F.when(holiday & (schedule["holiday"] != ""), on_holiday).otherwise(weekly)
+    off = holiday & (schedule["holiday"] == "off")
+    return schedule["supported"] & ~closed & ~off & (weekly | (holiday & on_holiday))
 
 
-def wait(schedule: Column, moment: Column) -> Column:
-    """Minutes until a schedule's next weekly span begins, 0 within one; null without spans. Months and dates are not looked at."""
-    minute = F.weekday(moment) * DAY + F.hour(moment) * 60 + F.minute(moment)
+#: Days ahead in which a schedule that is closed now is looked at; the first few are enough for most.
+HORIZON, FIRST_DAYS = 731, 7
 
-    def ahead(s: Column) -> Column:
-        now = (minute >= s["start"]) & (minute < s["end"]) | (minute + WEEK >= s["start"]) & (minute + WEEK < s["end"])
-        return F.when(now, 0).otherwise(F.pmod(s["start"] - minute, F.lit(WEEK)))
 
-    return F.array_min(F.transform(schedule["spans"], ahead))
+def _first_start(schedule: Column, day: Column, after: Column) -> Column:
+    """Minute of the first start, after a minute, of a schedule's spans on a day that is not closed; null if there is none."""
+    month, weekday = F.month(day), F.weekday(day)
+    bit = lambda s: F.floor(s["months"] / F.pow(F.lit(2), month - 1)).cast("int") % 2 == 1
+    # a span that is longer than a day goes on at midnight of the others
+    on = lambda s: (F.floor(s["start"] / DAY) <= weekday) & (F.floor((s["end"] - 1) / DAY) >= weekday) & bit(s) & ((s["start"] >= weekday * DAY) | (s["end"] - s["start"] > DAY))
+    at = F.transform(F.filter(schedule["spans"], on), lambda s: F.greatest(s["start"] - weekday * DAY, F.lit(0)))
+    return F.when(~F.array_contains(schedule["closed"], month * 100 + F.dayofmonth(day)), F.array_min(F.filter(at, lambda x: x > after)))
+
+
+def next_active(rows: DataFrame, text: str, moment: str, name: str = "next_active") -> DataFrame:
+    """Add the moment itself if the schedule of a text is active, else the next start of one of its spans, up to HORIZON days ahead; null if there is none.
+
+    Days are taken in order. What comes after a day is the same for all its moments,
+    so it is looked for once for each distinct text and day. Holidays are not looked at.
+    """
+    known = parse_column(rows.withColumn("_day", F.to_date(moment)), text, "_s")
+    days = parse_column(known.select(text, "_day").distinct(), text, "_s")
+
+    def first(low: int, high: int) -> Column:
+        made = F.transform(F.sequence(F.lit(low), F.lit(high)), lambda i: F.struct(i.alias("day"), _first_start(F.col("_s"), F.date_add("_day", i), F.lit(-1)).alias("minute")))
+        return F.get(F.filter(made, lambda x: x["minute"].isNotNull()), F.lit(0))
+
+    # the far days are only computed where the near ones have nothing
+    found = F.coalesce(first(1, FIRST_DAYS), F.when(F.size("_s.spans") > 0, first(FIRST_DAYS + 1, HORIZON)))
+    later = days.withColumn("_f", found).select(F.col(text).alias("_t"), F.col("_day").alias("_d"), F.timestamp_add("MINUTE", F.col("_f.minute"), F.timestamp_add("DAY", F.col("_f.day"), F.col("_day").cast("timestamp"))).alias("_later"))
+    met = known.join(later, F.col(text).eqNullSafe(F.col("_t")) & F.col("_day").eqNullSafe(F.col("_d")), "left")
+    today = _first_start(F.col("_s"), F.col("_day"), F.hour(moment) * 60 + F.minute(moment))
+    begins = F.coalesce(F.timestamp_add("MINUTE", today, F.date_trunc("day", F.col(moment))), F.col("_later"))
+    now = F.when(active_at(F.col("_s"), F.col(moment)), F.col(moment)).otherwise(begins)
+    return met.withColumn(name, F.when(F.col("_s.supported"), now)).select(*(c for c in rows.columns if c != name), name)

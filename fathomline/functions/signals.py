@@ -161,3 +161,21 @@ def log_area_bin(area: Column) -> Column:
 
 def density_bin(count: Column) -> Column:
     return F.when(count <= 1, "sparse").when(count <= 5, "low").when(count <= 20, "medium").otherwise("high")
+
+
+def wanted(tags: Column) -> Column:
+    """Whether a building (a map of tags) is one to be studied: of worship, of government, historic, or a tower."""
+
+    def tag(name: str) -> Column:
+        return F.coalesce(F.try_element_at(tags, F.lit(name)), F.lit(""))
+
+    building, historic, amenity = tag("building"), tag("historic"), tag("amenity")
+    worship = building.isin(WORSHIP) | (amenity == "place_of_worship")
+    government = building.isin(GOVERNMENT) | (tag("office") == "government") | (amenity == "townhall")
+    old = building.isin(HISTORIC) | ((building != "") & (historic != "")) | historic.isin(HISTORIC)
+    return worship | government | old | (tag("man_made") == "tower")
+
+
+def is_control(tags: Column) -> Column:
+    """Whether a building is an ordinary one."""
+    return (F.coalesce(F.try_element_at(tags, F.lit("building")), F.lit("")) != "") & ~wanted(tags)

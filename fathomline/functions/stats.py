@@ -89,13 +89,6 @@ def p_text(p: Column) -> Column:
     return F.when(p.isNull(), "n/a").when(p < 1e-4, "<0.0001").when(p < 1e-3, "<0.001").otherwise(F.rtrim(text, F.lit(".")))
 
 
-def index_quantile(values: Column, q: float) -> Column:
-    """The element at floor(n * q), counted from 0, of the sorted values of an array (the upper median for 0.5)."""
-    ordered = F.sort_array(F.filter(values, lambda x: x.isNotNull()))
-    place = F.least(F.floor(F.size(ordered) * F.lit(q)) + 1, F.size(ordered))
-    return F.when(F.size(ordered) > 0, F.get(ordered, (place - 1).cast("int")))
-
-
 def random_effects(strata: DataFrame, by: list[str], a: str = "a", b: str = "b", c: str = "c", d: str = "d") -> DataFrame:
     """Pool the log odds ratios of 2x2 tables: fixed effect, Q, tau2 and DerSimonian-Laird random effects.
 
@@ -116,3 +109,21 @@ def random_effects(strata: DataFrame, by: list[str], a: str = "a", b: str = "b",
     out = weighted.groupBy(*by, "k", "fixed_log_or", "q", "tau2").agg((F.sum(F.col("_r") * F.col("_e")) / F.sum("_r")).alias("random_log_or"), F.sqrt(1 / F.sum("_r")).alias("se"))
     low, high = F.col("random_log_or") - Z95 * F.col("se"), F.col("random_log_or") + Z95 * F.col("se")
     return out.withColumn("random_or", F.exp("random_log_or")).withColumn("ci_low", F.exp(low)).withColumn("ci_high", F.exp(high)).withColumn("z", F.when(F.col("se") > 0, F.col("random_log_or") / F.col("se")).otherwise(F.lit(0.0)))
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, width: float, at: dict[str, float]) -> DataFrame:
+    """For each group the values at index floor(q * n) of its sorted values (the last at most), a column for each name of at.
+
+    Values are counted in ranges of the given width, which tells the range of each
+    quantile and its place in that; only the values of these ranges are sorted.
+    """
+    known = rows.select(*by, F.col(value).alias("_v"), F.floor(F.col(value) / F.lit(float(width))).alias("_b")).where("_v IS NOT NULL")
+    counts = known.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumn("_upto", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    places = F.array(*(F.struct(F.lit(name).alias("name"), F.least(F.col("_n") - 1, F.floor(F.col("_n") * q)).alias("k")) for name, q in at.items()))
+    wanted = counts.withColumn("_w", F.explode(places)).where((F.col("_w.k") < F.col("_upto")) & (F.col("_w.k") >= F.col("_upto") - F.col("_c")))
+    wanted = wanted.select(*by, "_b", F.col("_w.name").alias("_name"), (F.col("_w.k") - F.col("_upto") + F.col("_c") + 1).alias("_place"))
+    met = known.join(wanted, [*by, "_b"])
+    met = met.withColumn("_i", F.row_number().over(Window.partitionBy(*by, "_name").orderBy("_v"))).where("_i = _place")
+    return met.groupBy(*by).pivot("_name", list(at)).agg(F.first("_v"))

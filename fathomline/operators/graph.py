@@ -175,9 +175,9 @@ def paths(labels: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
     return done
 
 
-def snap(points: DataFrame, nodes: DataFrame, cell: float) -> DataFrame:
+def snap(points: DataFrame, nodes: DataFrame, cell: float, scratch: Scratch) -> DataFrame:
     """The nearest node of each point (ties by node), searched in growing rings of cells."""
     from fathomline.operators.spatial import nearest_at_all
 
     other = nodes.select("node", F.col("x").alias("x2"), F.col("y").alias("y2"))
-    return nearest_at_all(points, other, cell, "id", ["node"]).select("id", "node", "d2")
+    return nearest_at_all(points, other, cell, "id", ["node"], scratch).select("id", "node", "d2")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,3 +143,53 @@ def last_of(rows: DataFrame, key: str | list[str], order: list[Column]) -> DataF
     """Of rows that share a key the last one in an order."""
     keys = [key] if isinstance(key, str) else key
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
+
+
+# Statuses, sources and warnings of an evidence record.
+STATUSES = ["independent_reference", "curated_reference_unverified", "inventory_and_architect_evidence", "inventory_matched", "osm_heritage_tagged", "manual_review_required"]
+SOURCES = ["NIAH inventory match", "NIAH architect evidence", "OSM heritage metadata", "archival evidence"]
+WARNINGS = ["no NIAH match", "NIAH match is nearest-point fallback", "no architect attribution extracted", "no independent reference supplied", "geometry repaired", "multipart footprint"]
+
+
+def evidence_status() -> Column:
+    """Status by the strongest evidence of a row: has_ref and verified, designer, reg_no, heritage."""
+    tests = [F.col("has_ref") & F.col("verified"), F.col("has_ref"), F.col("designer").isNotNull(), F.col("reg_no").isNotNull(), F.col("heritage"), F.lit(True)]
+    return F.coalesce(*(F.when(test, F.lit(name)) for test, name in zip(tests, STATUSES)))
+
+
+def review_priority() -> Column:
+    """high from a score of 75 on, or of 55 with the angle and a match; medium from 55 on or with a match."""
+    matched = F.col("reg_no").isNotNull()
+    return F.when((F.col("score") >= 75) | ((F.col("score") >= 55) & F.col("angle") & matched), "high").when((F.col("score") >= 55) | matched, "medium").otherwise("low")
+
+
+def _named(tests: list[Column], names: list[str]) -> Column:
+    return F.concat_ws("; ", *(F.when(test, F.lit(name)) for test, name in zip(tests, names)))
+
+
+def evidence_sources() -> Column:
+    return _named([F.col("reg_no").isNotNull(), F.col("designer").isNotNull(), F.col("heritage"), F.col("has_ref")], SOURCES)
+
+
+def evidence_warnings() -> Column:
+    matched = F.col("reg_no").isNotNull()
+    return _named([~matched, matched & (F.col("mode") == "near"), F.col("designer").isNull(), ~F.col("has_ref"), F.col("repaired"), F.col("multipart")], WARNINGS)
+
+
+def label_checks(labels: DataFrame, key: str, allowed: dict[str, list], known: DataFrame) -> DataFrame:
+    """Counts of what a strict reader refuses: check_ and n. Keys are counted before they are compared, so a key of many rows is one row."""
+    bad = reduce(Column.__or__, (~F.col(c).isin(values) for c, values in allowed.items()))
+    keys = labels.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("bad"))
+    met = keys.join(known.select(key, F.lit(True).alias("_known")).distinct(), key, "left")
+    out = met.agg(
+        F.sum("rows").alias("rows"), F.count_if((F.col("rows") > 1) & F.col(key).isNotNull()).alias("duplicate"), F.coalesce(F.sum(F.when(F.col(key).isNull(), F.col("rows"))), F.lit(0)).alias("blank"),
+        F.sum("bad").alias("not_allowed"), F.coalesce(F.sum(F.when(F.col("_known").isNull() & F.col(key).isNotNull(), F.col("rows"))), F.lit(0)).alias("unknown"),
+    )
+    return out.unpivot([], ["rows", "duplicate", "blank", "not_allowed", "unknown"], "check_", "n")
+
+
+def coverage(entities: DataFrame, samples: DataFrame, key: str, value: str) -> DataFrame:
+    """Each entity with what its samples tell: not_covered (none), unreadable (none with a value), partial or available; valid ones and the highest."""
+    found = samples.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.count(value).alias("_valid"), F.max(value).alias("_highest"))
+    status = F.when(F.col("_n").isNull(), "not_covered").when(F.col("_valid") == 0, "unreadable").when(F.col("_valid") < F.col("_n"), "partial").otherwise("available")
+    return entities.join(found, key, "left").select(key, status.alias("status"), F.coalesce("_valid", F.lit(0)).alias("valid"), F.round("_highest", 3).alias("highest"))

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.functions import signals
+
+# Ratings that count as heritage.
+RATED = ["National", "Regional", "International"]
+
 
 def valid_score(score: Column) -> Column:
     """score, null if it is not finite, so that it sorts last."""
@@ -84,6 +91,55 @@ def walk(rows: DataFrame, flags: str, themes: list[str]) -> DataFrame:
     return sorted_.select(F.explode(pick).alias("x")).select("x.*").drop("_i", "_s")
 
 
+def report_filter(
+    q: str | None = None,
+    group: str | None = None,
+    century: str | None = None,
+    rating: str | None = None,
+    kind: str | None = None,
+    county: str | None = None,
+    review: str | None = None,
+    pattern: str | None = None,
+    culture: str | None = None,
+    min_score: float | None = None,
+    angle: bool = False,
+    ratio: float | None = None,
+    circular: bool = False,
+    multi: int | None = None,
+    civic: list[str] | None = None,
+) -> Column:
+    """Whether a row passes all filters that are given.
+
+    q is part of the name in any case; review none means without a review; pattern
+    is one of the flags and multi their least number; ratio the most percent that the
+    aspect is off the golden one; culture is a lens: named (with a name), heritage
+    (rated), pobal (deprivation of 7 or more) or civic (one of the groups in civic).
+    """
+    tests = [F.col(name) == value for name, value in (("grp", group), ("century", century), ("rating", rating), ("kind", kind), ("county", county)) if value is not None]
+    if q:
+        tests.append(F.contains(F.lower("name"), F.lit(q.lower())))
+    if review is not None:
+        tests.append(F.col("review") == ("" if review == "none" else review))
+    if pattern:
+        tests.append(F.array_contains("flags", pattern))
+    if multi is not None:
+        tests.append(F.size("flags") >= multi)
+    if circular:
+        tests.append(F.array_contains("flags", "circular"))
+    if min_score is not None:
+        tests.append(F.col("score") >= min_score)
+    if angle:
+        tests.append(signals.golden_angle(F.col("angle")))
+    if ratio is not None:
+        tests.append(signals.golden_error(F.col("aspect")) <= ratio)
+    if culture is not None:
+        lenses = {"named": F.trim("name") != "", "heritage": F.col("rating").isin(RATED), "pobal": F.col("deprivation") >= 7, "civic": F.col("grp").isin(civic or [])}
+        if culture not in lenses:
+            raise ValueError(f"unknown lens: {culture}")
+        tests.append(lenses[culture])
+    return F.coalesce(reduce(Column.__and__, tests, F.lit(True)), F.lit(False))
+
+
 def numbered(rows: DataFrame, name: str, width: float) -> DataFrame:
     """Rows with their place in order, from 1.
 

@@ -7,9 +7,15 @@ exact distance only filters. Cells are as wide as the search radius.
 
 from __future__ import annotations
 
+import itertools
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.sources.store import Scratch
+
 
 def _around(df: DataFrame, x: str, y: str, radius: float) -> DataFrame:
     """Each row in its own cell and the eight around it."""
@@ -36,18 +42,18 @@ def nearest(pairs: DataFrame, by: str | list[str], order: list, k: int = 1, name
     return pairs.withColumn(name, rank).where(F.col(name) <= k)
 
 
-def nearest_at_all(left: DataFrame, right: DataFrame, radius: float, key: str, order: list, rounds: int = 12) -> DataFrame:
+def nearest_at_all(left: DataFrame, right: DataFrame, radius: float, key: str, order: list, scratch: Scratch, rounds: int = 12) -> DataFrame:
     """The nearest right row of every left row at whatever distance: the radius grows four-fold for rows without any.
 
     A row found within a radius has its true nearest there, so each round joins only
-    what is left; the last one has no bound.
+    what is left; what a round finds and leaves is written before the next.
     """
     out, rest = None, left
-    for _ in range(rounds):
-        got = nearest(within(rest, right, radius), key, ["d2", *order])
+    for turn in range(rounds):
+        got = scratch.save(nearest(within(rest, right, radius), key, ["d2", *order]), f"near{turn}")
         out = got if out is None else out.unionByName(got)
-        rest = rest.join(got.select(key), key, "left_anti")
-        if rest.isEmpty():
+        rest, n = scratch.save_counted(rest.join(got.select(key), key, "left_anti"), f"rest{turn}")
+        if not n:
             return out
         radius *= 4
     raise ValueError("points too far apart for the first radius")
@@ -95,29 +101,48 @@ def match(targets: DataFrame, controls: DataFrame, max_distance: float, k: int,
     return nearest(pairs.withColumn("cost", cost), "id", ["cost", "cid"], k).drop("_near")
 
 
-def assign_once(candidates: DataFrame, k: int, stratum: str = "stratum") -> DataFrame:
-    """Each control at most once: within a stratum targets with the fewest candidates choose first, by cost, then id.
+#: Candidates of a stratum that one task chooses among; larger strata choose in rounds.
+STRATUM_ROWS = 100_000
 
-    A control belongs to one stratum, so strata are apart from each other; within
-    one, the choice is a sequence over its candidates, which are bounded per target.
-    """
-    import pandas as pd
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        counts = rows.groupby("id")["cid"].transform("size")
-        ordered = rows.assign(_n=counts).sort_values(["_n", "id", "cost", "cid"], kind="stable")
-        used, taken, kept = set(), {}, []
-        for i, target, control in zip(ordered.index, ordered["id"], ordered["cid"]):
-            if control not in used and taken.get(target, 0) < k:
-                used.add(control)
-                taken[target] = taken.get(target, 0) + 1
-                kept.append((i, taken[target]))
-        out = ordered.loc[[i for i, _ in kept], [stratum, "id", "cid", "cost"]]
-        return out.assign(rank=[r for _, r in kept])
+def assign_once(candidates: DataFrame, scratch: Scratch, k: int = 1, stratum: str = "stratum", bound: int = STRATUM_ROWS) -> DataFrame:
+    """Each control at most once: within a stratum targets with the fewest candidates choose first, then by id; each takes its k cheapest free ones (cost, then cid).
 
+    A stratum of up to ``bound`` candidates is one group. In a larger one targets do
+    not choose one after another: in each round every target asks for the k cheapest
+    controls that have not refused it, and every control keeps the first of those who
+    ask, in the order of choice, and refuses the others. When none is refused the
+    result is that of the sequence. A round writes its refusals.
+    """
+    counts = candidates.groupBy(stratum, "id").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = counts.groupBy(stratum).agg(F.sum("_n").alias("_size"))
+    pairs = scratch.save(candidates.select(stratum, "id", "cid", "cost").join(counts, [stratum, "id"]).join(sizes, stratum), "candidates")
     kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
     schema = f"{stratum} {kinds[stratum]}, id {kinds['id']}, cid {kinds['cid']}, cost double, rank int"
-    return candidates.select(stratum, "id", "cid", "cost").groupBy(stratum).applyInPandas(choose, schema)
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        used, kept = set(), []
+        for _, own in rows.sort_values(["_n", "id", "cost", "cid"], kind="stable").groupby(["_n", "id"], sort=True):
+            free = own[~own["cid"].isin(used)].head(k)
+            used.update(free["cid"])
+            kept.append(free.assign(rank=range(1, len(free) + 1)))
+        return pd.concat(kept)[[stratum, "id", "cid", "cost", "rank"]]
+
+    small = pairs.where(F.col("_size") <= bound).groupBy(stratum).applyInPandas(choose, schema)
+    pairs = pairs.where(F.col("_size") > bound)
+    if pairs.isEmpty():
+        return small
+    refused = []
+    for turn in itertools.count():
+        left = pairs
+        if refused:
+            left = left.join(reduce(DataFrame.unionByName, refused), [stratum, "id", "cid"], "left_anti")
+        asked = nearest(left, [stratum, "id"], ["cost", "cid"], k)
+        asked = scratch.save(asked.withColumn("_first", F.min(F.struct("_n", "id")).over(Window.partitionBy(stratum, "cid"))), f"asked{turn}")
+        lost, n = scratch.save_counted(asked.where(F.col("_first.id") != F.col("id")).select(stratum, "id", "cid"), f"refused{turn}")
+        if not n:
+            return small.unionByName(asked.select(stratum, "id", "cid", "cost", "rank"))
+        refused.append(lost)
 
 
 def ripley(points: DataFrame, radii: list[float], width: float, height: float) -> DataFrame:

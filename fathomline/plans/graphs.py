@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fathomline.functions import limits, rules
 from fathomline.operators import graph
 from fathomline.plans.registry import query, table
+from fathomline.plans.spatial import POINTS, points
 from fathomline.sources.store import Scratch
 
 
@@ -258,13 +259,11 @@ def access_filter(spark, sf_dir):
     return rows.select("id").join(got, "id", "left").select("id", F.coalesce("_open", F.lit(False)).alias("open"))
 
 
-@query()
+@query(f"SELECT id, node, d2 FROM (SELECT a.id, b.id AS node, pow(a.x - b.x, 2) + pow(a.y - b.y, 2) AS d2, row_number() OVER (PARTITION BY a.id ORDER BY pow(a.x - b.x, 2) + pow(a.y - b.y, 2), b.id) AS rn FROM {POINTS} a JOIN {POINTS} b ON a.label % 2 = 0 AND b.label % 2 = 1) WHERE rn = 1")
 def snapped_nodes(spark, sf_dir):
-    """Points to their nearest node; tested against all distances."""
-    from fathomline.plans.spatial import points
-
+    """Points to their nearest node."""
     p = points(spark, sf_dir)
-    return graph.snap(p.where("label % 2 = 0").select("id", "x", "y"), p.where("label % 2 = 1").select(F.col("id").alias("node"), "x", "y"), 30.0)
+    return graph.snap(p.where("label % 2 = 0").select("id", "x", "y"), p.where("label % 2 = 1").select(F.col("id").alias("node"), "x", "y"), 30.0, Scratch(spark, "snap"))
 
 
 PROFILES = {"car": None, "van": 7.0, "lorry": 12.0}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fathomline.functions import geo, signals, stats
 from fathomline.operators import spatial
 from fathomline.plans.registry import query, table
+from fathomline.sources.store import Scratch
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ def bounded_neighbours(spark, sf_dir):
 @query(f"SELECT id, id2, d2 FROM (SELECT a.id, b.id AS id2, {_OTHER} AS d2, row_number() OVER (PARTITION BY a.id ORDER BY {_OTHER}, b.id) AS rank FROM {POINTS} a JOIN {POINTS} b ON b.label = 1 AND a.label <> 1) WHERE rank = 1")
 def nearest_control(spark, sf_dir):
     p = points(spark, sf_dir)
-    return spatial.nearest_at_all(p.where("label <> 1"), _second(p.where("label = 1")), 40.0, "id", ["id2"]).select("id", "id2", "d2")
+    return spatial.nearest_at_all(p.where("label <> 1"), _second(p.where("label = 1")), 40.0, "id", ["id2"], Scratch(spark, "nearest")).select("id", "id2", "d2")
 
 
 _NN = f"(SELECT id, id2 FROM (SELECT a.id, b.id AS id2, row_number() OVER (PARTITION BY a.id ORDER BY {_OTHER}, b.id) AS rank FROM {POINTS} a JOIN {POINTS} b ON a.id <> b.id AND {_OTHER} <= 60 * 60) WHERE rank <= 2)"
@@ -134,12 +135,29 @@ def matched_difference(spark, sf_dir):
     return out.select("n", F.round("mean", 9).alias("mean"), F.round("sd", 9).alias("sd"), F.round(F.col("mean") / (F.col("sd") / F.sqrt("n")), 7).alias("z"))
 
 
+@query(
+    f"""WITH m AS (SELECT x.id, a.area AS area, c.area AS area2, floor(a.x / 100) AS cell, floor(c.x / 100) AS cell2, a.label AS label, c.label AS label2 FROM {_MATCH} x JOIN {POINTS} a ON a.id = x.id JOIN {POINTS} c ON c.id = x.cid)
+    SELECT 'cell' AS covariate, count(*) AS pairs, round(100.0 * count(*) FILTER (cell = cell2) / count(*), 6) AS exact_pct, count(DISTINCT cell) AS distinct_targets, CAST(NULL AS DOUBLE) AS mean_gap FROM m
+    UNION ALL SELECT 'label', count(*), round(100.0 * count(*) FILTER (label = label2) / count(*), 6), count(DISTINCT label), NULL FROM m UNION ALL SELECT 'area_gap', count(*), NULL, NULL, round(avg(abs(area - area2)), 6) FROM m"""
+)
+def match_balance(spark, sf_dir):
+    """How alike targets and their controls are: equal covariates, and the mean gap of the areas, in one pass over the pairs."""
+    p = points(spark, sf_dir).select("id", "area", F.floor(F.col("x") / 100).alias("cell"), "label")
+    m = _matches(spark, sf_dir).select("id", "cid").join(p, "id").join(p.select(F.col("id").alias("cid"), *(F.col(c).alias(f"{c}2") for c in ("area", "cell", "label"))), "cid")
+    same = lambda c: F.round(F.lit(100.0) * F.count_if(F.col(c) == F.col(f"{c}2")) / F.count(F.lit(1)), 6)
+    none = lambda kind: F.lit(None).cast(kind)
+    one = m.agg(F.count(F.lit(1)).alias("pairs"), same("cell").alias("cell"), same("label").alias("label"), F.countDistinct("cell").alias("cells"), F.countDistinct("label").alias("labels"), F.round(F.avg(F.abs(F.col("area") - F.col("area2"))), 6).alias("gap"))
+    row = lambda name, exact, distinct, gap: F.struct(F.lit(name).alias("covariate"), exact.alias("exact_pct"), distinct.alias("distinct_targets"), gap.alias("mean_gap"))
+    listed = F.array(row("cell", F.col("cell"), F.col("cells"), none("double")), row("label", F.col("label"), F.col("labels"), none("double")), row("area_gap", none("double"), none("bigint"), F.col("gap")))
+    return one.select("pairs", F.explode(listed).alias("x")).select("x.covariate", "pairs", "x.exact_pct", "x.distinct_targets", "x.mean_gap")
+
+
 @query()
 def strict_match(spark, sf_dir):
     """Matching without reuse within strata: a sequence of choices, tested against a plain version."""
     p = points(spark, sf_dir).withColumn("bin", signals.log_area_bin(F.col("area"))).withColumn("stratum", F.floor(F.col("x") / 100))
     got = spatial.match(p.where("label % 2 = 0"), p.where("label % 2 = 1"), 150.0, 12, hard=["stratum"])
-    return spatial.assign_once(got, 1)
+    return spatial.assign_once(got, Scratch(spark, "once"))
 
 
 @query(
@@ -220,13 +238,22 @@ def nearest_line(spark, sf_dir):
     return met.withColumn("d", d).where("d <= 40").groupBy("id").agg(F.round(F.min("d"), 6).alias("distance"))
 
 
-@query()
+_NEAREST = f"(SELECT a.id, a.label AS grp, sqrt(min({_OTHER})) AS d FROM {POINTS} a JOIN {POINTS} b ON b.label = 1 AND a.label <> 1 GROUP BY a.id, a.label)"
+
+
+@query(
+    f"""SELECT grp, count(*) AS n, round(avg(d), 6) AS mean, round(list_sort(list(d))[least(count(*), CAST(floor(count(*) * 0.5) AS BIGINT) + 1)], 6) AS median, round(list_sort(list(d))[least(count(*), CAST(floor(count(*) * 0.9) AS BIGINT) + 1)], 6) AS p90,
+    round(100.0 * count(*) FILTER (d <= 25) / count(*), 6) AS within_25, round(100.0 * count(*) FILTER (d <= 100) / count(*), 6) AS within_100 FROM {_NEAREST} GROUP BY grp"""
+)
 def proximity_summary(spark, sf_dir):
     """Mean, upper median, 90th and share within bounds of the distances to the nearest control."""
     p = points(spark, sf_dir)
-    d = spatial.nearest_at_all(p.where("label <> 1"), _second(p.where("label = 1")), 40.0, "id", ["id2"]).select(F.sqrt("d2").alias("d"), F.col("label").alias("grp"))
-    out = d.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"), F.collect_list("d").alias("all"), (F.avg((F.col("d") <= 25).cast("int")) * 100).alias("within_25"), (F.avg((F.col("d") <= 100).cast("int")) * 100).alias("within_100"))
-    return out.withColumn("median", stats.index_quantile(F.col("all"), 0.5)).withColumn("p90", stats.index_quantile(F.col("all"), 0.9)).drop("all")
+    got = spatial.nearest_at_all(p.where("label <> 1"), _second(p.where("label = 1")), 40.0, "id", ["id2"], Scratch(spark, "nearest"))
+    d = got.select(F.sqrt("d2").alias("d"), F.col("label").alias("grp"))
+    share = lambda far: F.round(F.lit(100.0) * F.count_if(F.col("d") <= far) / F.count(F.lit(1)), 6)
+    out = d.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("d"), 6).alias("mean"), share(25).alias("within_25"), share(100).alias("within_100"))
+    at = stats.quantiles(d, ["grp"], "d", 1.0, {"median": 0.5, "p90": 0.9})
+    return out.join(at, "grp").select("grp", "n", "mean", F.round("median", 6).alias("median"), F.round("p90", 6).alias("p90"), "within_25", "within_100")
 
 
 @query(

@@ -104,9 +104,33 @@ def test_proportions(spark):
     assert p == pytest.approx(0.05)
 
 
-def test_index_quantile(spark):
-    a = F.array(*map(F.lit, (4, 1, 3, 2)))
-    assert spark.range(1).select(stats.index_quantile(a, 0.5), stats.index_quantile(a, 0.9)).first() == (3, 4)
+def test_quantiles(spark):
+    rng = random.Random(1)
+    rows = [(g, float(rng.choice([rng.randrange(5), rng.random() * 1000]))) for g in ("a", "b", "c") for _ in range(rng.randint(1, 200))] + [("d", None)]
+    got = {r["g"]: (r["median"], r["p90"]) for r in stats.quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", 3.0, {"median": 0.5, "p90": 0.9}).collect()}
+    expected = {}
+    for g in ("a", "b", "c"):
+        v = sorted(x for h, x in rows if h == g)
+        expected[g] = tuple(v[min(len(v) - 1, int(len(v) * q))] for q in (0.5, 0.9))
+    assert got == expected
+
+
+def test_choices_in_rounds_are_those_of_a_sequence(spark):
+    rng = random.Random(3)
+    rows = list({(s, i, c): (s, i, c, rng.randrange(6) / 2) for s in "xy" for i in range(25) for c in rng.sample(range(30), rng.randint(1, 9))}.values())
+    rows = [(s, i if s == "x" else i + 100, c if s == "x" else c + 100, w) for s, i, c, w in rows]
+    table = spark.createDataFrame(rows, "stratum string, id long, cid long, cost double")
+    for k in (1, 3):
+        used, expected = set(), set()
+        counts = {}
+        for s, i, c, w in rows:
+            counts[s, i] = counts.get((s, i), 0) + 1
+        for s, i in sorted(counts, key=lambda x: (counts[x], x[1])):
+            free = sorted((w, c) for t, j, c, w in rows if (t, j) == (s, i) and c not in used)[:k]
+            used |= {c for _, c in free}
+            expected |= {(i, c) for _, c in free}
+        for bound in (0, 1000) if k == 1 else (0, 110):
+            assert {(r["id"], r["cid"]) for r in spatial.assign_once(table, Scratch(spark, "once"), k, bound=bound).collect()} == expected
 
 
 def test_years(spark):
@@ -159,14 +183,14 @@ def test_within_equals_all_pairs(spark):
     df = spark.createDataFrame(pts, "id long, x double, y double")
     got = {(r["id"], r["id2"]) for r in spatial.within(df, df.toDF("id2", "x2", "y2"), 9.0).collect()}
     assert got == {(a[0], b[0]) for a in pts for b in pts if (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 <= 81}
-    near = {r["id"]: r["node"] for r in graph.snap(df.where("id < 60"), df.where("id >= 60").toDF("node", "x", "y"), 2.0).collect()}
+    near = {r["id"]: r["node"] for r in graph.snap(df.where("id < 60"), df.where("id >= 60").toDF("node", "x", "y"), 2.0, Scratch(spark, "snap")).collect()}
     for i, x, y in pts[:60]:
         assert near[i] == min(pts[60:], key=lambda p: ((p[1] - x) ** 2 + (p[2] - y) ** 2, p[0]))[0]
 
 
 def test_assign_once(spark):
     rows = [("s", 1, 10, 0.1), ("s", 1, 11, 0.2), ("s", 2, 10, 0.05), ("t", 3, 20, 0.3), ("t", 4, 20, 0.1)]
-    got = {(r["id"], r["cid"]) for r in spatial.assign_once(spark.createDataFrame(rows, "stratum string, id long, cid long, cost double"), 1).collect()}
+    got = {(r["id"], r["cid"]) for r in spatial.assign_once(spark.createDataFrame(rows, "stratum string, id long, cid long, cost double"), Scratch(spark, "once"), 1).collect()}
     assert got == {(2, 10), (1, 11), (3, 20)}
 
 
