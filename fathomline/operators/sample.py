@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.functions import stats
+
 
 def unit(seed: str, ident: Column) -> Column:
     """A number from 0 to 1 (exclusive) that the seed and the id decide: 48 bits of their SHA-256."""
@@ -94,3 +96,53 @@ def permutation(rows: DataFrame, stratum: str, ident: str, label: str, hit: str,
     observed = cells.agg(F.sum("o").alias("observed"), F.sum("m").alias("labelled"), F.count(F.lit(1)).alias("strata"))
     met = drawn.crossJoin(observed)  # one row
     return met.groupBy("observed", "labelled", "strata").agg(F.avg("hits").alias("expected"), ((1 + F.count_if(F.col("hits") >= F.col("observed"))) / (1 + F.count(F.lit(1)))).alias("p"))
+
+
+def orientation_null(observed: DataFrame, iterations: int = 200, seed: int = 1) -> DataFrame:
+    """Chance of at least the observed counts (n, wide, core, peak) among n directions drawn evenly from 180 degrees.
+
+    wide is within 3 degrees of one direction, core within 1, peak the most that any of
+    180 whole directions has within 10. How many directions fall into which degree is
+    a multinomial draw, so the work of an iteration does not grow with n. Result: a row
+    for each of the three with observed, expected and p, (1 + draws at least as large) /
+    (1 + draws).
+    """
+
+    def draw(batches):
+        for part in batches:
+            for n in part["n"]:
+                rng = np.random.Generator(np.random.Philox(key=[seed, int(n)]))
+                cells = np.concatenate([np.zeros((iterations, 1), np.int64), rng.multinomial(n, np.full(180, 1 / 180), iterations).cumsum(axis=1)], axis=1)
+                g = np.arange(180)
+                peak = (cells[:, np.minimum(180, g + 10)] - cells[:, np.maximum(0, g - 10)]).max(axis=1)
+                wide = rng.binomial(n, 6 / 180, iterations)
+                yield pd.DataFrame({"n": n, "wide": wide, "core": rng.binomial(wide, 1 / 3), "peak": peak})
+
+    drawn = observed.select("n").mapInPandas(draw, "n long, wide long, core long, peak long")
+    long = lambda df, value: df.unpivot(["n"], ["wide", "core", "peak"], "band", value)
+    met = long(drawn, "draw").join(long(observed.select("n", *(F.col(c).cast("long") for c in ("wide", "core", "peak"))), "observed"), ["n", "band"])
+    return met.groupBy("n", "band", "observed").agg(F.avg("draw").alias("expected"), ((1 + F.count_if(F.col("draw") >= F.col("observed"))) / (1 + F.count(F.lit(1)))).alias("p"))
+
+
+def moran_permutation(values: DataFrame, edges: DataFrame, iterations: int = 100, seed: int = 1) -> DataFrame:
+    """Moran's I of flags (id, v of 0 and 1) over edges (id, id2), and how often as many flags in other places reach it: n, edges, moran_i, expected, p.
+
+    In an iteration the flags go to the rows with the least hashes, as many as there
+    are. The hash that this ends at is a quantile, found for all iterations together;
+    they are one number each, and what a row has in them is an array.
+    """
+    n, ones = values.agg(F.count(F.lit(1)), F.sum("v")).first()
+    turns = F.sequence(F.lit(0), F.lit(iterations - 1))
+    unit = lambda i: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), i, F.col("id")), 11) / F.lit(float(1 << 53)))
+    hashed = values.select("id", F.explode(turns).alias("turn")).withColumn("u", unit(F.col("turn")))
+    cuts = stats.quantiles(hashed, ["turn"], "u", 1 / 256, {"cut": ones / n}).collect()  # iterations
+    limits = F.array(*(F.lit(r["cut"]) for r in sorted(cuts, key=lambda r: r["turn"])))
+    mean = ones / n
+    own = F.concat(F.array(F.col("v") - F.lit(mean)), F.transform(turns, lambda i: F.when(unit(i) < F.get(limits, i), 1.0).otherwise(0.0) - F.lit(mean)))
+    z = values.select("id", own.alias("z"))
+    met = edges.select("id", "id2").join(z, "id").join(z.select(F.col("id").alias("id2"), F.col("z").alias("z2")), "id2")
+    sums = met.select(F.posexplode(F.zip_with("z", "z2", lambda a, b: a * b)).alias("turn", "x")).groupBy("turn").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("edges"))
+    i = sums.select("turn", "edges", (F.col("x") * F.lit(n) / F.col("edges") / F.lit(ones * (1 - mean))).alias("i"))
+    seen = i.where("turn = 0").select("edges", F.col("i").alias("moran_i"))
+    out = i.where("turn > 0").select("i").crossJoin(seen)  # one row
+    return out.groupBy("edges", "moran_i").agg(F.avg("i").alias("expected"), ((1 + F.count_if(F.col("i") >= F.col("moran_i") - 1e-12)) / (1 + F.count(F.lit(1)))).alias("p")).withColumn("n", F.lit(n))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import geo, signals, stats
-from fathomline.operators import spatial
+from fathomline.operators import sample, spatial
 from fathomline.plans.registry import query, table
 from fathomline.sources.store import Scratch
 
@@ -296,3 +296,24 @@ def fibonacci_distances(spark, sf_dir):
     e = spatial.nearest(spatial.within(p, _second(p), 60.0).where("id <> id2"), "id", ["d2", "id2"], 2).withColumn("d", F.sqrt("d2"))
     near = lambda values: F.exists(F.array(*map(F.lit, values)), lambda f: F.abs(F.col("d") - f) / f <= 0.03)
     return e.agg(F.count(F.lit(1)).alias("n"), F.count_if(near([5, 8, 13, 21, 34, 55])).alias("fibonacci"), F.count_if(near([6, 10, 15, 24, 38, 50])).alias("sham"))
+
+
+@query()
+def orientation_null(spark, sf_dir):
+    """Links near the golden direction, and the most near any, against directions drawn evenly."""
+    p = points(spark, sf_dir)
+    e = spatial.nearest(spatial.within(p, _second(p), 60.0).where("id <> id2"), "id", ["d2", "id2"], 2)
+    b = geo.undirected_bearing(F.col("x2") - F.col("x"), F.col("y2") - F.col("y"))
+    e = Scratch(spark, "bearings").save(e.select(b.alias("b")), "bearings")
+    peak = e.select(F.explode(F.sequence(F.greatest(F.lit(0), F.ceil(F.col("b") - 10)), F.least(F.lit(179), F.floor(F.col("b") + 10)))).alias("g")).groupBy("g").count().agg(F.max("count").alias("peak"))
+    near = lambda off: F.count_if(F.abs(F.col("b") - geo.GOLDEN_ANGLE) <= off)
+    seen = e.agg(F.count(F.lit(1)).alias("n"), near(3.0).alias("wide"), near(1.0).alias("core")).crossJoin(peak)  # one row each
+    return sample.orientation_null(seen)
+
+
+@query()
+def moran_permutation(spark, sf_dir):
+    """Moran's I of one label's points against the same number of points at random."""
+    p = points(spark, sf_dir)
+    edges = spatial.nearest(spatial.within(p, _second(p), 60.0).where("id <> id2"), "id", ["d2", "id2"], 2).select("id", "id2")
+    return sample.moran_permutation(p.select("id", (F.col("label") == 1).cast("double").alias("v")), edges)

@@ -63,12 +63,27 @@ def regex_evidence(spark, sf_dir):
     return d.select("doc_id", F.regexp_count("text", F.lit(r"\bthe\b")).cast("long").alias("wanted"), F.regexp_count("text", F.lit("[0-9]+")).cast("long").alias("numbers"))
 
 
-@query()
+#: Sentences of an appraisal, with the name and confidence that they give.
+SENTENCES = [
+    ("Detached hall, built to designs by the architect J.J. Moss of Cork.", "J.J. Moss", "high"),
+    ("Terraced house, designed by Ada Brook and Sons. Restored later.", "Ada Brook", "high"),
+    ("The plans of the whole terrace, long lost, were prepared by James Joseph Moss (1844-1917).", "James Joseph Moss", "high"),
+    ("Stained glass window designed by Harry Lane.", None, None),
+    ("To a design signed by the Parochial Board.", None, None),
+    ("An architectural, by Mary Ann Wells, for a bank.", "Mary Ann Wells", "medium"),
+    ("A plain barn.", None, None),
+    ("Altar designed by Harry Lane; hall works executed by engineer Tom Reed.", "Tom Reed", "high"),
+]
+_SAID = "(SELECT * FROM (VALUES " + ", ".join("({}, {}, {}, {})".format(i, *("NULL" if v is None else f"'{v}'" for v in (name, how, None if name is None else {"J.J. Moss": "Moss JJ", "Ada Brook": "Brook A", "James Joseph Moss": "Moss JJ", "Mary Ann Wells": "Wells MA", "Tom Reed": "Reed T"}[name]))) for i, (_, name, how) in enumerate(SENTENCES)) + ") v(i, name, confidence, key))"
+
+
+@query(f"SELECT c_custkey AS id, name, confidence, key FROM customer JOIN {_SAID} ON i = c_custkey % {len(SENTENCES)} WHERE name IS NOT NULL")
 def attributions(spark, sf_dir):
-    """Names in whole page texts by patterns of falling confidence; tested on sentences of both kinds."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
-    rows = pages.select("page_id", evidence.attribution(F.col("text")).alias("a")).where("a IS NOT NULL")
-    return rows.select("page_id", "a.name", "a.confidence", evidence.name_key(F.col("a.name")).alias("key"))
+    """Designers named in appraisals, by patterns of falling confidence, and the keys that spellings of one name share."""
+    said = F.element_at(F.array(*(F.lit(x) for x, _, _ in SENTENCES)), (F.col("c_custkey") % len(SENTENCES) + 1).cast("int"))
+    text = F.concat(F.lit("Entry "), F.col("c_custkey").cast("string"), F.lit(". "), said)
+    found = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), evidence.attribution(text).alias("a")).where("a IS NOT NULL")
+    return found.select("id", "a.name", "a.confidence", evidence.name_key(F.col("a.name")).alias("key"))
 
 
 @query("SELECT p_partkey AS id, CASE p_size % 5 WHEN 0 THEN 'x' ELSE coalesce(nullif(trim(p_brand), ''), '') END AS first, p_size % 3 = 0 AS yes FROM part")

@@ -171,10 +171,10 @@ def test_schedule(spark):
 
 def test_attribution(spark):
     text = [
-        "The house was designed by John Nash, 1810.", "Architect: Mary O'Brien of Cork.", "It was not designed by John Nash.", "Attributed to James Gandon", "No name here.",
+        "The house was designed by John Nash, 1810.", "Designed by the architect: Mary O'Brien of Cork.", "Plans, drawn by John Nash.", "A plan of the yard, attributed to James Gandon", "No name here.",
     ]
     got = values(spark, text, lambda c: F.concat_ws(":", evidence.attribution(c)["name"], evidence.attribution(c)["confidence"]))
-    assert got == ["John Nash:high", "Mary O'Brien of Cork:high", "", "James Gandon:medium", ""]
+    assert got == ["John Nash:high", "Mary O'Brien:high", "John Nash:medium", "James Gandon:high", ""]
 
 
 def test_within_equals_all_pairs(spark):
@@ -236,3 +236,37 @@ def test_bootstrap_covers(spark):
     cells = spark.createDataFrame([("g", c, 30 + c % 3, 60, 20 + c % 2, 60) for c in range(40)], "grp string, cell long, k1 long, n1 long, k2 long, n2 long")
     r = sample.block_bootstrap(cells, ["grp"], 200).first()
     assert r["low"] <= 31 / 60 - 20.5 / 60 <= r["high"] and r["p_positive"] == 1
+
+
+def test_orientation_null(spark):
+    seen = spark.createDataFrame([(3600, 200, 40, 470)], "n long, wide long, core long, peak long")
+    got = {r["band"]: r for r in sample.orientation_null(seen, 400).collect()}
+    assert got["wide"]["expected"] == pytest.approx(120, rel=0.03) and got["core"]["expected"] == pytest.approx(40, rel=0.06) and 400 < got["peak"]["expected"] < 480
+    assert got["wide"]["p"] == 1 / 401 and 0.3 < got["core"]["p"] < 0.7 and got["peak"]["p"] < 0.2
+
+
+def test_moran_permutation(spark):
+    n = 60
+    edges = [(i, j) for i in range(n) for j in ((i + 1) % n, (i - 1) % n)]
+    table = spark.createDataFrame(edges, "id long, id2 long")
+
+    def moran(v):
+        m = sum(v) / n
+        return n / len(edges) * sum((v[a] - m) * (v[b] - m) for a, b in edges) / sum((x - m) ** 2 for x in v)
+
+    for v in ([float(i < 15) for i in range(n)], [float(i % 4 == 0) for i in range(n)]):
+        r = sample.moran_permutation(spark.createDataFrame(list(enumerate(v)), "id long, v double"), table, 200).first()
+        assert r["moran_i"] == pytest.approx(moran(v)) and (r["n"], r["edges"]) == (n, len(edges))
+        assert r["expected"] == pytest.approx(-1 / (n - 1), abs=0.03)
+        assert r["p"] == 1 / 201 if v[0] and v[1] else r["p"] > 0.9
+
+
+def test_attributions_that_do_not_count(spark):
+    text = ["Stained glass window designed by Harry Lane.", "built by the Parochial Board", "designed by Sir Aston", "To designs by W.H. Lynn. Comprising a hall", "designed by Rose and Son"]
+    got = values(spark, text, lambda c: evidence.attribution(c)["name"])
+    assert got == [None, None, None, "W.H. Lynn", None]
+
+
+def test_durations(spark):
+    text = ["1:30", "0:05:07", "100:00", "1:60", "1:5", "2 h 30 min", "90 min", "1h1m1s", "45 s", "30 min 1 h", "1.5 hours", "1..5 h", "5", "", None, "0:00", "1 h x", "7 m 7 m"]
+    assert values(spark, text, limits.duration) == [5400, 307, 360000, None, None, 9000, 5400, 3661, 45, None, 5400, None, None, None, None, None, None, None]
