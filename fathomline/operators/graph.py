@@ -84,20 +84,29 @@ def shortest(
     best = lambda rows, name="new": rows.groupBy(*key).agg(F.min(order).alias(name))
     # a least path meets no node twice: who still improves after that many edges has negative costs
     nodes = ways.select("v").distinct().count() if rounds is None and state is None and least is None else None
+
+    def expand(labels: DataFrame) -> DataFrame:
+        met = labels.join(ways, "node")
+        met = met if passes is None else met.where(F.coalesce(passes, F.lit(False)))
+        after = step(F.col("cost")) if step else F.col("cost") + F.col(cost)
+        new = met.select(
+            "origin", F.col("v").alias("node"), after_state.alias("state"), after.cast("double").alias("cost"), (F.col("second") + extra).alias("second"), (F.col("hops") + 1).alias("hops"), F.col("node").alias("prev"), F.col("state").alias("prev_state")
+        )
+        return new.where("cost IS NOT NULL")
+
+    # a round goes two edges where nothing stands against it, as rounds cost more than labels that come to nothing
+    leap = rounds is None and least is None
     for turn in itertools.count(1) if rounds is None else range(1, rounds + 1):
         now, later = front, None
         if least is not None:
             low = front.groupBy("origin").agg(F.min("cost").alias("_low"))
             parted = front.join(low, "origin").withColumn("_now", F.col("cost") < F.col("_low") + least)
             now, later = parted.where("_now").drop("_low", "_now"), parted.where("NOT _now").drop("_low", "_now")
-        met = now.join(ways, "node")
-        met = met if passes is None else met.where(F.coalesce(passes, F.lit(False)))
-        after = step(F.col("cost")) if step else F.col("cost") + F.col(cost)
-        new = met.select(
-            "origin", F.col("v").alias("node"), after_state.alias("state"), after.cast("double").alias("cost"), (F.col("second") + extra).alias("second"), (F.col("hops") + 1).alias("hops"), F.col("node").alias("prev"), F.col("state").alias("prev_state")
-        )
+        new = expand(now)
+        if leap:
+            new = new.unionByName(expand(best(new).select(*key, "new.*")))
         held = best(reduce(DataFrame.unionByName, deltas, base), "old")
-        better = best(new.where("cost IS NOT NULL")).join(held, key, "left").where(F.col("old").isNull() | (F.struct("new.cost", "new.second") < F.struct("old.cost", "old.second")))
+        better = best(new).join(held, key, "left").where(F.col("old").isNull() | (F.struct("new.cost", "new.second") < F.struct("old.cost", "old.second")))
         found, n = scratch.save_counted(better.select(*key, "new.*"), f"found{turn}")
         if n:
             deltas.append(found)
