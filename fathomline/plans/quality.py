@@ -15,7 +15,7 @@ def field_audit(spark, sf_dir):
     return quality.field_audit(table(spark, sf_dir, "customer"), "c_mktsegment", {"c_acctbal": (0, 9000), "c_nationkey": (1, 20), "c_name": (None, None)})
 
 
-@query("SELECT p_size, p_brand, count(*) AS n, array_to_string(list_sort(list(DISTINCT CAST(p_partkey AS VARCHAR))), '|') AS ids FROM part GROUP BY ALL HAVING count(*) > 1")
+@query("SELECT p_size, p_brand, n, id FROM (SELECT p_size, p_brand, p_partkey AS id, count(*) OVER (PARTITION BY p_size, p_brand) AS n FROM part) WHERE n > 1")
 def duplicate_groups(spark, sf_dir):
     return quality.duplicate_groups(table(spark, sf_dir, "part"), ["p_size", "p_brand"], "p_partkey")
 
@@ -30,12 +30,12 @@ _JUDGED = "(SELECT d.n_chars AS score, l.quality = 1 AS truth FROM labels l JOIN
 
 
 @query(
-    f"""SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE END AS f1 FROM (
+    f"""SELECT *, (SELECT round(avg(pow(least(1.0, score / 10000.0::DOUBLE) - CAST(truth AS INT), 2)), 9) FROM {_JUDGED}) AS brier, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE END AS f1 FROM (
     SELECT t AS threshold, count(*) FILTER (score >= t AND truth) AS tp, count(*) FILTER (score >= t AND NOT truth) AS fp, count(*) FILTER (score < t AND truth) AS fn, count(*) FILTER (score < t AND NOT truth) AS tn FROM {_JUDGED} CROSS JOIN (VALUES (500.0::DOUBLE), (1000.0::DOUBLE), (2000.0::DOUBLE), (4000.0::DOUBLE), (8000.0::DOUBLE)) v(t) GROUP BY t)"""
 )
 def calibration(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").select(F.col("n_chars").alias("score"), (F.col("quality") == 1).alias("truth"))
-    return quality.calibration(rows, "score", "truth", [500, 1000, 2000, 4000, 8000], 10000.0).drop("brier")
+    return quality.calibration(rows, "score", "truth", [500, 1000, 2000, 4000, 8000], 10000.0).withColumn("brier", F.round("brier", 9))
 
 
 @query(f"SELECT p AS predicted, a AS actual, (SELECT count(*) FROM {_JUDGED} WHERE CAST(score >= 1000 AS INT) = p AND CAST(truth AS INT) = a) AS n FROM (VALUES (0), (1)) x(p) CROSS JOIN (VALUES (0), (1)) y(a)")

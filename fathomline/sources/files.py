@@ -36,6 +36,44 @@ def rings(geometry: Column) -> Column:
     return F.coalesce(F.when(kind == "MultiPolygon", read(multi)), F.when(kind == "Polygon", read(layer)), F.when(inner.isNotNull(), read(inner)), F.when(first.isNotNull(), read(first)), read(geometry))
 
 
+def parts(geometry: Column) -> Column:
+    """All rings of a geometry text, in order: array of (outer, ring), each outer ring before its holes.
+
+    Reads what rings() does, and all of {exterior, holes}, {exteriors,
+    holes_by_exterior}, Polygon and MultiPolygon.
+    """
+    point = "STRUCT<lat: DOUBLE, lon: DOUBLE>"
+
+    def read(path: str, depth: int) -> Column:
+        """Rings nested in depth arrays, of pairs or of {lat, lon}."""
+        text = F.get_json_object(geometry, path)
+        nest = lambda inner: "ARRAY<" * (depth + 1) + inner + ">" * (depth + 1)
+        pairs = lambda x, d: F.transform(x, (lambda p: F.array(p["lon"], p["lat"])) if d == 0 else (lambda y: pairs(y, d - 1)))
+        return F.when(F.contains(text, F.lit('"lat"')), pairs(F.from_json(text, nest(point)), depth)).otherwise(F.from_json(text, nest("ARRAY<DOUBLE>")))
+
+    ring = lambda outer, r: F.struct(outer.alias("outer"), r.alias("ring"))
+    none = F.array().cast("array<array<array<double>>>")
+    listed = lambda x: F.transform(x, lambda r, i: ring(i == 0, r))
+    with_holes = lambda outer, holes: F.concat(F.array(ring(F.lit(True), outer)), F.transform(F.coalesce(holes, none), lambda r: ring(F.lit(False), r)))
+    kind, one, many, holes = F.get_json_object(geometry, "$.type"), read("$.exterior", 0), read("$.exteriors", 1), read("$.holes_by_exterior", 2)
+    several = F.flatten(F.transform(many, lambda r, i: with_holes(r, F.coalesce(F.get(holes, i), F.when(i == 0, read("$.holes", 1))))))
+    return F.coalesce(
+        F.when(kind == "MultiPolygon", F.flatten(F.transform(read("$.coordinates", 2), listed))),
+        F.when(kind == "Polygon", listed(read("$.coordinates", 1))),
+        F.when(many.isNotNull(), several),
+        F.when(one.isNotNull(), with_holes(one, read("$.holes", 1))),
+        F.when(read("$", 0).isNotNull(), F.array(ring(F.lit(True), read("$", 0)))),
+    )
+
+
+def shape_columns(rings_: Column) -> dict[str, Column]:
+    """xs, ys, starts and outer of rings as parts() gives them, as functions.polygons takes them."""
+    sizes = F.transform(rings_, lambda r: F.size(r["ring"]))
+    axis = lambda k: F.flatten(F.transform(rings_, lambda r: F.transform(r["ring"], lambda p: p[k])))
+    starts = F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, n: a + n))
+    return {"xs": axis(0), "ys": axis(1), "starts": starts, "outer": F.transform(rings_, lambda r: r["outer"])}
+
+
 def features(spark: SparkSession, path: str) -> DataFrame:
     """Features of a GeoJSON layer in their order: seq, geometry (JSON text), properties as texts."""
     schema = "features ARRAY<STRUCT<geometry: STRING, properties: MAP<STRING, STRING>>>"

@@ -19,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
@@ -59,3 +59,9 @@ class Scratch:
         """Delete all other tables that were saved here."""
         self.drop(*(t for t in self.saved if t not in tables))
         self.saved = [t for t in self.saved if t in tables]
+
+    def clear(self) -> None:
+        """Delete all that was written here."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.saved = []

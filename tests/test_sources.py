@@ -5,8 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from fathomline.functions import rules
+from fathomline.functions import polygons, rules, signals
+from fathomline.operators import graph, select
 from fathomline.sources import files, sinks
+from fathomline.sources.store import Scratch
 
 
 def test_elements(spark, tmp_path):
@@ -62,3 +64,59 @@ def test_clauses(spark):
     row = spark.createDataFrame([("no @ (Mo-Fr 07:00-09:00; PH off); 30 @ (22:00-06:00);",)], "t string")
     got = row.select(rules.clauses(F.col("t")).alias("c")).select(F.transform("c", rules.clause).alias("x")).first()["x"]
     assert [(x["value"], x["condition"]) for x in got] == [("no", "Mo-Fr 07:00-09:00; PH off"), ("30", "22:00-06:00")]
+
+
+def test_parts_of_geometries(spark):
+    a, b, h = [[0, 0], [4, 0], [4, 4], [0, 0]], [[9, 0], [10, 0], [10, 1], [9, 0]], [[2, 1], [3, 1], [3, 2], [2, 1]]
+    named = lambda ring: [{"lat": y, "lon": x} for x, y in ring]
+    made = [
+        a,
+        named(a),
+        {"exterior": a, "holes": [h]},
+        {"exteriors": [named(a), named(b)], "holes_by_exterior": [[named(h)], []]},
+        {"type": "Polygon", "coordinates": [a, h]},
+        {"type": "MultiPolygon", "coordinates": [[a, h], [b]]},
+    ]
+    rows = spark.createDataFrame([(i, json.dumps(g)) for i, g in enumerate(made)] + [(9, None)], "i int, g string").withColumn("p", files.parts(F.col("g")))
+    got = {r["i"]: None if r["p"] is None else [(x["outer"], x["ring"]) for x in r["p"]] for r in rows.collect()}
+    ring = lambda outer, r: (outer, [[float(x), float(y)] for x, y in r])
+    one, two, three = [ring(True, a)], [ring(True, a), ring(False, h)], [ring(True, a), ring(False, h), ring(True, b)]
+    assert got == {0: one, 1: one, 2: two, 3: three, 4: two, 5: three, 9: None}
+    shapes = rows.select("i", *(c.alias(n) for n, c in files.shape_columns(F.col("p")).items()))
+    d = {r["i"]: r["d"] for r in shapes.select("i", polygons.descriptors("xs", "ys", "starts", "outer").alias("d")).collect()}
+    assert [d[i]["area"] for i in range(6)] == pytest.approx([8, 8, 7.5, 8, 7.5, 8]) and [d[i]["holes"] for i in range(6)] == [0, 0, 1, 1, 1, 1] and d[9]["status"] == "missing"
+
+
+def test_latin1_and_buckets(spark, tmp_path):
+    (tmp_path / "r.csv").write_bytes("name,n\nCaf\u00e9,1\n".encode("latin-1"))
+    assert files.latin1(spark, str(tmp_path / "r.csv"), "name STRING, n INT").first()["name"] == "Caf\u00e9"
+    sinks.bucketed(spark.range(100).withColumn("x", F.col("id") % 7), "bucketed_rows", "id", 4)
+    made = spark.table("bucketed_rows")
+    try:
+        plan = made.join(made.select("id", F.col("x").alias("y")), "id").hint("merge")._jdf.queryExecution().executedPlan().toString()
+        assert made.count() == 100 and "hashpartitioning" not in plan
+    finally:
+        spark.sql("DROP TABLE bucketed_rows")
+
+
+def test_numbers_in_tags(spark):
+    tags = F.create_map(F.lit("height"), F.lit(" 12.5 m"), F.lit("width"), F.lit("wide"), F.lit("levels"), F.lit("-3"))
+    row = spark.range(1).select(signals.tag_number(tags, "height"), signals.tag_number(tags, "width", "height"), signals.tag_number(tags, "levels"), signals.tag_number(tags, "none")).first()
+    assert tuple(row) == (12.5, 12.5, 0.0, 0.0)
+
+
+def test_second_quantity_breaks_ties(spark):
+    e = spark.createDataFrame([(1, 2, 5.0, 9.0), (1, 3, 2.0, 1.0), (3, 2, 3.0, 1.0)], "u long, v long, w double, seconds double")
+    got = {r["node"]: (r["cost"], r["second"], r["hops"]) for r in graph.shortest(e, spark.createDataFrame([(1, 1, 0.0)], "origin long, node long, start double"), Scratch(spark, "t"), second="seconds").collect()}
+    assert got == {1: (0.0, 0.0, 0), 3: (2.0, 1.0, 1), 2: (5.0, 2.0, 2)}
+
+
+def test_requests_that_are_refused(spark):
+    rows = spark.createDataFrame([(1, 2.0)], "id long, score double")
+    for limit, offset in ((-1, 0), (1, -1)):
+        with pytest.raises(ValueError):
+            select.bounded(rows, limit, offset)
+    with pytest.raises(ValueError):
+        select.report_filter(culture="none")
+    with pytest.raises(ValueError):
+        signals.signal("none")
