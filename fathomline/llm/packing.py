@@ -16,6 +16,7 @@ store; the bytes can be kept as a file of their own as well.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,8 +34,14 @@ from fathomline.llm.words import BLOCK_BYTES, blocks
 MAGIC, HEADER, BLOCK_IDS = b"FBP1", struct.Struct("<4sIQQII"), 4096
 #: Ids after which a pack is closed, at the end of a document.
 PACK_IDS = 1 << 21
+#: Bytes of text in one part, which a task sorts and packs.
+PART_BYTES = 128 << 20
 #: Characters that end a word as a piece of their own.
-_MARKS = frozenset(".,;:!?")
+_MARKS = ".,;:!?"
+#: Such a mark behind a letter at the end of a word.
+_LAST_MARK = re.compile("(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])([.,;:!?]) ")
+#: Such a mark behind anything but a letter, digit or blank, with which it is one piece.
+_AFTER_SIGN = re.compile("[^a-z0-9\u00df-\u00f6\u00f8-\u00ff ][.,;:!?] ")
 #: Letters whose lower case is more than one letter or depends on its place.
 _ODD = frozenset("\u0130\u03a3")
 #: Words whose ids a worker remembers; at that number those met once are forgotten.
@@ -122,6 +129,7 @@ class Encoder:
         self.by_word = len(sign) == 1 and self._encode(f" Ab\n {self.mark} cd, ") == one + sign + two
         self.sign = sign[0] if sign else -1
         self.one_case = self._encode("Ab") == self._encode("ab")
+        self.marks_apart = all(self._encode(f"ab{c} cd") == self._encode("ab") + self._encode(c) + self._encode("cd") for c in _MARKS)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, bool)
         if suffix:
@@ -171,14 +179,14 @@ class Encoder:
         row = self.row
         one, two, other = [], [], []
         for w in words:
-            if w.isalpha() and not _ODD.intersection(w):
+            if w.isalpha() and (w.isascii() or not _ODD.intersection(w)):
                 one.append(w)
-            elif w[:-1].isalpha() and w[-1] in _MARKS and not _ODD.intersection(w):
+            elif w[:-1].isalpha() and w[-1] in _MARKS and (w.isascii() or not _ODD.intersection(w)):
                 two.append(w)
             else:
                 other.append(w)
         low = str.lower if self.one_case else str
-        pieces = {low(w) for w in one} | {low(w[:-1]) for w in two} | {w[-1] for w in two}
+        pieces = dict.fromkeys(chain(map(low, one), (low(w[:-1]) for w in two), (w[-1] for w in two)))
         other += self._learn_pieces([x for x in pieces if x not in row])
         other = [w for w in dict.fromkeys(other) if w not in row]  # a word's row is its place in the dictionary
         plain = [w for w in other if self.mark not in w]
@@ -235,10 +243,25 @@ class Encoder:
             lengths = lengths + 1
         return ids, lengths
 
+    def _cut(self, text: str) -> str:
+        """The text with blanks between what is remembered: words, or, of texts in Latin letters, lower-case words and the marks behind them."""
+        text = _blanked(text)
+        if self.one_case and self.marks_apart and "<|" not in text:
+            try:
+                text.encode("latin-1")  # letters of which each has one lower case
+            except UnicodeEncodeError:
+                return text
+            text = text.lower()
+            if _AFTER_SIGN.search(text):
+                return _LAST_MARK.sub(r" \1 ", text)
+            for c in _MARKS:
+                text = text.replace(c + " ", f" {c} ")
+        return text
+
     def _by_word(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.row) >= REMEMBERED:
             self.forget()
-        split = [_blanked(t).split(" ") for t in texts]
+        split = [self._cut(t).split(" ") for t in texts]
         words = list(chain.from_iterable(split))
         rows = np.fromiter(map(self.row.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(rows < 0).tolist()
@@ -312,7 +335,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, n_ids: int, end: int | Non
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # lengths of one column, to have parts of a bounded size whatever the table's
+    weight = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), weight // PART_BYTES + 1)
     placed = rows.repartitionByRange(parts, "key", F.xxhash64("text")).withColumn("part", F.spark_partition_id())
     placed = placed.sortWithinPartitions("key", F.xxhash64("text"))
     packs = placed.mapInArrow(run, f"part int, pack int, keys array<{kind}>, ids long, data binary")
@@ -320,6 +345,42 @@ def write(docs: DataFrame, path: str, tokenizer: str, n_ids: int, end: int | Non
     return spark.read.schema(packs.schema).parquet(path)
 
 
+def _starts(packs: DataFrame) -> DataFrame:
+    """Of each pack (part, pack, ids) how many ids are before it: parts, then packs within a part, by sums over counts only."""
+    inside = Window.partitionBy("part").orderBy("pack").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = packs.groupBy("part").agg(F.sum("ids").alias("n")).select("part", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("earlier"))
+    starts = packs.select("part", "pack", "ids", F.coalesce(F.sum("ids").over(inside), F.lit(0)).alias("here")).join(sums, "part")
+    return starts.select("part", "pack", "ids", (F.col("earlier") + F.col("here")).alias("before"))
+
+
+def read_spans(packs: DataFrame, spans: DataFrame) -> DataFrame:
+    """The ids of spans (name, start, end; end exclusive, counted over all packs): name and array ids, from the blocks that hold them.
+
+    Names are told apart, so each has one span. A span beyond the last id ends there,
+    and an empty one has no ids; null bounds are empty. Only packs that a span meets
+    are read, and of these only the blocks that it needs are unpacked.
+    """
+    bins = lambda low, high: F.explode(F.sequence(F.floor(low / PACK_IDS), F.floor((high - 1) / PACK_IDS)))
+    wanted = spans.where("start < end AND end > 0").select("name", F.greatest("start", F.lit(0)).alias("start"), "end")
+    end = F.col("before") + F.col("ids")
+    where = _starts(packs).where("ids > 0").withColumn("bin", bins(F.col("before"), end))
+    met = wanted.withColumn("bin", bins(F.col("start"), F.col("end"))).join(where, "bin").where((F.col("start") < end) & (F.col("end") > F.col("before"))).drop("bin", "ids").distinct()
+    kind = spans.schema["name"].dataType.simpleString()
+    asked = met.groupBy("part", "pack").agg(F.collect_list(F.struct("name", (F.col("start") - F.col("before")).alias("low"), (F.col("end") - F.col("before")).alias("high"), F.greatest("start", "before").alias("at"))).alias("asked"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one, spans_ = Pack(batch["data"][i].as_py()), batch["asked"][i].values
+                found = [one.ids(max(0, low), high).astype(np.int64) for low, high in zip(spans_.field("low").to_pylist(), spans_.field("high").to_pylist())]
+                yield pa.RecordBatch.from_arrays([spans_.field("name"), spans_.field("at"), pa.array(found, pa.list_(pa.int64()))], names=["name", "at", "part"])
+
+    pieces = packs.select("part", "pack", "data").join(asked, ["part", "pack"]).select("data", "asked").mapInArrow(run, f"name {kind}, at long, part array<long>")
+    whole = pieces.groupBy("name").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "part"))), lambda x: x["part"])).alias("ids"))
+    return spans.select("name").join(whole, "name", "left").select("name", F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"))
+
+
 def read(packs: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per document of written packs, from their bytes: key, start, n_tokens, ids_crc32.
 
@@ -340,12 +401,7 @@ def read(packs: DataFrame, key: str = "doc_id") -> DataFrame:
                 part, pack_ = pa.array(np.full(n, batch["part"][i].as_py(), np.int32)), pa.array(np.full(n, batch["pack"][i].as_py(), np.int32))
                 yield pa.RecordBatch.from_arrays([part, pack_, batch["keys"][i].values, pa.array(ends - lengths), pa.array(lengths), pa.array(crc)], names=["part", "pack", "key", "first", "n_tokens", "ids_crc32"])
 
-    # parts, then packs within a part: sums over counts only, and only small columns are joined to them
-    inside = Window.partitionBy("part").orderBy("pack").rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = packs.groupBy("part").agg(F.sum("ids").alias("n")).select("part", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("earlier"))
-    starts = packs.select("part", "pack", F.coalesce(F.sum("ids").over(inside), F.lit(0)).alias("here")).join(sums, "part")
-    starts = starts.select("part", "pack", (F.col("earlier") + F.col("here")).alias("before"))
+    starts = _starts(packs).select("part", "pack", "before")
     out = packs.select("part", "pack", "keys", "data").mapInArrow(run, f"part int, pack int, key {kind}, first long, n_tokens long, ids_crc32 long")
     out = out.join(starts, ["part", "pack"])
     return out.select(F.col("key").alias(key), (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")

@@ -690,6 +690,20 @@ def test_packs(spark, docs, empty, library, monkeypatch):
     assert packing.write_and_read(empty, Scratch(spark, "t"), TOKENIZER, 49408, 2).collect() == []
 
 
+def test_spans_of_packs(spark, docs, library, monkeypatch):
+    """Any ids of the corpus from the blocks that hold them, against all ids in a row; 17 bits, so that they are packed."""
+    path = Scratch(spark, "t").path("packs")
+    packs = packing.write(docs.where("doc_id IS NOT NULL").repartition(3), path, TOKENIZER, 100_000, 2)
+    rows = sorted(((i, t or "") for i, t, *_ in edge_rows() if i is not None), key=lambda r: r[0])
+    flat = np.concatenate([library.encode(t, add_special_tokens=False).ids + [2] for _, t in rows])
+    monkeypatch.setattr(packing, "PACK_IDS", 50_000)
+    n = len(flat)
+    spans = [("a", 0, 5), ("b", 4094, 4100), ("c", n - 3, n + 10), ("d", 10, 10), ("e", None, 4), ("f", 100, n), ("g", n, n + 5), ("h", 70_000, 70_001)]
+    got = {r["name"]: r["ids"] for r in packing.read_spans(packs, spark.createDataFrame(spans, "name string, start long, end long")).collect()}
+    assert got == {k: [] if a is None else flat[a:b].tolist() for k, a, b in spans}
+    assert packing.read_spans(packs.limit(0), spark.createDataFrame(spans[:1], "name string, start long, end long")).first()["ids"] == []
+
+
 @pytest.mark.parametrize("n_ids", [2, 100, 50257, 65536, 200_000])
 def test_pack_bytes(n_ids):
     rng = np.random.default_rng(n_ids)
