@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 # Texts that mean no limit, and units in metres and km/h.
 UNLIMITED = ["none", "no", "unlimited", "unrestricted"]
+NEEDS = ["weight", "rating", "height", "width", "length", "axle"]
 FOOT, INCH, MPH, KNOT = 0.3048, 0.0254, 1.609344, 1.852
 _NUMBER = r"(\d+(?:\.\d+)?)"
 
@@ -141,3 +142,13 @@ def truthy(text: Column) -> Column:
 def first_of(properties: Column, *names: str) -> Column:
     """The first of the named properties (of a map) that is not empty, else an empty text."""
     return F.coalesce(*(F.nullif(F.trim(F.try_element_at(properties, F.lit(n))), F.lit("")) for n in names), F.lit(""))
+
+
+def profile(text: Column) -> Column:
+    """Struct of name, needs (map of numbers) and ok of a vehicle's text, NAME;key=value;...: keys must be known and once each, values finite and above 0."""
+    parts = F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda x: x != "")
+    rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    pairs = F.transform(rest, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("key"), F.trim(F.substring_index(x, "=", -1)).try_cast("double").alias("value")))
+    good = lambda p: p["key"].isin(NEEDS) & F.coalesce((p["value"] > 0) & (p["value"] < float("inf")), F.lit(False))
+    ok = (F.size(parts) > 0) & ~F.contains(F.get(parts, F.lit(0)), F.lit("=")) & F.forall(pairs, good) & (F.size(F.array_distinct(F.transform(pairs, lambda p: p["key"]))) == F.size(pairs))
+    return F.struct(F.when(ok, F.get(parts, F.lit(0))).alias("name"), F.when(ok, F.map_from_entries(pairs)).alias("needs"), F.coalesce(ok, F.lit(False)).alias("ok"))

@@ -39,9 +39,9 @@ def field_audit(rows: DataFrame, group: str, fields: dict[str, tuple[float | Non
 
 def duplicate_groups(rows: DataFrame, keys: list[str], ident: str) -> DataFrame:
     """Rows of key values that more than one row has, with their number: a row for each, so that no group has to fit one."""
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    same = reduce(Column.__and__, (rows[k].eqNullSafe(counts[k]) for k in keys))
-    return rows.join(counts, same).select(*(rows[k] for k in keys), "n", rows[ident].alias("id"))
+    counts = rows.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    return rows.join(counts, same).select(*keys, "n", F.col(ident).alias("id"))
 
 
 def status(df: DataFrame, status_: str, quality: str, default: str = "available") -> Column:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.functions import limits, rules
+from fathomline.functions import limits, rules, stats
 from fathomline.operators import graph
 from fathomline.plans.registry import query, table
 from fathomline.plans.spatial import POINTS, points
+from fathomline.sources import files, sinks
 from fathomline.sources.store import Scratch
 
 
@@ -324,3 +325,48 @@ def conditional_rules(spark, sf_dir):
     ways = F.array(F.struct(F.lit("yes").alias("value"), even.alias("active")), F.struct(F.lit("no").alias("value"), third.alias("active")))
     base = F.when(c % 4 != 0, 80)
     return edges(spark, sf_dir).select("id", rules.access(access, ["hgv", "delivery"], F.lit(True)).alias("open"), rules.speed(base, speeds).alias("kmh"), rules.oneway(F.lit("base"), ways).alias("direction"))
+
+
+@query(
+    f"""WITH RECURSIVE e AS MATERIALIZED (SELECT u, v, w, cents % 13 + 1 AS seconds FROM {EDGES}), p(origin, node, k) USING KEY (origin, node) AS (SELECT c_custkey, c_custkey, {{'cost': 0::DOUBLE, 'second': 0::DOUBLE}} FROM customer WHERE c_custkey % 100 = 0
+    UNION SELECT n.origin, n.node, n.k FROM (SELECT p.origin, e.v AS node, min({{'cost': p.k.cost + e.w, 'second': p.k.second + e.seconds}}) AS k FROM p JOIN e ON e.u = p.node GROUP BY p.origin, e.v) n LEFT JOIN recurring.p o ON o.origin = n.origin AND o.node = n.node WHERE o.k IS NULL OR n.k < o.k)
+    SELECT origin, node, k.cost AS distance, k.second AS duration FROM p"""
+)
+def two_quantities(spark, sf_dir):
+    """Shortest ways by distance, of equal ones the fastest, with both quantities."""
+    e = edges(spark, sf_dir).select("u", "v", "w", (F.col("cents") % 13 + 1).alias("seconds"))
+    got = graph.shortest(e, _origins(spark, sf_dir), Scratch(spark, "two"), second="seconds")
+    return got.select("origin", "node", F.col("cost").alias("distance"), F.col("second").alias("duration"))
+
+
+_SUMMARY_PAIRS = f"(SELECT a.origin, b.c_custkey AS node, a.origin // 100 % 4 AS grp, abs(a.origin - b.c_custkey)::DOUBLE AS straight, p.cost FROM (SELECT DISTINCT origin FROM p) a CROSS JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 100 = 50) b LEFT JOIN p ON p.origin = a.origin AND p.node = b.c_custkey)"
+
+
+@query(
+    _search_sql(f"SELECT u, v, w FROM {EDGES} WHERE cents % 5 IN (0, 2, 4)", _STARTS)
+    + f"""SELECT grp, count(*) AS sample_n, count(cost) AS route_n, round(100.0 * count(cost) / count(*), 2) AS reachable_pct, list_sort(list(cost) FILTER (cost IS NOT NULL))[least(count(cost), CAST(floor(count(cost) * 0.5) AS BIGINT) + 1)] AS median,
+    list_sort(list(cost) FILTER (cost IS NOT NULL))[least(count(cost), CAST(floor(count(cost) * 0.9) AS BIGINT) + 1)] AS p90, round(avg(cost / straight), 6) AS ratio FROM {_SUMMARY_PAIRS} GROUP BY grp"""
+)
+def routing_summary(spark, sf_dir):
+    """How many of a vehicle's pairs are reached, and the median, ninetieth and mean detour of their costs, by group."""
+    open_ = _limited(spark, sf_dir).where(limits.passes(limits.weight(F.col("maxweight")), 12.0))
+    labels = graph.shortest(open_.select("u", "v", "w"), _origins(spark, sf_dir), Scratch(spark, "summary"))
+    d = table(spark, sf_dir, "customer").where("c_custkey % 100 = 50").select(F.col("c_custkey").alias("node"))
+    pairs = _origins(spark, sf_dir).select("origin").crossJoin(d).join(labels.select("origin", "node", "cost"), ["origin", "node"], "left")  # a stated set of pairs
+    pairs = pairs.withColumn("grp", F.floor(F.col("origin") / 100) % 4).withColumn("straight", F.abs(F.col("origin") - F.col("node")).cast("double"))
+    out = pairs.groupBy("grp").agg(F.count(F.lit(1)).alias("sample_n"), F.count("cost").alias("route_n"), F.round(F.lit(100.0) * F.count("cost") / F.count(F.lit(1)), 2).alias("reachable_pct"), F.round(F.avg(F.col("cost") / F.col("straight")), 6).alias("ratio"))
+    return out.join(stats.quantiles(pairs, ["grp"], "cost", 10.0, {"median": 0.5, "p90": 0.9}), "grp", "left")
+
+
+@query(f"SELECT way, count(*) AS edges, CAST(sum(w) AS DOUBLE) AS length, count(*) FILTER (way % 3 = 0) AS ferries FROM {EDGES} GROUP BY way")
+def graph_round_trip(spark, sf_dir):
+    """The graph written as plain files of nodes and edges and read back, then counted by way."""
+    scratch, e = Scratch(spark, "portable"), edges(spark, sf_dir)
+    text = lambda c: F.col(c).cast("string").alias(c)
+    ferry = F.when(F.col("way") % 3 == 0, "ferry").otherwise("")
+    out = e.select(text("u"), text("v"), F.col("w").cast("double").alias("length_m"), F.lit("").alias("oneway"), F.lit("road").alias("highway"), F.col("way").cast("string").alias("way_id"), F.lit("").alias("name"), F.lit("").alias("ref"), ferry.alias("route"), F.lit("").alias("ferry"))
+    nodes = e.select(F.col("u").alias("n")).unionByName(e.select(F.col("v").alias("n"))).distinct().select(F.col("n").cast("string").alias("node_id"), (F.col("n") / 1000.0).alias("lat"), (F.col("n") / 500.0).alias("lon"))
+    sinks.write(out, scratch.path("edges"), "csv")
+    sinks.write(nodes, scratch.path("nodes"), "csv")
+    back = files.road_edges(spark, scratch.path("edges"), files.road_nodes(spark, scratch.path("nodes")))
+    return back.groupBy(F.col("way_id").cast("long").alias("way")).agg(F.count(F.lit(1)).alias("edges"), F.sum("w").alias("length"), F.count_if("is_ferry").alias("ferries"))

@@ -92,3 +92,13 @@ def properties(spark, sf_dir):
     props = F.create_map(F.lit("name"), F.when(s % 5 == 0, " x ").otherwise(" "), F.lit("brand"), F.col("p_brand"))
     yes = F.when(s % 3 == 0, " Yes ").when(s % 3 == 1, "no")
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), limits.first_of(props, "name", "brand").alias("first"), limits.truthy(yes).alias("yes"))
+
+
+@query(f"SELECT id, CASE s % 4 WHEN 0 THEN 'van' WHEN 1 THEN 'lorry' END AS name, CASE s % 4 WHEN 0 THEN 3.5::DOUBLE WHEN 1 THEN s::DOUBLE + 1 END AS weight, CASE s % 4 WHEN 1 THEN 3.8::DOUBLE END AS height, s % 4 < 2 AS ok FROM {_KINDS}")
+def profile_specs(spark, sf_dir):
+    """Vehicles as texts: a name and its needs; unknown keys and values that are no numbers above 0 are refused."""
+    s = F.col("p_size")
+    text = F.when(s % 4 == 0, "van; weight=3.5").when(s % 4 == 1, F.concat(F.lit("lorry;weight="), s + 1, F.lit(";height = 3.8;"))).when(s % 4 == 2, "bus;seats=50").otherwise("cart;weight=-1")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), limits.profile(text).alias("p"))
+    need = lambda n: F.try_element_at("p.needs", F.lit(n)).alias(n)
+    return rows.select("id", "p.name", need("weight"), need("height"), "p.ok")
