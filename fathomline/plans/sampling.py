@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import signals, stats
 from fathomline.operators import rates, sample
-from fathomline.plans.rates import LONG, ROWS, analysed
+from fathomline.plans.rates import _UZ as UNPOOLED
+from fathomline.plans.rates import LONG, ROWS, analysed, erfc_sql
 from fathomline.plans.registry import query, table
 
 _UNIT = "(('0x' || substr(sha256('split-1:' || id), 1, 12))::BIGINT / pow(16::DOUBLE, 12))"
@@ -36,13 +37,16 @@ def holdout_rates(spark, sf_dir):
     return rates.both_sides(rates.long_signals(rows, signals.PRIMARY), ["is_holdout", "signal"])
 
 
-@query()
+_HELD = f"(SELECT signal, count(*) FILTER (hit AND NOT is_control) AS k1, count(*) FILTER (NOT is_control) AS n1, count(*) FILTER (hit AND is_control) AS k2, count(*) FILTER (is_control) AS n2 FROM {LONG} WHERE {_UNIT} < 0.3 GROUP BY signal)"
+
+
+@query(f"SELECT signal, k1, n1, k2, n2, round(z, 9) AS z, round({erfc_sql('z')}, 9) AS p FROM (SELECT *, {UNPOOLED} AS z FROM {_HELD})")
 def holdout_evaluation(spark, sf_dir):
     """Unpooled z and p of each signal in the holdout."""
     rows = sample.holdout(analysed(spark, sf_dir), "id", "split-1", 0.3).where("is_holdout")
     out = rates.both_sides(rates.long_signals(rows, signals.PRIMARY), ["signal"])
     out = out.withColumn("z", stats.unpooled_z(*(F.col(c) for c in ("k1", "n1", "k2", "n2"))))
-    return out.withColumn("p", stats.two_sided_p("z"))
+    return out.withColumn("p", stats.two_sided_p("z")).withColumns({c: F.round(c, 9) for c in ("z", "p")})
 
 
 @query()
