@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import bpe, chat, decontaminate, langid, minhash, mixing, packing, quality, sharding, sql, substrings
+from fathomline.llm import bpe, chat, decontaminate, langid, merkle, minhash, mixing, packing, quality, sharding, sql, substrings
 from fathomline.llm.store import Scratch
 
 
@@ -75,8 +75,27 @@ def op10_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.write_and_read(_table(spark, sf_dir, "documents"), Scratch(spark, "ids"), path, packing.vocabulary(path), end=2)
 
 
+def op13_nested_interval_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.check(_table(spark, sf_dir, "documents"), Scratch(spark, "manifest"), {"text": merkle.without_newlines()})
+
+
+_QUERIES = (
+    op1_superminhash,
+    op2_jump_shards,
+    op3_bpe_counts,
+    op4_hyperdimensional_language,
+    op5_weighted_mix,
+    op6_divergence_rules,
+    op7_budgeted_chat_windows,
+    op8_debruijn_repeats,
+    op9_pigeonhole_leaks,
+    op10_bit_packed_ids,
+    op13_nested_interval_manifest,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_superminhash, op2_jump_shards, op3_bpe_counts, op4_hyperdimensional_language, op5_weighted_mix, op6_divergence_rules, op7_budgeted_chat_windows, op8_debruijn_repeats, op9_pigeonhole_leaks, op10_bit_packed_ids)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
