@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import bpe, chat, decontaminate, langid, merkle, minhash, mixing, packing, quality, sharding, sql, substrings
+from fathomline.llm import bpe, chat, decontaminate, dialogue, langid, merkle, minhash, mixing, packing, quality, sharding, sql, substrings
 from fathomline.llm.store import Scratch
 
 
@@ -75,6 +75,10 @@ def op10_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.write_and_read(_table(spark, sf_dir, "documents"), Scratch(spark, "ids"), path, packing.vocabulary(path), end=2)
 
 
+def op11_checkpointed_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repaired(dialogue.damage(_table(spark, sf_dir, "conversations")), Scratch(spark, "dialogue"))
+
+
 def op13_nested_interval_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.check(_table(spark, sf_dir, "documents"), Scratch(spark, "manifest"), {"text": merkle.without_newlines()})
 
@@ -90,6 +94,7 @@ _QUERIES = (
     op8_debruijn_repeats,
     op9_pigeonhole_leaks,
     op10_bit_packed_ids,
+    op11_checkpointed_repair,
     op13_nested_interval_manifest,
 )
 
