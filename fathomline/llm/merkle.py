@@ -233,12 +233,12 @@ def build(docs: DataFrame, scratch: Scratch, key: str = "doc_id", group: str = "
     part = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("-"))
     own = leaf(*(F.col(c) for c in columns))
     rows = docs.select(part.alias("part"), F.col(key).alias("key"), own.alias("digest"), (own if claim is None else claim).alias("claim"))
-    rows = ranked(rows, scratch, "leaves", "part", [F.col("key").asc_nulls_first(), F.col("digest")])
+    rows = ranked(scratch.save(rows, "digests"), scratch, "leaves", "part", [F.col("key").asc_nulls_first(), F.col("digest")])
     most = rows.agg(F.max("n")).first()[0]
     if most is None:
         return Manifest(None, None, None)
     trees = grow(rows, scratch, "trees", most, ("key", "claim"))
-    scratch.drop("leaves-placed", "leaves-pieces")
+    scratch.drop("digests", "leaves-placed", "leaves-pieces")
     roots = trees.roots().select(F.lit("").alias("all"), F.col("part").alias("group"), "digest")
     roots = ranked(roots, scratch, "roots", "all", [F.col("group")]).withColumnRenamed("all", "part")
     over = grow(roots, scratch, "over", roots.agg(F.max("n")).first()[0], ("group",))
