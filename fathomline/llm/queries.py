@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import bpe, chat, decontaminate, dialogue, langid, merkle, minhash, mixing, packing, quality, sharding, sql, substrings
+from fathomline.llm import bpe, chat, decontaminate, dialogue, langid, merkle, minhash, mixing, packing, quality, secrets, sharding, sql, substrings
 from fathomline.llm.store import Scratch
 
 
@@ -79,6 +79,11 @@ def op11_checkpointed_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.repaired(dialogue.damage(_table(spark, sf_dir, "conversations")), Scratch(spark, "dialogue"))
 
 
+def op12_convolutional_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secrets.find(_table(spark, sf_dir, "documents"), Scratch(spark, "secrets"))
+    return secrets.report(found)
+
+
 def op13_nested_interval_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.check(_table(spark, sf_dir, "documents"), Scratch(spark, "manifest"), {"text": merkle.without_newlines()})
 
@@ -95,6 +100,7 @@ _QUERIES = (
     op9_pigeonhole_leaks,
     op10_bit_packed_ids,
     op11_checkpointed_repair,
+    op12_convolutional_secrets,
     op13_nested_interval_manifest,
 )
 
