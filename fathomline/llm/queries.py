@@ -110,4 +110,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_superminhash": sql.NEAR_DUPLICATES, "op6_divergence_rules": sql.QUALITY, "op8_debruijn_repeats": sql.REPEATS}
+    return {
+        "op1_superminhash": sql.NEAR_DUPLICATES,
+        "op6_divergence_rules": sql.QUALITY,
+        "op8_debruijn_repeats": sql.REPEATS,
+        "op11_checkpointed_repair": sql.REPAIR,
+        "op13_nested_interval_manifest": sql.MANIFEST,
+    }

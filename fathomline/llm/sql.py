@@ -56,3 +56,86 @@ x AS (SELECT w.doc_id, u.i, w.w[u.i] AS word FROM w, unnest(range(1, len(w) + 1)
 kept AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.i) AS text FROM x LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.j = x.i WHERE gone.j IS NULL GROUP BY x.doc_id)
 SELECT w.doc_id, len(w.w) AS n_words, (SELECT count(*) FROM gone WHERE gone.doc_id = w.doc_id) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
+
+#: The 256 remainders of a byte, and the checksum of the text s by them.
+_CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) AS t"
+_CRC = "xor(4294967295, list_reduce([4294967295] || list_transform(range(1, length(s) + 1), lambda i: ord(s[i])::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+
+
+
+def _field(c: str) -> str:
+    return f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _beside(own: str) -> str:
+    """Digests of the nodes k of a run before and after the one that covers this rank."""
+    part = "coalesce(string_agg(k.digest, '' ORDER BY k.idx) FILTER (k.idx {0} {1} // k.width), '')"
+    return part.format("<", own) + " AS before, " + part.format(">", own) + " AS after"
+
+
+_UP = "idx // 3, (n + 2) // 3, width * 3, sha256(string_agg(digest, '' ORDER BY idx))"
+
+MANIFEST = f"""
+WITH RECURSIVE tab AS ({_CRC_TABLE}),
+doc AS (SELECT doc_id, source, lang, n_chars, text, doc_id::VARCHAR AS s, t FROM documents, tab),
+tampered AS (SELECT *, CASE WHEN {_CRC} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other FROM doc),
+made AS (SELECT doc_id, coalesce('=' || source, '-') AS part, {_leaf("text")} AS leaf, {_leaf("other")} AS claim FROM tampered),
+leaf AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY part) AS n FROM made),
+node AS (SELECT part, idx, n, 1::BIGINT AS width, leaf AS digest FROM leaf UNION ALL SELECT part, {_UP} FROM node WHERE n > 1 GROUP BY part, idx // 3, n, width),
+kept AS MATERIALIZED (SELECT * FROM node),
+sub AS MATERIALIZED (SELECT part, digest, row_number() OVER (ORDER BY part) - 1 AS idx, count(*) OVER () AS n FROM kept WHERE n = 1),
+over_ AS (SELECT idx, n, 1::BIGINT AS width, digest FROM sub UNION ALL SELECT {_UP} FROM over_ WHERE n > 1 GROUP BY idx // 3, n, width),
+top AS MATERIALIZED (SELECT * FROM over_),
+above AS MATERIALIZED (SELECT o.part, k.width, {_beside("o.idx")} FROM sub o JOIN top k ON k.n > 1 AND k.idx // 3 = o.idx // (k.width * 3) GROUP BY o.part, o.idx, k.width),
+beside AS (SELECT l.part, l.idx, k.width, {_beside("l.idx")} FROM leaf l JOIN kept k ON k.part = l.part AND k.n > 1 AND k.idx // 3 = l.idx // (k.width * 3) GROUP BY l.part, l.idx, k.width),
+step AS (SELECT part, idx, 0 AS tree, width, before, after FROM beside UNION ALL SELECT part, l.idx, 1, a.width, a.before, a.after FROM leaf l JOIN above a USING (part)),
+way AS (SELECT part, idx, list(before || '|' || after ORDER BY tree, width) AS steps, string_agg(before || after, '' ORDER BY tree, width) AS proof FROM step GROUP BY part, idx),
+done AS (SELECT doc_id, leaf, sub.digest AS subroot, (SELECT digest FROM top WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce([claim] || coalesce(steps, []), lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) AS folded_root
+    FROM leaf JOIN sub USING (part) LEFT JOIN way ON way.part = leaf.part AND way.idx = leaf.idx)
+SELECT *, folded_root = root AS verified FROM done
+"""
+
+_MUST_GO = "fault IN ('b', 'd')"
+
+
+def _before(state: int, kept: str) -> str:
+    """Least cost before a turn in this state, without insertions: delete, keep (initials with their next states), change."""
+    to = {0: 2, 1: 2, 2: 3, 3: 2}[state]
+    keeps = "".join(f", CASE WHEN NOT {_MUST_GO} AND initial = '{c}' THEN extra + v[{n + 1}] END" for c, n in zip(kept[::2], map(int, kept[1::2])))
+    return f"least(4 + v[{state + 1}], CASE WHEN NOT {_MUST_GO} THEN 3 + extra + v[{to + 1}] END{keeps})"
+
+
+REPAIR = rf"""
+WITH RECURSIVE tab AS ({_CRC_TABLE}),
+given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s, t FROM conversations, tab),
+kind AS MATERIALIZED (SELECT conv_id, turn, role, text, {_CRC} % 20 AS kind FROM given),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM kind, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) u(copy)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, regexp_replace(text, '[ 	-]+', '', 'g') AS bare FROM damaged),
+faulty AS (SELECT *, role[1] AS initial, CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN bare[-1] NOT IN ('.', '!', '?') THEN 't' ELSE 'o' END AS fault,
+    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS earlier FROM placed),
+r AS MATERIALIZED (SELECT *, CASE fault WHEN 't' THEN 3 ELSE 0 END AS extra FROM faulty),
+size AS MATERIALIZED (SELECT c.conv_id, count(r.i) AS n, coalesce(max(r.turn) - min(r.turn) + 1 - count(DISTINCT r.turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (earlier IS NOT NULL AND earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY c.conv_id),
+cost AS (SELECT conv_id, n + 1 AS i, [0, 6, 3, 0]::BIGINT[] AS v FROM size
+    UNION ALL SELECT conv_id, i, [least(u[1], 3 + u[3], 6 + u[4]), least(u[2], 3 + u[3], 6 + u[4]), least(u[3], 3 + u[4]), least(u[4], 3 + u[3])]
+    FROM (SELECT c.conv_id, r.i, [{_before(0, "s1u2")}, {_before(1, "u2")}, {_before(2, "a3")}, {_before(3, "u2")}]::BIGINT[] AS u FROM cost c JOIN r ON r.conv_id IS NOT DISTINCT FROM c.conv_id AND r.i = c.i - 1)),
+costs AS MATERIALIZED (SELECT * FROM cost),
+walk AS (SELECT conv_id, 1::BIGINT AS i, 0 AS state, '' AS audit, []::VARCHAR[] AS said FROM size
+    UNION ALL SELECT conv_id, CASE WHEN edit = 'I' THEN i ELSE i + 1 END, CASE edit WHEN 'D' THEN state WHEN 'K' THEN keep ELSE to_ END, audit || edit,
+        CASE edit WHEN 'D' THEN said WHEN 'K' THEN said || [role || ':' || text] ELSE said || [CASE to_ WHEN 2 THEN 'user' ELSE 'assistant' END || ':' || CASE edit WHEN 'I' THEN '' ELSE text END] END
+    FROM (SELECT *, CASE WHEN 4 + after[state + 1] = here[state + 1] THEN 'D' WHEN 3 + here[to_ + 1] = here[state + 1] THEN 'I' WHEN NOT {_MUST_GO} AND extra + after[keep + 1] = here[state + 1] THEN 'K' ELSE 'R' END AS edit
+        FROM (SELECT w.*, a.v AS here, b.v AS after, r.role, r.text, r.extra, r.fault, CASE w.state WHEN 2 THEN 3 ELSE 2 END AS to_,
+            CASE w.state::VARCHAR || r.initial WHEN '0s' THEN 1 WHEN '0u' THEN 2 WHEN '1u' THEN 2 WHEN '2a' THEN 3 WHEN '3u' THEN 2 END AS keep
+            FROM walk w JOIN costs a ON a.conv_id IS NOT DISTINCT FROM w.conv_id AND a.i = w.i LEFT JOIN costs b ON b.conv_id IS NOT DISTINCT FROM w.conv_id AND b.i = w.i + 1 LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i
+            WHERE b.conv_id IS NOT NULL OR b.i IS NOT NULL OR w.state IN (1, 2)))),
+done AS (SELECT w.conv_id, audit, said FROM walk w JOIN size z ON z.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = z.n + 1 AND w.state IN (0, 3))
+SELECT z.conv_id, gaps, blank, duplicate, truncated, illegal, v[1] AS cost, audit, sha256(array_to_string(said, chr(10))) AS repaired_sha256
+FROM size z JOIN done d ON d.conv_id IS NOT DISTINCT FROM z.conv_id JOIN costs c ON c.conv_id IS NOT DISTINCT FROM z.conv_id AND c.i = 1
+"""
