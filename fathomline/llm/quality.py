@@ -24,8 +24,8 @@ _CLASSES = {
     "mark": ".,;:!?'\"-()[]{}/\\_",
 }
 _HISTOGRAM = ("space", "symbol", "upper", "digit", "mark", "rest")
-#: A language's common words: the most frequent ones of up to so many code points.
-COMMON_WORDS, COMMON_LENGTH = 24, 7
+#: A language's common words: so many of the most frequent ones.
+COMMON_WORDS = 24
 #: More languages than these are joined by a shuffle rather than sent to all executors.
 BROADCAST_LANGUAGES = 1_000
 
@@ -102,12 +102,11 @@ def divergence(p: Column, q: Column) -> Column:
 def common_words(docs: DataFrame, scratch: Scratch, text: str = "text", lang: str = "lang") -> DataFrame:
     """For each language its most frequent words, array common (by count, then code point), and their counts; last, of all other words."""
     words = docs.select(F.col(lang).alias("lang"), F.explode(words_of(F.col(text))).alias("word"))
-    kept = F.when(F.length("word") <= COMMON_LENGTH, F.col("word"))
-    counts = scratch.save(words.groupBy("lang", kept.alias("word")).agg(F.count(F.lit(1)).alias("n")), "counts")
+    counts = scratch.save(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "counts")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     # totals by plain aggregation; the ranking keeps a few rows of each partition before it shuffles
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    top = counts.where("word IS NOT NULL").withColumn("rank", rank).where(F.col("rank") <= COMMON_WORDS)
+    top = counts.withColumn("rank", rank).where(F.col("rank") <= COMMON_WORDS)
     top = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
     out = total.join(top, total["lang"].eqNullSafe(top["lang"]), "left").select(total["lang"], "total", F.coalesce("top", F.array().cast("array<struct<rank:int,word:string,n:bigint>>")).alias("top"))
     known = F.aggregate("top", F.lit(0).cast("long"), lambda s, x: s + x["n"])

@@ -29,7 +29,7 @@ QUALITY = rf"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
 w AS MATERIALIZED (SELECT doc_id, lang, t, {_WORDS.format("t")} AS w FROM d),
 n AS MATERIALIZED (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(w) AS word FROM w) GROUP BY ALL),
-top AS MATERIALIZED (SELECT lang, list(word ORDER BY rank) AS common, list(n ORDER BY rank) AS ns FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM n WHERE length(word) <= 7) WHERE rank <= 24 GROUP BY lang),
+top AS MATERIALIZED (SELECT lang, list(word ORDER BY rank) AS common, list(n ORDER BY rank) AS ns FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM n) WHERE rank <= 24 GROUP BY lang),
 total AS (SELECT lang, sum(n) AS total FROM n GROUP BY lang),
 tri AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM w, unnest(range(1, len(w) - 1)) u(i)),
 rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM tri) WHERE n > 1),
@@ -116,7 +116,8 @@ given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ')
 kind AS MATERIALIZED (SELECT conv_id, turn, role, text, {_CRC} % 20 AS kind FROM given),
 damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
     FROM kind, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) u(copy)),
-placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, regexp_replace(text, '[ 	-]+', '', 'g') AS bare FROM damaged),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, regexp_replace(text, '[ 	-
+]+', '', 'g') AS bare FROM damaged),
 faulty AS (SELECT *, role[1] AS initial, CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN bare[-1] NOT IN ('.', '!', '?') THEN 't' ELSE 'o' END AS fault,
     lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS earlier FROM placed),
 r AS MATERIALIZED (SELECT *, CASE fault WHEN 't' THEN 3 ELSE 0 END AS extra FROM faulty),
