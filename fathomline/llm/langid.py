@@ -25,6 +25,8 @@ UNKNOWN = "und"
 REMEMBERED_LETTERS, REMEMBERED_TRIGRAMS = 4_096, 16_384
 #: Trigrams that are multiplied at once.
 _PART = 4_096
+#: Labels that are learned at most; sums of so many languages are held by a task.
+MOST_LANGUAGES, HELD_LANGUAGES = 20_000, 1_000
 _BLANK = 32
 
 
@@ -120,29 +122,57 @@ def encoder(dimensions: int, seed: int) -> Encoder:
     return _encoders[dimensions, seed]
 
 
-def _share(known: DataFrame, per_language: int, lang: str, key: str, seed: int) -> DataFrame:
-    """About per_language rows of each language: those whose key's hash is below the share of its rows that this is."""
-    counts = known.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each language
-    place = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 31))
-    share = F.lit(0)
-    for row in counts:
-        share = F.when(F.col(lang) == row["lang"], F.lit(min(1 << 31, -(-(per_language << 31) // row["n"])))).otherwise(share)
-    return known.where(place < share)
+def _share(known: DataFrame, per_language: int, most: int, seed: int) -> DataFrame:
+    """About per_language rows of each label of known (lang, text, key): those whose key's hash is below the share of its rows that this is.
+
+    Of more than ``most`` labels those with the most rows are taken. Labels meet by hash,
+    in a table of at most ``most`` pairs of numbers, so it can be sent to all executors.
+    """
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most)
+    counts = counts.select(F.xxhash64("lang").alias("_label"), F.least(F.lit(1 << 31), F.ceil(F.lit(per_language << 31) / F.col("n"))).alias("_share"))
+    place = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 31))
+    return known.join(F.broadcast(counts), F.xxhash64("lang") == F.col("_label")).where(place < F.col("_share")).select("lang", "text")
+
+
+def _labelled(docs: DataFrame, text: str, lang: str, key: str) -> DataFrame:
+    return docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
+
+
+_SUM = "lang string, v array<double>"
+
+
+def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of each language's vectors, from rows sorted by language."""
+    held: dict[str, np.ndarray] = {}
+    for batch in batches:
+        made = batch["v"].flatten().to_numpy().reshape(len(batch), -1)
+        for name, v in zip(batch["lang"].to_pylist(), made):
+            if name in held:
+                held[name] = held[name] + v
+            else:
+                yield from _vectors(held)
+                held = {name: v}
+    yield from _vectors(held)
+
+
+def _vectors(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
 
 def train(
-    labelled: DataFrame, per_language: int = 2_000, text: str = "text", lang: str = "lang", key: str = "doc_id", dimensions: int = DIMENSIONS, seed: int = SEED
+    labelled: DataFrame, per_language: int = 2_000, most: int = MOST_LANGUAGES, text: str = "text", lang: str = "lang", key: str = "doc_id", dimensions: int = DIMENSIONS, seed: int = SEED
 ) -> tuple[list[str], np.ndarray]:
     """Languages and their prototypes, from a bounded sample of the labelled rows.
 
     Of each language about per_language rows are taken (all, if it has fewer): those
-    whose key's hash is below the share of the language's rows that this is. Only
-    that sample is bounded; rows without a label or a letter teach nothing. Each
-    task adds up its rows; the sums, one for each task, language and dimension, are
-    added up by Spark.
+    whose key's hash is below the share of the language's rows that this is; of more
+    than ``most`` labels, those with the most rows. Only that sample is bounded; rows
+    without a label or a letter teach nothing. Each task adds up its rows, a thousand
+    languages at a time; the sums are added up by Spark. The driver gets a vector for
+    each language: ``most`` times ``dimensions`` numbers at most.
     """
-    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sample = _share(known, per_language, lang, key, seed).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    sample = _share(_labelled(labelled, text, lang, key), per_language, most, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, sums = encoder(dimensions, seed), {}
@@ -152,16 +182,29 @@ def train(
                 for name, v, ok in zip(batch["lang"][a:b].to_pylist(), made, some):
                     if ok:
                         sums[name] = sums.get(name, 0) + v.astype(np.float64)
-        for name, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name] * dimensions), pa.array(np.arange(dimensions), pa.int32()), pa.array(total)], names=["lang", "i", "x"])
-
-    sums = sample.mapInArrow(run, "lang string, i int, x double").groupBy("lang", "i").agg(F.sum("x").alias("x"))
-    rows = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).orderBy("lang").collect()  # languages x dimensions
-    names = [r["lang"] for r in rows]
-    table = np.array([[x["x"] for x in r["v"]] for r in rows], np.float32).reshape(len(rows), dimensions)
+                        if len(sums) >= HELD_LANGUAGES:
+                            yield from _vectors(sums)
+                            sums = {}
+        yield from _vectors(sums)
+
+    sums = sample.mapInArrow(run, _SUM).repartition("lang").sortWithinPartitions("lang").mapInArrow(_sum_up, _SUM)
+    rows = sums.select("lang", F.transform("v", lambda x: x.cast("float")).alias("v")).toArrow().sort_by("lang")  # most languages x dimensions
+    names = rows["lang"].to_pylist()
+    table = rows["v"].combine_chunks().flatten().to_numpy().reshape(len(names), dimensions)
     return names, table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
 
 
+def nearest(made: np.ndarray, table: np.ndarray, at_once: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """For each vector its nearest prototype, the first of equal ones, and their cosine; so many cosines at once."""
+    best, cosine = np.zeros(len(made), np.int64), np.zeros(len(made), np.float32)
+    step = max(1, at_once // max(1, len(table)))
+    for i in range(0, len(made), step):
+        part = made[i : i + step] @ table.T
+        best[i : i + step] = part.argmax(axis=1)
+        cosine[i : i + step] = part.max(axis=1)
+    return best, cosine
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "doc_id", text: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
     """docs with lang_pred and score after its columns; columns of these names are replaced.
 
@@ -183,9 +226,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "do
             for a, b in blocks(batch[text], BLOCK_BYTES):
                 made, some = coder.vectors(batch[text][a:b].fill_null("").to_pylist())
                 if names:
-                    cosine = made @ table.T
-                    best = cosine.argmax(axis=1)
-                    score = np.where(some, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0).astype(np.float64)
+                    best, cosine = nearest(made, table)
+                    score = np.where(some, np.clip(cosine, 0, 1), 0).astype(np.float64)
                     lang = [names[i] if ok else UNKNOWN for i, ok in zip(best, some)]
                 else:
                     score, lang = np.zeros(b - a), [UNKNOWN] * (b - a)
@@ -200,15 +242,14 @@ LENGTHS = (20, 50, 100, 200, 500, 2000)
 CHANCE = 0.14
 
 
-def limits(labelled: DataFrame, model: tuple[list[str], np.ndarray], per_language: int = 2_000, least: int = 50, text: str = "text", lang: str = "lang", key: str = "doc_id", seed: int = SEED) -> dict[tuple[str, int], float]:
+def limits(labelled: DataFrame, model: tuple[list[str], np.ndarray], per_language: int = 2_000, most: int = MOST_LANGUAGES, least: int = 50, text: str = "text", lang: str = "lang", key: str = "doc_id", seed: int = SEED) -> dict[tuple[str, int], float]:
     """The least score that a text predicted as a language should have, for each language and class of length.
 
     Half of the score that 95 of 100 rows labelled and predicted as that language
     reach, from the sample that train() takes; CHANCE at least, and CHANCE alone
     where fewer than ``least`` rows tell.
     """
-    sample = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sample = _share(sample, per_language, lang, key, seed).select(F.col(text).alias("text"), F.col(lang).alias("label"))
+    sample = _share(_labelled(labelled, text, lang, key), per_language, most, seed).withColumnRenamed("lang", "label")
     scored = predict(sample, model, text="text", seed=seed).where("label = lang_pred")
     letters = F.regexp_count("text", F.lit(r"\p{L}"))
     bands = F.array(*map(F.lit, LENGTHS))
@@ -227,6 +268,7 @@ def known_only(docs: DataFrame, model: tuple[list[str], np.ndarray], lower: dict
     """
     names, table = model
     bands = np.array(LENGTHS)
+    highest = max([CHANCE, *lower.values()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(dimensions, seed)
@@ -235,12 +277,10 @@ def known_only(docs: DataFrame, model: tuple[list[str], np.ndarray], lower: dict
                 texts = batch[text][a:b].fill_null("").to_pylist()
                 made, keep = coder.vectors(texts)
                 if names:
-                    cosine = made @ table.T
-                    best = cosine.argmax(axis=1)
-                    highest = max([CHANCE, *lower.values()])
-                    for i in np.flatnonzero(keep & (cosine.max(axis=1) < highest)):
+                    best, cosine = nearest(made, table)
+                    for i in np.flatnonzero(keep & (cosine < highest)):
                         band = int(np.searchsorted(bands, sum(map(str.isalpha, texts[i])), "right")) - 1
-                        keep[i] = band < 0 or cosine[i, best[i]] >= lower.get((names[best[i]], LENGTHS[band]), CHANCE)
+                        keep[i] = band < 0 or cosine[i] >= lower.get((names[best[i]], LENGTHS[band]), CHANCE)
                 yield batch.slice(a, b - a).filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
