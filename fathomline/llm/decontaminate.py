@@ -198,7 +198,7 @@ def contaminated(
     (exclusive) count the document's normalised words. Null items and items without
     words are in nothing, and null and empty texts hold nothing. Repeated rows are
     reported one by one. Empty tables give an empty result; other columns are not
-    read. Documents are scanned once for each block of items, and nothing is shuffled.
+    read. If both keys have one name, the item's is called item_ and that name. Documents are scanned once for each block of items, and nothing is shuffled.
     """
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -207,7 +207,7 @@ def contaminated(
         shared = docs.sparkSession.sparkContext.broadcast(block)
         part = rows.mapInArrow(_search(shared, item_kind), f"key {kind}, item {item_kind.simpleString()}, distance int, first_word int, end_word int, item_words int")
         out = part if out is None else out.unionByName(part)
-    return out.select(F.col("key").alias(key), F.col("item").alias(item_key), "distance", "first_word", "end_word", "item_words")
+    return out.select(F.col("key").alias(key), F.col("item").alias(item_key if item_key != key else f"item_{key}"), "distance", "first_word", "end_word", "item_words")
 
 
 def _search(shared, item_kind):

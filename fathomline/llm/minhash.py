@@ -392,13 +392,14 @@ def deduplicate(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: st
     met = join_counted(grouped, first, ["cid"], found.count())
     same = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.h") == F.col("h"))
     met = scratch.save(met.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("times"), F.max(same).alias("stays")), "decided")
-    out = docs.withColumn("_h", F.xxhash64(text))
-    on = lambda t: (out[key] == t["doc_id"]) & (out["_h"] == t["h"])
+    # each row goes as one struct, so that no name of its columns matters
+    out = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
+    on = lambda t: (out["key"] == t["doc_id"]) & (out["hash"] == t["h"])
     gone = met.where("NOT stays OR times > 1").select("doc_id", "h")
     again = scratch.save(met.where("stays AND times > 1").select("doc_id", "h"), "again")
     kept = out.join(gone, on(gone), "left_anti")
     if not again.isEmpty():
         # equal rows of one key: partial aggregation leaves one of each in every task before they meet
-        copies = out.join(again, on(again), "left_semi").dropDuplicates([key, "_h"])
+        copies = out.join(again, on(again), "left_semi").dropDuplicates(["key", "hash"])
         kept = kept.unionByName(copies)
-    return kept.drop("_h")
+    return kept.select("row.*")

@@ -181,45 +181,52 @@ def plan(
 
 
 def _drawn(docs: DataFrame, made: Mix, key: str, text: str, source: str) -> DataFrame:
-    """docs, each row once for each of its draws, with _draw.
+    """row, a struct of all columns of docs, key and draw: each row once for each of its draws.
 
     The draws of a whole block follow from a row's source and the hash of its key, so
     texts are not shuffled for them: the table of blocks is sent to all executors
     where it is small. Only rows of blocks that are cut meet their own draws by key
-    and size, the first of equal rows the first draws.
+    and size, the first of equal rows the first draws. As rows are structs, no name of
+    their columns matters.
     """
     few = made.sources.count() <= BROADCAST_SOURCES
-    known = made.sources.select(F.col("source").alias("_source"), F.col("blocks").alias("_blocks"))
-    out = docs.withColumn("_block", F.xxhash64(F.lit(made.seed), key))
-    out = out.join(F.broadcast(known) if few else known, F.col(source).eqNullSafe(F.col("_source"))).withColumn("_block", F.pmod("_block", F.col("_blocks")).cast("int"))
-    dealt = made.dealt.select(F.col("_source").alias("_s"), F.col("_block").alias("_b"), F.col("cut").alias("_cut"), F.col("draws").alias("_draws"))
+    known = made.sources.select(F.col("source").alias("_source"), "blocks")
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(source).alias("source"))
+    rows = rows.join(F.broadcast(known) if few else known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(made.seed), "key"), F.col("blocks")).cast("int"))
     small = made.dealt.count() <= BROADCAST_BLOCKS
-    out = out.join(F.broadcast(dealt) if small else dealt, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b"))).drop("_s", "_b")
-    whole = out.where(~F.col("_cut"))
-    cut = out.where(F.col("_cut")).drop("_draws").withColumn("_size", word_count(F.col(text)))
-    cut = cut.withColumn("_number", F.row_number().over(Window.partitionBy("_source", key, "_size").orderBy(F.xxhash64(text))))
-    own = made.ends.select(F.col("source").alias("_s"), F.col("key").alias("_k"), F.col("size").alias("_z"), F.col("draws").alias("_draws"))
-    own = own.withColumn("_m", F.row_number().over(Window.partitionBy("_s", "_k", "_z").orderBy(F.desc(F.size("_draws")), F.col("_draws").cast("string"))))
-    same = F.col("_source").eqNullSafe(F.col("_s")) & F.col(key).eqNullSafe(F.col("_k")) & (F.col("_size") == F.col("_z")) & (F.col("_number") == F.col("_m"))
-    cut = cut.join(own, same).drop("_s", "_k", "_z", "_m", "_size", "_number")
-    columns = [*docs.columns, "_draws"]
-    return whole.select(*columns).unionByName(cut.select(*columns)).withColumn("_draw", F.explode("_draws")).drop("_draws")
+    dealt = made.dealt.select("_source", "_block", "cut", "draws")
+    met = rows.join(F.broadcast(dealt) if small else dealt, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
+    whole = met.where(~F.col("cut")).select("row", "key", "draws")
+    own_text = F.col("row").getField(text)
+    cut = met.where(F.col("cut")).select("row", "key", "source", word_count(own_text).alias("size"), F.xxhash64(own_text).alias("hash"))
+    cut = cut.withColumn("number", F.row_number().over(Window.partitionBy("source", "key", "size").orderBy("hash")))
+    own = made.ends.select(F.col("source").alias("_source"), F.col("key").alias("_key"), F.col("size").alias("_size"), "draws")
+    own = own.withColumn("_number", F.row_number().over(Window.partitionBy("_source", "_key", "_size").orderBy(F.desc(F.size("draws")), F.col("draws").cast("string"))))
+    same = F.col("source").eqNullSafe(F.col("_source")) & F.col("key").eqNullSafe(F.col("_key")) & (F.col("size") == F.col("_size")) & (F.col("number") == F.col("_number"))
+    cut = cut.join(own, same).select("row", "key", "draws")
+    return whole.unionByName(cut).select("row", "key", F.explode("draws").alias("draw"))
 
 
 def mix(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The mix itself: rows of docs with all their columns, each as often as plan() takes it."""
+    """The mix itself: rows of docs with all their columns, each as often as plan() takes it.
+
+    Null texts, keys and sources and repeated rows as in plan(); an empty table gives
+    an empty mix. Columns of any name come back as they were.
+    """
     made = plan(docs, scratch, key, text, source, **options)
-    return _drawn(docs, made, key, text, source).select(*docs.columns)
+    return _drawn(docs, made, key, text, source).select("row.*")
 
 
 def write_mix(docs: DataFrame, path: str, scratch: Scratch, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> None:
     """Write the mix under path, a folder shard=N for each shard, the rows of each file in the order of a hash.
 
-    A column shard of docs is replaced. A shard's blocks are drawn and shuffled by
-    themselves, in up to FILES tasks a shard.
+    A column shard of docs is replaced, all others are written as they were. Nulls and
+    repeated rows as in plan(); an empty table writes no shards. A shard's blocks are
+    drawn and shuffled by themselves, in up to FILES tasks a shard.
     """
     made = plan(docs, scratch, key, text, source, **options)
-    out = _drawn(docs.drop("shard"), made, key, text, source).withColumn("shard", F.col("_draw.shard"))
-    place = F.xxhash64(F.lit(made.seed), "_draw", key)
-    out = out.withColumn("_place", place).repartition("shard", F.pmod("_place", F.lit(FILES)))
-    out.sortWithinPartitions("shard", "_place").drop("_draw", "_place").write.partitionBy("shard").parquet(path)
+    out = _drawn(docs.drop("shard"), made, key, text, source)
+    out = out.select("row", F.col("draw.shard").alias("shard"), F.xxhash64(F.lit(made.seed), "draw", "key").alias("place"))
+    out = out.repartition("shard", F.pmod("place", F.lit(FILES))).sortWithinPartitions("shard", "place")
+    out.select("row.*", "shard").write.partitionBy("shard").parquet(path)

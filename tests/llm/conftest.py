@@ -9,6 +9,9 @@ def prose(rng: random.Random, n: int) -> str:
     return " ".join(rng.choice(WORDS) + rng.choice(["", "", "", ",", ".\n"]) for _ in range(n))
 
 
+CLASH = "clash"
+
+
 def edge_rows():
     """Documents with nulls, empty and blank texts, repeated rows, near copies, shared passages and a very long text."""
     rng = random.Random(11)
@@ -36,12 +39,17 @@ def edge_rows():
     return rows + [(100 + i, prose(rng, rng.randint(1, 90)), rng.choice(["xx", "yy"]), rng.choice("abc")) for i in range(40)]
 
 
-CLASHES = ["key", "n", "k", "block", "shard", "slot", "size", "target", "draws", "rep", "kept", "score", "lang_pred", "_text", "part", "start", "flags", "words", "component_id"]
+#: Names that the operators use themselves, for their inputs' columns and for what they add.
+CLASHES = list(dict.fromkeys("""key n k block shard slot size target draws rep kept score lang_pred _text part start flags words component_id
+_h h hash row again cid item items distance first_word end_word item_words label band _label _share v i x
+_source _blocks blocks _block _s _b _k _z _m _cut _draws _draw draw _size _number number _key _place place cut left pass _hash _inside _bucket
+_words _rest _lang common common_ref _hits classes class_ref ref_words total rank word top
+spans candidates window kind windows found claim digest leaf subroot root path lo hi bucket _part _piece""".split()))
 
 
 @pytest.fixture(scope="session")
 def docs(spark):
-    rows = [(*r, *("clash" for _ in CLASHES)) for r in edge_rows()]
+    rows = [(*r, *(CLASH for _ in CLASHES)) for r in edge_rows()]
     schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in CLASHES)
     return spark.createDataFrame(rows, schema).repartition(3).cache()
 
