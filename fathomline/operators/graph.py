@@ -184,9 +184,8 @@ def paths(labels: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
     return done
 
 
-def snap(points: DataFrame, nodes: DataFrame, cell: float, scratch: Scratch) -> DataFrame:
-    """The nearest node of each point (ties by node), searched in growing rings of cells."""
-    from fathomline.operators.spatial import nearest_at_all
+def snap(points: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The nearest node of each point (ties by node), at whatever distance."""
+    from fathomline.operators.neighbours import k_nearest
 
-    other = nodes.select("node", F.col("x").alias("x2"), F.col("y").alias("y2"))
-    return nearest_at_all(points, other, cell, "id", ["node"], scratch).select("id", "node", "d2")
+    return k_nearest(points, nodes.select(F.col("node").alias("id"), "x", "y"), 1, scratch).select("id", F.col("id2").alias("node"), "d2")

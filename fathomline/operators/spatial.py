@@ -42,23 +42,6 @@ def nearest(pairs: DataFrame, by: str | list[str], order: list, k: int = 1, name
     return pairs.withColumn(name, rank).where(F.col(name) <= k)
 
 
-def nearest_at_all(left: DataFrame, right: DataFrame, radius: float, key: str, order: list, scratch: Scratch, rounds: int = 12) -> DataFrame:
-    """The nearest right row of every left row at whatever distance: the radius grows four-fold for rows without any.
-
-    A row found within a radius has its true nearest there, so each round joins only
-    what is left; what a round finds and leaves is written before the next.
-    """
-    out, rest = None, left
-    for turn in range(rounds):
-        got = scratch.save(nearest(within(rest, right, radius), key, ["d2", *order]), f"near{turn}")
-        out = got if out is None else out.unionByName(got)
-        rest, n = scratch.save_counted(rest.join(got.select(key), key, "left_anti"), f"rest{turn}")
-        if not n:
-            return out
-        radius *= 4
-    raise ValueError("points too far apart for the first radius")
-
-
 def contain_else_near(boxes: DataFrame, points: DataFrame, radius: float, cell: float) -> DataFrame:
     """For each box (id, x0, y0, x1, y1) the point (pid, x, y) nearest to its centre: of those inside, else of those within radius.
 

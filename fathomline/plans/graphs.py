@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import limits, rules, stats
-from fathomline.operators import graph
+from fathomline.operators import graph, pairs
 from fathomline.plans.registry import query, table
 from fathomline.plans.spatial import POINTS, points
 from fathomline.sources import files, sinks
@@ -26,10 +26,17 @@ def edges(spark, sf_dir) -> DataFrame:
 EDGES = """(SELECT u, v, 1 + (cents + 31 * i) % 97 AS w, cents % 11 AS way, u * 2 + i AS id, cents FROM (SELECT c_custkey AS u, i, CASE WHEN i = 0 THEN (c_custkey * 7 + 3) % n + 1 ELSE (c_custkey * 13 + 5) % n + 1 END AS v, abs(CAST(round(c_acctbal * 100) AS BIGINT)) AS cents
     FROM customer CROSS JOIN (SELECT count(*) AS n FROM customer) CROSS JOIN (VALUES (0), (1)) x(i)))"""
 HOPS = 6
+#: Costs by which a pair search goes on in a round: an edge costs 1 to 97.
+WIDTH = 60.0
 
 
-def _origins(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "customer").where("c_custkey % 100 = 0").select(F.col("c_custkey").alias("origin"), F.col("c_custkey").alias("node"), F.lit(0.0).alias("start"))
+#: The searches from origins to all nodes make a row for each origin and node; so origins are an argument, every
+#: hundredth customer by default.
+ORIGIN_EVERY = 100
+
+
+def _origins(spark, sf_dir, every: int = ORIGIN_EVERY) -> DataFrame:
+    return table(spark, sf_dir, "customer").where(F.col("c_custkey") % every == 0).select(F.col("c_custkey").alias("origin"), F.col("c_custkey").alias("node"), F.lit(0.0).alias("start"))
 
 
 def _paths_sql(where: str = "true") -> str:
@@ -84,14 +91,57 @@ def profile_paths(spark, sf_dir):
     return graph.shortest(open_.select("u", "v", "w"), _origins(spark, sf_dir), Scratch(spark, "paths")).select("origin", "node", "cost")
 
 
-@query(_search_sql(f"SELECT u, v, w FROM {EDGES}", _STARTS) + "SELECT a.origin, b.c_custkey AS node, p.cost FROM (SELECT DISTINCT origin FROM p) a CROSS JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 100 = 50) b LEFT JOIN p ON p.origin = a.origin AND p.node = b.c_custkey")
+#: Ends of the matrix: a customer for each of the five regions, so it has the 25 pairs that a matrix may have.
+_ENDS = "(SELECT r_regionkey, (r_regionkey * 29 + 3) % n + 1 AS origin, (r_regionkey * 41 + 17) % n + 1 AS destination FROM region CROSS JOIN (SELECT count(*) AS n FROM customer))"
+
+
+def _ends(spark, sf_dir) -> DataFrame:
+    n = table(spark, sf_dir, "customer").count()
+    key = F.col("r_regionkey").cast("long")
+    return table(spark, sf_dir, "region").select(((key * 29 + 3) % n + 1).alias("origin"), ((key * 41 + 17) % n + 1).alias("destination"))
+
+
+@query(
+    _search_sql(f"SELECT u, v, w FROM {EDGES}", f"SELECT DISTINCT origin, origin AS node, 0::DOUBLE AS cost FROM {_ENDS}")
+    + f"SELECT a.origin, b.destination AS node, p.cost FROM (SELECT DISTINCT origin FROM {_ENDS}) a CROSS JOIN (SELECT DISTINCT destination FROM {_ENDS}) b LEFT JOIN p ON p.origin = a.origin AND p.node = b.destination"
+)
 def od_matrix(spark, sf_dir):
-    """Costs from each origin to each of the destinations; null where none is reached."""
-    o = _origins(spark, sf_dir)
-    d = table(spark, sf_dir, "customer").where("c_custkey % 100 = 50").select(F.col("c_custkey").alias("node"))
-    labels = graph.shortest(edges(spark, sf_dir), o, Scratch(spark, "matrix"))
-    pairs = o.select("origin").crossJoin(d)  # a stated set of pairs
-    return pairs.join(labels.select("origin", "node", "cost"), ["origin", "node"], "left")
+    """Costs from each origin to each destination, both ends searching; null where there is no way."""
+    ends = _ends(spark, sf_dir)
+    return pairs.matrix(edges(spark, sf_dir), ends, ends, Scratch(spark, "matrix"), width=WIDTH).costs.select("origin", F.col("destination").alias("node"), "cost")
+
+
+#: A batch: every twentieth customer and one that its key decides.
+_BATCH = "(SELECT c_custkey AS origin, (c_custkey * 31 + 7) % n + 1 AS destination FROM customer CROSS JOIN (SELECT count(*) AS n FROM customer) WHERE c_custkey % 20 = 0)"
+
+
+def _batch(spark, sf_dir) -> DataFrame:
+    n = table(spark, sf_dir, "customer").count()
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").where(key % 20 == 0).select(key.alias("origin"), ((key * 31 + 7) % n + 1).alias("destination"))
+
+
+_BATCH_COSTS = _search_sql(f"SELECT u, v, w FROM {EDGES}", f"SELECT DISTINCT origin, origin AS node, 0::DOUBLE AS cost FROM {_BATCH}")
+
+
+@query(_BATCH_COSTS + f"SELECT b.origin, b.destination, p.cost FROM {_BATCH} b LEFT JOIN p ON p.origin = b.origin AND p.node = b.destination")
+def pair_costs(spark, sf_dir):
+    """Least costs of a batch of pairs; a pair's search ends when its two fronts have passed its best meeting."""
+    found = pairs.search(edges(spark, sf_dir), _batch(spark, sf_dir), Scratch(spark, "pairs"), width=WIDTH, most=None)
+    return found.costs.select("origin", "destination", "cost")
+
+
+@query(_BATCH_COSTS + f"SELECT b.origin, b.destination, p.cost AS length FROM {_BATCH} b JOIN p ON p.origin = b.origin AND p.node = b.destination")
+def pair_routes(spark, sf_dir):
+    """The length of the way that is traced back for each pair: the shortest edges between its nodes, added up."""
+    e, scratch = edges(spark, sf_dir), Scratch(spark, "pairs")
+    found = pairs.search(e, _batch(spark, sf_dir), scratch, width=WIDTH, most=None)
+    traced = pairs.routes(found, Scratch(spark, "trace")).join(found.costs.select("pair", "origin", "destination"), "pair")
+    whole = (F.get("path", F.lit(0)) == F.col("origin")) & (F.get("path", F.size("path") - 1) == F.col("destination"))
+    steps = traced.where(whole).select("origin", "destination", "path", F.explode_outer(F.transform(F.slice("path", 2, F.size("path") - 1), lambda v, i: F.struct(F.get("path", i).alias("u"), v.alias("v")))).alias("s"))
+    short = e.groupBy("u", "v").agg(F.min("w").alias("w"))
+    met = steps.select("origin", "destination", "s.u", "s.v").join(short, ["u", "v"], "left")
+    return met.groupBy("origin", "destination").agg(F.coalesce(F.sum("w"), F.lit(0)).cast("double").alias("length"))
 
 
 _BACK = """WITH RECURSIVE e AS MATERIALIZED (SELECT u, v, w FROM """ + EDGES + """), p(origin, node, k) USING KEY (origin, node) AS (SELECT c_custkey, c_custkey, {'cost': 0::DOUBLE, 'hops': 0, 'prev': NULL::BIGINT} FROM customer WHERE c_custkey % 100 = 0
@@ -264,7 +314,7 @@ def access_filter(spark, sf_dir):
 def snapped_nodes(spark, sf_dir):
     """Points to their nearest node."""
     p = points(spark, sf_dir)
-    return graph.snap(p.where("label % 2 = 0").select("id", "x", "y"), p.where("label % 2 = 1").select(F.col("id").alias("node"), "x", "y"), 30.0, Scratch(spark, "snap"))
+    return graph.snap(p.where("label % 2 = 0").select("id", "x", "y"), p.where("label % 2 = 1").select(F.col("id").alias("node"), "x", "y"), Scratch(spark, "snap"))
 
 
 PROFILES = {"car": None, "van": 7.0, "lorry": 12.0}
@@ -339,23 +389,21 @@ def two_quantities(spark, sf_dir):
     return got.select("origin", "node", F.col("cost").alias("distance"), F.col("second").alias("duration"))
 
 
-_SUMMARY_PAIRS = f"(SELECT a.origin, b.c_custkey AS node, a.origin // 100 % 4 AS grp, abs(a.origin - b.c_custkey)::DOUBLE AS straight, p.cost FROM (SELECT DISTINCT origin FROM p) a CROSS JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 100 = 50) b LEFT JOIN p ON p.origin = a.origin AND p.node = b.c_custkey)"
+_SUMMARY_PAIRS = f"(SELECT b.origin, b.origin // 20 % 4 AS grp, (abs(b.origin - b.destination) + 1)::DOUBLE AS straight, p.cost FROM {_BATCH} b LEFT JOIN p ON p.origin = b.origin AND p.node = b.destination)"
 
 
 @query(
-    _search_sql(f"SELECT u, v, w FROM {EDGES} WHERE cents % 5 IN (0, 2, 4)", _STARTS)
+    _search_sql(f"SELECT u, v, w FROM {EDGES} WHERE cents % 5 IN (0, 2, 4)", f"SELECT DISTINCT origin, origin AS node, 0::DOUBLE AS cost FROM {_BATCH}")
     + f"""SELECT grp, count(*) AS sample_n, count(cost) AS route_n, round(100.0 * count(cost) / count(*), 2) AS reachable_pct, list_sort(list(cost) FILTER (cost IS NOT NULL))[least(count(cost), CAST(floor(count(cost) * 0.5) AS BIGINT) + 1)] AS median,
     list_sort(list(cost) FILTER (cost IS NOT NULL))[least(count(cost), CAST(floor(count(cost) * 0.9) AS BIGINT) + 1)] AS p90, round(avg(cost / straight), 6) AS ratio FROM {_SUMMARY_PAIRS} GROUP BY grp"""
 )
 def routing_summary(spark, sf_dir):
     """How many of a vehicle's pairs are reached, and the median, ninetieth and mean detour of their costs, by group."""
     open_ = _limited(spark, sf_dir).where(limits.passes(limits.weight(F.col("maxweight")), 12.0))
-    labels = graph.shortest(open_.select("u", "v", "w"), _origins(spark, sf_dir), Scratch(spark, "summary"))
-    d = table(spark, sf_dir, "customer").where("c_custkey % 100 = 50").select(F.col("c_custkey").alias("node"))
-    pairs = _origins(spark, sf_dir).select("origin").crossJoin(d).join(labels.select("origin", "node", "cost"), ["origin", "node"], "left")  # a stated set of pairs
-    pairs = pairs.withColumn("grp", F.floor(F.col("origin") / 100) % 4).withColumn("straight", F.abs(F.col("origin") - F.col("node")).cast("double"))
-    out = pairs.groupBy("grp").agg(F.count(F.lit(1)).alias("sample_n"), F.count("cost").alias("route_n"), F.round(F.lit(100.0) * F.count("cost") / F.count(F.lit(1)), 2).alias("reachable_pct"), F.round(F.avg(F.col("cost") / F.col("straight")), 6).alias("ratio"))
-    return out.join(stats.quantiles(pairs, ["grp"], "cost", 10.0, {"median": 0.5, "p90": 0.9}), "grp", "left")
+    found = pairs.search(open_.select("u", "v", "w"), _batch(spark, sf_dir), Scratch(spark, "summary"), width=WIDTH, most=None)
+    rows = found.costs.withColumn("grp", F.floor(F.col("origin") / 20) % 4).withColumn("straight", (F.abs(F.col("origin") - F.col("destination")) + 1).cast("double"))
+    out = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("sample_n"), F.count("cost").alias("route_n"), F.round(F.lit(100.0) * F.count("cost") / F.count(F.lit(1)), 2).alias("reachable_pct"), F.round(F.avg(F.col("cost") / F.col("straight")), 6).alias("ratio"))
+    return out.join(stats.quantiles(rows, ["grp"], "cost", 10.0, {"median": 0.5, "p90": 0.9}), "grp", "left")
 
 
 @query(f"SELECT way, count(*) AS edges, CAST(sum(w) AS DOUBLE) AS length, count(*) FILTER (way % 3 = 0) AS ferries FROM {EDGES} GROUP BY way")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import geo, signals, stats
-from fathomline.operators import sample, spatial
+from fathomline.operators import neighbours, sample, spatial
 from fathomline.plans.registry import query, table
 from fathomline.sources.store import Scratch
 
@@ -49,7 +49,7 @@ def bounded_neighbours(spark, sf_dir):
 @query(f"SELECT id, id2, d2 FROM (SELECT a.id, b.id AS id2, {_OTHER} AS d2, row_number() OVER (PARTITION BY a.id ORDER BY {_OTHER}, b.id) AS rank FROM {POINTS} a JOIN {POINTS} b ON b.label = 1 AND a.label <> 1) WHERE rank = 1")
 def nearest_control(spark, sf_dir):
     p = points(spark, sf_dir)
-    return spatial.nearest_at_all(p.where("label <> 1"), _second(p.where("label = 1")), 40.0, "id", ["id2"], Scratch(spark, "nearest")).select("id", "id2", "d2")
+    return neighbours.k_nearest(p.where("label <> 1"), p.where("label = 1"), 1, Scratch(spark, "nearest")).select("id", "id2", "d2")
 
 
 _NN = f"(SELECT id, id2 FROM (SELECT a.id, b.id AS id2, row_number() OVER (PARTITION BY a.id ORDER BY {_OTHER}, b.id) AS rank FROM {POINTS} a JOIN {POINTS} b ON a.id <> b.id AND {_OTHER} <= 60 * 60) WHERE rank <= 2)"
@@ -181,6 +181,26 @@ def moran_i(spark, sf_dir):
     return spatial.moran(p.select("id", F.col("area").alias("v")), edges).select("n", "edges", F.round("moran_i", 9).alias("moran_i"))
 
 
+_EIGHT = f"(SELECT * FROM (SELECT a.id, b.id AS id2, {_OTHER} AS d2, row_number() OVER (PARTITION BY a.id ORDER BY {_OTHER}, b.id) AS rank FROM {POINTS} a JOIN {POINTS} b ON a.id <> b.id) WHERE rank <= 8)"
+
+
+@query(f"SELECT id, id2, d2, rank FROM {_EIGHT}")
+def eight_nearest(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return neighbours.k_nearest(p, p, 8, Scratch(spark, "eight"), others=True)
+
+
+@query(
+    f"""WITH p AS {POINTS}, e AS (SELECT DISTINCT least(id, id2) AS id, greatest(id, id2) AS id2 FROM {_EIGHT}), m AS (SELECT avg(area) AS m, count(*) AS n FROM p)
+    SELECT any_value(m.n) AS n, count(*) AS edges, round(any_value(m.n) / count(*) * sum((a.area - m.m) * (b.area - m.m)) / (SELECT sum((area - m.m) * (area - m.m)) FROM p, m), 9) AS moran_i FROM e JOIN p a ON a.id = e.id JOIN p b ON b.id = e.id2 CROSS JOIN m"""
+)
+def moran_of_eight(spark, sf_dir):
+    """Moran's I over the graph of the eight nearest, at whatever distance, each link once."""
+    p = points(spark, sf_dir)
+    edges = spatial.unordered(neighbours.k_nearest(p, p, 8, Scratch(spark, "eight"), others=True), "id", "id2")
+    return spatial.moran(p.select("id", F.col("area").alias("v")), edges).select("n", "edges", F.round("moran_i", 9).alias("moran_i"))
+
+
 _ANGLE = "(degrees(atan2(b.y - a.y, b.x - a.x)) + 360) % 180"
 
 
@@ -248,8 +268,8 @@ _NEAREST = f"(SELECT a.id, a.label AS grp, sqrt(min({_OTHER})) AS d FROM {POINTS
 def proximity_summary(spark, sf_dir):
     """Mean, upper median, 90th and share within bounds of the distances to the nearest control."""
     p = points(spark, sf_dir)
-    got = spatial.nearest_at_all(p.where("label <> 1"), _second(p.where("label = 1")), 40.0, "id", ["id2"], Scratch(spark, "nearest"))
-    d = got.select(F.sqrt("d2").alias("d"), F.col("label").alias("grp"))
+    got = neighbours.k_nearest(p.where("label <> 1"), p.where("label = 1"), 1, Scratch(spark, "nearest"))
+    d = got.join(p.select("id", F.col("label").alias("grp")), "id").select(F.sqrt("d2").alias("d"), "grp")
     share = lambda far: F.round(F.lit(100.0) * F.count_if(F.col("d") <= far) / F.count(F.lit(1)), 6)
     out = d.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("d"), 6).alias("mean"), share(25).alias("within_25"), share(100).alias("within_100"))
     at = stats.quantiles(d, ["grp"], "d", 1.0, {"median": 0.5, "p90": 0.9})

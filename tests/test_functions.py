@@ -183,7 +183,7 @@ def test_within_equals_all_pairs(spark):
     df = spark.createDataFrame(pts, "id long, x double, y double")
     got = {(r["id"], r["id2"]) for r in spatial.within(df, df.toDF("id2", "x2", "y2"), 9.0).collect()}
     assert got == {(a[0], b[0]) for a in pts for b in pts if (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 <= 81}
-    near = {r["id"]: r["node"] for r in graph.snap(df.where("id < 60"), df.where("id >= 60").toDF("node", "x", "y"), 2.0, Scratch(spark, "snap")).collect()}
+    near = {r["id"]: r["node"] for r in graph.snap(df.where("id < 60"), df.where("id >= 60").toDF("node", "x", "y"), Scratch(spark, "snap")).collect()}
     for i, x, y in pts[:60]:
         assert near[i] == min(pts[60:], key=lambda p: ((p[1] - x) ** 2 + (p[2] - y) ** 2, p[0]))[0]
 
