@@ -194,3 +194,44 @@ def coverage(entities: DataFrame, samples: DataFrame, key: str, value: str) -> D
     found = samples.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.count(value).alias("_valid"), F.max(value).alias("_highest"))
     status = F.when(F.col("_n").isNull(), "not_covered").when(F.col("_valid") == 0, "unreadable").when(F.col("_valid") < F.col("_n"), "partial").otherwise("available")
     return entities.join(found, key, "left").select(key, status.alias("status"), F.coalesce("_valid", F.lit(0)).alias("valid"), F.round("_highest", 3).alias("highest"))
+
+
+def differences(left: DataFrame, right: DataFrame, keys: list[str], tolerance: dict[str, float | None], samples: int = 5) -> DataFrame:
+    """How two tables differ, by key: a row for each column that does, and for keys of one side only or repeated ones: what, n and samples (key, left, right as texts; the least keys).
+
+    tolerance: for each column to compare the greatest absolute difference of numbers,
+    or None for equality; NaN equals NaN and null null. Keys may be null. A key that a
+    side repeats is reported as repeated, and its rows are compared with all of the
+    other side's. Equal tables give no rows.
+    """
+    text = lambda side, c: F.col(f"{side}.{c}").cast("string")
+    one = lambda df: df.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.struct(*tolerance).alias("_v"))
+    a, b = one(left).withColumnRenamed("_v", "_left"), one(right).withColumnRenamed("_v", "_right")
+    on = None
+    for i in range(len(keys)):
+        same = F.col(f"_a{i}").eqNullSafe(F.col(f"_b{i}"))
+        on = same if on is None else on & same
+    a, b = a.withColumnsRenamed({f"_k{i}": f"_a{i}" for i in range(len(keys))}), b.withColumnsRenamed({f"_k{i}": f"_b{i}" for i in range(len(keys))})
+    met = a.withColumn("_in_left", F.lit(True)).join(b.withColumn("_in_right", F.lit(True)), on, "full_outer")
+    met = met.withColumn("key", F.concat_ws("|", *(F.coalesce(F.when(F.col("_in_left"), F.col(f"_a{i}").cast("string")), F.col(f"_b{i}").cast("string"), F.lit("null")) for i in range(len(keys)))))
+
+    def unlike(c: str, within: float | None):
+        x, y = F.col(f"_left.{c}"), F.col(f"_right.{c}")
+        if within is None:
+            return ~x.eqNullSafe(y)
+        # nulls and NaN are equal to their kind; anything else is a distance
+        return ~x.eqNullSafe(y) & F.coalesce(F.abs(x - y) > within, F.lit(True))
+
+    row = lambda what, x, y: F.struct(F.lit(what).alias("what"), x.alias("left"), y.alias("right"))
+    none = F.lit(None).cast("string")
+    both = F.col("_in_left") & F.col("_in_right")
+    found = [F.when(F.col("_in_right").isNull(), row("left only", none, none)), F.when(F.col("_in_left").isNull(), row("right only", none, none))]
+    found += [F.when(both & unlike(c, within), row(c, text("_left", c), text("_right", c))) for c, within in tolerance.items()]
+    rows = met.select("key", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("d")).select("key", "d.*")
+    for df, side in ((left, "left"), (right, "right")):
+        again = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        rows = rows.unionByName(again.select(F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys)).alias("key"), F.lit(f"{side} repeated").alias("what"), none.alias("left"), none.alias("right")))
+    total = rows.groupBy("what").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("what").orderBy("key", "left", "right"))
+    first = rows.withColumn("_rank", rank).where(F.col("_rank") <= samples).groupBy("what").agg(F.array_sort(F.collect_list(F.struct("key", "left", "right"))).alias("samples"))
+    return total.join(first, "what")

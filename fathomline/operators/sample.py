@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions import stats
+from fathomline.sources.store import Scratch
 
 
 def unit(seed: str, ident: Column) -> Column:
@@ -30,49 +31,95 @@ def simple(rows: DataFrame, ident: str, seed: str, n: int) -> DataFrame:
     return rows.orderBy(unit(seed, F.col(ident)), ident).limit(n).orderBy(ident)
 
 
-def _draws(seed: int, keys: np.ndarray, draws: int, draw0: int = 0) -> np.ndarray:
-    """Uniform integers of 32 bits for each key (rows) and draw (columns), from hashes alone."""
-    k = keys.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
-    x = k + (np.arange(draw0, draw0 + draws, dtype=np.uint64)[None, :] + np.uint64(seed)) * np.uint64(0xD1B54A32D192ED03)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    return (x >> np.uint64(32)).astype(np.uint32)
+#: Ranges of hash among which the draws of a bootstrap are split, a power of two; weights that a task draws at once.
+RANGES, AT_ONCE = 256, 1 << 22
 
 
-def block_bootstrap(cells: DataFrame, by: list[str], iterations: int = 200, seed: int = 1) -> DataFrame:
-    """Bootstrap of the difference of rates over blocks: cells has by, cell (long), k1, n1, k2, n2 (one row for each cell).
+def split_draws(draws: np.ndarray, counts: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """How many of each iteration's draws fall into each range, by halving: a half gets a binomial share of its node's draws, by its share of the blocks.
 
-    Each cell gets a Poisson(1) weight in each iteration, which its own hash
-    decides: what a draw of cells with replacement gives each cell, without cells
-    having to know of each other. Tasks add up weighted sums for every iteration and
-    Spark adds these up, so no group has to fit a task. Bounds are the values at
-    floor(q * (n - 1)) of the sorted differences.
+    draws: a number for each iteration. counts: blocks of each range, a power of two of
+    them. The result has a row for each iteration, and its rows add up to draws.
+    """
+    levels = [counts]
+    while len(levels[-1]) > 1:
+        levels.append(levels[-1].reshape(-1, 2).sum(axis=1))
+    here = draws[:, None]
+    for below in reversed(levels[:-1]):
+        pairs = below.reshape(-1, 2)
+        whole = pairs.sum(axis=1)
+        left = rng.binomial(here, np.where(whole > 0, pairs[:, 0] / np.maximum(whole, 1), 0.0))
+        here = np.stack([left, here - left], axis=2).reshape(len(draws), -1)
+    return here
+
+
+def bootstrap_sums(cells: DataFrame, by: list[str], iterations: int, seed: int) -> DataFrame:
+    """by, iteration and the sums of k1, n1, k2, n2 over as many blocks, drawn with replacement, as the group has.
+
+    A group's number of draws is split among ranges of its blocks' hash, where each
+    range's own are drawn: exactly what drawing from all blocks gives, though no task
+    sees more than a range.
     """
-    cumulative = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)])
-    limits = (cumulative * 2**32).astype(np.uint64)
+    kinds = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in by)
+    sums = ["k1", "n1", "k2", "n2"]
+    rows = cells.select(*by, "cell", *sums, F.pmod(F.xxhash64(F.lit(seed), "cell"), F.lit(RANGES)).cast("int").alias("_range"))
+    counts = rows.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    whole = counts.groupBy(*by).agg(F.collect_list(F.struct("_range", "_n")).alias("_ranges"))  # RANGES entries at most
+    whole = whole.withColumn("_key", F.xxhash64(F.lit(seed), *by))
 
-    def weigh(batches):
-        for rows in batches:
+    def split(batches):
+        for part in batches:
             out = []
-            for key, part in rows.groupby(by, dropna=False, sort=False):
-                w = np.searchsorted(limits, _draws(seed, part["cell"].to_numpy(), iterations), side="right")
-                sums = {c: (w * part[c].to_numpy()[:, None]).sum(axis=0) for c in ("k1", "n1", "k2", "n2")}
-                frame = pd.DataFrame({"iteration": np.arange(iterations), **sums})
-                for name, value in zip(by, key if isinstance(key, tuple) else (key,)):
-                    frame[name] = value
-                out.append(frame)
-            if out:
-                yield pd.concat(out)[[*by, "iteration", "k1", "n1", "k2", "n2"]]
+            for _, row in part.iterrows():
+                n = np.zeros(RANGES, np.int64)
+                for r in row["_ranges"]:
+                    n[r["_range"]] = r["_n"]
+                rng = np.random.Generator(np.random.Philox(key=[seed, int(row["_key"]) & (2**64 - 1)]))
+                drawn = split_draws(np.full(iterations, n.sum()), n, rng)
+                out += [(*(row[c] for c in by), i, drawn[:, i].tolist(), int(row["_key"])) for i in np.flatnonzero(n).tolist()]
+            yield pd.DataFrame(out, columns=[*by, "_range", "_draws", "_key"])
+
+    shares = whole.mapInPandas(split, f"{kinds}, _range int, _draws array<bigint>, _key long")
+
+    def draw(key: tuple, own: pd.DataFrame, share: pd.DataFrame) -> pd.DataFrame:
+        own, row = own.sort_values(["cell", *sums]), share.iloc[0]
+        rng = np.random.Generator(np.random.Philox(key=[(int(row["_key"]) + 1) & (2**64 - 1), int(row["_range"])]))
+        values, n = own[sums].to_numpy(np.int64), len(own)
+        made = np.zeros((iterations, len(sums)), np.int64)
+        step = max(1, AT_ONCE // n)
+        for low in range(0, iterations, step):
+            part = row["_draws"][low : low + step]
+            weight = np.stack([np.bincount(rng.integers(0, n, int(m)), minlength=n) for m in part])
+            made[low : low + step] = weight @ values
+        frame = pd.DataFrame(made, columns=sums)
+        frame.insert(0, "iteration", np.arange(iterations))
+        for at, (name, value) in enumerate(zip(by, key)):
+            frame.insert(at, name, value)
+        return frame
+
+    grouped = rows.groupBy(*by, "_range").cogroup(shares.groupBy(*by, "_range"))
+    made = grouped.applyInPandas(draw, f"{kinds}, iteration int, " + ", ".join(f"{c} long" for c in sums))
+    return made.groupBy(*by, "iteration").agg(*(F.sum(c).alias(c) for c in sums))
 
-    kinds = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in by)
-    drawn = cells.where("n1 > 0 AND n2 > 0").select(*by, "cell", "k1", "n1", "k2", "n2").mapInPandas(weigh, f"{kinds}, iteration int, k1 long, n1 long, k2 long, n2 long")
-    sums = drawn.groupBy(*by, "iteration").agg(*(F.sum(c).alias(c) for c in ("k1", "n1", "k2", "n2"))).where("n1 > 0 AND n2 > 0")
-    diff = sums.withColumn("d", F.col("k1") / F.col("n1") - F.col("k2") / F.col("n2"))
-    out = diff.groupBy(*by).agg(F.sort_array(F.collect_list("d")).alias("all"), F.avg((F.col("d") > 0).cast("int")).alias("p_positive"))  # iterations of a group
+
+def block_bootstrap(cells: DataFrame, by: list[str], iterations: int = 200, seed: int = 1) -> DataFrame:
+    """Bootstrap of the difference of rates over blocks: cells has by, cell (long), k1, n1, k2, n2 (one row for each cell).
+
+    Blocks with both sides count. As many as there are are drawn with replacement in
+    each iteration. Bounds are the values at floor(q * (n - 1)) of the sorted
+    differences. A group without such blocks is insufficient_overlap, with nulls.
+    """
+    sums = ["k1", "n1", "k2", "n2"]
+    both = (F.col("n1") > 0) & (F.col("n2") > 0)
+    seen = cells.groupBy(*by).agg(F.count_if(both).alias("blocks"), *(F.coalesce(F.sum(F.when(both, F.col(c))), F.lit(0)).alias(c) for c in sums))
+    diff = bootstrap_sums(cells.where(both), by, iterations, seed).withColumn("d", F.col("k1") / F.col("n1") - F.col("k2") / F.col("n2"))
+    out = diff.groupBy(*by).agg(F.sort_array(F.collect_list("d")).alias("all"), F.avg((F.col("d") > 0).cast("int")).alias("p_positive"), F.avg((F.col("d") < 0).cast("int")).alias("p_negative"))  # iterations of a group
     at = lambda q: F.get("all", F.floor((F.size("all") - 1) * F.lit(q)).cast("int"))
-    return out.select(*by, F.size("all").alias("iterations"), at(0.025).alias("low"), at(0.5).alias("median"), at(0.975).alias("high"), "p_positive")
+    out = out.select(*by, F.size("all").alias("iterations"), at(0.025).alias("low"), at(0.5).alias("median"), at(0.975).alias("high"), "p_positive", "p_negative")
+    met = seen.join(out, by, "left")
+    observed = F.when(F.col("blocks") > 0, F.col("k1") / F.nullif("n1", F.lit(0)) - F.col("k2") / F.nullif("n2", F.lit(0)))
+    status = F.when(F.col("blocks") > 0, "available").otherwise("insufficient_overlap")
+    return met.select(*by, "blocks", "n1", "n2", observed.alias("observed"), F.coalesce("iterations", F.lit(0)).alias("iterations"), "low", "median", "high", "p_positive", "p_negative", status.alias("status"))
 
 
 def permutation(rows: DataFrame, stratum: str, ident: str, label: str, hit: str, iterations: int = 200, seed: int = 1) -> DataFrame:
@@ -146,3 +193,38 @@ def moran_permutation(values: DataFrame, edges: DataFrame, iterations: int = 100
     seen = i.where("turn = 0").select("edges", F.col("i").alias("moran_i"))
     out = i.where("turn > 0").select("i").crossJoin(seen)  # one row
     return out.groupBy("edges", "moran_i").agg(F.avg("i").alias("expected"), ((1 + F.count_if(F.col("i") >= F.col("moran_i") - 1e-12)) / (1 + F.count(F.lit(1)))).alias("p")).withColumn("n", F.lit(n))
+
+
+def clouds(frame: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """Random points id, x, y for each iteration: as many as frame (one row: x0, x1, y0, y1, n) says, even over its box, and the iteration.
+
+    Clouds lie side by side, ten widths apart, so that all of them are one table of
+    points in which nobody's nearest is in another cloud.
+    """
+    unit = lambda salt: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(salt), "iteration", "i"), 11) / F.lit(float(1 << 53))
+    rows = frame.select("x0", "x1", "y0", "y1", "n", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
+    rows = rows.repartition("iteration").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).where("n > 0")
+    gap = 10 * F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    x = F.col("x0") + unit("x") * (F.col("x1") - F.col("x0")) + F.col("iteration") * gap
+    return rows.select("iteration", (F.col("iteration") * F.col("n") + F.col("i")).alias("id"), x.alias("x"), (F.col("y0") + unit("y") * (F.col("y1") - F.col("y0"))).alias("y"))
+
+
+def cloud_null(points: DataFrame, near: Column, scratch: Scratch, iterations: int = 150, seed: int = 1) -> DataFrame:
+    """How often clouds of as many random points in the same box have as large a share of nearest distances d with ``near``: one row of n, observed, expected and p, (1 + clouds at least as large) / (1 + clouds).
+
+    The distances of all clouds are found by one search, so the work is in proportion to
+    iterations x points. Fewer than two points have no distances: all but n are null.
+    """
+    from fathomline.operators.neighbours import k_nearest
+
+    known = points.where("x IS NOT NULL AND y IS NOT NULL")
+    frame = known.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("n"))
+    made = scratch.save(clouds(frame, iterations, seed), "clouds")
+    share = F.avg(near.cast("double"))
+    found = lambda rows, name: k_nearest(rows, rows, 1, Scratch(scratch.spark, name), others=True).withColumn("d", F.sqrt("d2"))
+    seen = found(known, "seen").agg(F.count(F.lit(1)).alias("n"), share.alias("observed"))
+    per = F.floor(F.col("id") / F.col("size"))
+    drawn = found(made.select("id", "x", "y"), "drawn").crossJoin(frame.select(F.col("n").alias("size"))).groupBy(per.alias("iteration")).agg(share.alias("share"))  # one row
+    met = seen.join(drawn, F.lit(True), "left")  # one row
+    as_large = F.count_if(F.col("share") >= F.col("observed"))
+    return met.groupBy("n", "observed").agg(F.avg("share").alias("expected"), F.when(F.count("share") > 0, (1 + as_large) / (1 + F.count("share"))).alias("p"))

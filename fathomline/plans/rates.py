@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import signals, stats
-from fathomline.operators import rates
+from fathomline.operators import quality, rates
 from fathomline.plans.registry import query, table
 
 
@@ -244,3 +244,22 @@ def ranked_matches(spark, sf_dir):
     met = left.join(right, "cust").withColumn("distance", F.abs(F.col("cents") - F.col("cents2")))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "control_id"))
     return met.withColumn("rank", rank).where("rank <= 3").select("id", "distance", "control_id", "rank")
+
+
+_PUBLISHED = "id % 101 <> 5"
+_DIFFERENT = f"""(SELECT id, 'left only' AS what FROM {ROWS} WHERE id % 103 = 7 AND {_PUBLISHED} UNION ALL SELECT id, 'right only' FROM {ROWS} WHERE NOT ({_PUBLISHED}) AND id % 103 <> 7 UNION ALL
+    SELECT id, 'p_adjusted' FROM {ROWS} WHERE {_PUBLISHED} AND id % 103 <> 7 AND id % 97 = 0 UNION ALL SELECT id, 'verdict' FROM {ROWS} WHERE {_PUBLISHED} AND id % 103 <> 7 AND id % 89 = 1 UNION ALL SELECT id, 'left repeated' FROM {ROWS} WHERE {_PUBLISHED} AND id % 499 = 3)"""
+
+
+@query(
+    f"""SELECT what, n, keys FROM (SELECT what, count(DISTINCT (id, copy)) AS n FROM (SELECT *, unnest(range(CASE WHEN id % 499 = 3 AND what NOT IN ('left repeated', 'right only') THEN 2 ELSE 1 END)) AS copy FROM {_DIFFERENT}) GROUP BY what)
+    JOIN (SELECT what, string_agg(key, ',' ORDER BY key) AS keys FROM (SELECT what, id::VARCHAR AS key, row_number() OVER (PARTITION BY what ORDER BY id::VARCHAR) AS rank FROM (SELECT *, unnest(range(CASE WHEN id % 499 = 3 AND what NOT IN ('left repeated', 'right only') THEN 2 ELSE 1 END)) AS copy FROM {_DIFFERENT})) WHERE rank <= 5 GROUP BY what) USING (what)"""
+)
+def recomputed_results(spark, sf_dir):
+    """Adjusted p-values and verdicts as published, with planted errors, against those computed again: what differs, how often and where first."""
+    again = holm_adjust(spark, sf_dir).select("id", "p_adjusted", "verdict")
+    said = again.where(F.col("id") % 101 != 5).withColumn("p_adjusted", F.col("p_adjusted") + F.when(F.col("id") % 97 == 0, 0.5).otherwise(1e-9))
+    said = said.withColumn("verdict", F.when(F.col("id") % 89 == 1, F.concat("verdict", F.lit("?"))).otherwise(F.col("verdict")))
+    said = said.unionByName(said.where("id % 499 = 3"))
+    got = quality.differences(said, again.where("id % 103 <> 7"), ["id"], {"p_adjusted": 1e-6, "verdict": None})
+    return got.select("what", "n", F.array_join(F.transform("samples", lambda x: x["key"]), ",").alias("keys"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("selection", "rates", "spatial", "regions", "quality", "sequences", "sampling", "graphs", "texts", "shapes", "io", "reports")
+_MODULES = ("selection", "rates", "spatial", "regions", "quality", "sequences", "sampling", "graphs", "texts", "shapes", "io", "reports", "calendars")
 
 
 def query(sql: str | None = None):

@@ -318,6 +318,13 @@ def fibonacci_distances(spark, sf_dir):
     return e.agg(F.count(F.lit(1)).alias("n"), F.count_if(near([5, 8, 13, 21, 34, 55])).alias("fibonacci"), F.count_if(near([6, 10, 15, 24, 38, 50])).alias("sham"))
 
 
+@query()
+def fibonacci_null(spark, sf_dir):
+    """Nearest distances near Fibonacci numbers against those of random points in the same box; tested against a plain simulation."""
+    near = F.exists(F.array(*map(F.lit, [5, 8, 13, 21, 34, 55])), lambda f: F.abs(F.col("d") - f) / f <= 0.03)
+    return sample.cloud_null(points(spark, sf_dir).select("id", "x", "y"), near, Scratch(spark, "clouds"), iterations=50)
+
+
 @query()
 def orientation_null(spark, sf_dir):
     """Links near the golden direction, and the most near any, against directions drawn evenly."""

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fathomline.functions import evidence, geo, limits, polygons, schedule, signals, stats
-from fathomline.operators import graph, sample, spatial
+from fathomline.operators import graph, quality, sample, spatial
 from fathomline.sources.store import Scratch
 
 SQUARE = np.array([[0, 0], [10, 0], [10, 10], [0, 10]], float)
@@ -232,6 +233,38 @@ def test_split_is_stable(spark):
     assert 230 < len(a) < 370 and b == {i for i in a if i < 500}
 
 
+def test_bootstrap_draws_as_many_blocks_as_there_are(spark):
+    cells = spark.createDataFrame([(g, i, i % 3, 1, 0, 2) for g, n in (("a", 700), ("b", 3)) for i in range(n)], "grp string, cell long, k1 long, n1 long, k2 long, n2 long")
+    sums = sample.bootstrap_sums(cells.repartition(3), ["grp"], 60, 5).collect()
+    assert {(r["grp"], r["n1"], r["n2"]) for r in sums} == {("a", 700, 1400), ("b", 3, 6)} and len(sums) == 120
+    again = sample.bootstrap_sums(cells.repartition(7), ["grp"], 60, 5).collect()
+    assert sorted(map(tuple, sums)) == sorted(map(tuple, again))
+    one = [r["k1"] for r in sums if r["grp"] == "a"]
+    assert abs(np.mean(one) - 699) < 12 and 12 < np.std(one) < 34  # 700 draws of 0, 1, 2: sd 21.6
+
+
+def test_three_blocks_are_drawn_evenly(spark):
+    cells = spark.createDataFrame([("a", i, 10**i, 1, 0, 1) for i in range(3)], "grp string, cell long, k1 long, n1 long, k2 long, n2 long")
+    got = Counter(r["k1"] for r in sample.bootstrap_sums(cells, ["grp"], 5400, 9).collect())
+    expected = {300: 200, 30: 200, 3: 200, 210: 600, 201: 600, 120: 600, 21: 600, 102: 600, 12: 600, 111: 1200}
+    assert set(got) == set(expected)
+    assert sum((got[k] - n) ** 2 / n for k, n in expected.items()) < 30  # chi-squared of 9 degrees
+
+
+def test_draws_split_by_halves_add_up():
+    rng = np.random.default_rng(1)
+    made = sample.split_draws(np.full(4000, 10), np.array([1, 0, 3, 4]), rng)
+    assert (made.sum(axis=1) == 10).all() and (made[:, 1] == 0).all()
+    assert np.allclose(made.mean(axis=0), [1.25, 0, 3.75, 5], atol=0.15)
+
+
+def test_bootstrap_without_overlap(spark):
+    cells = spark.createDataFrame([("a", 1, 1, 2, 0, 0), ("b", 1, 1, 2, 1, 4), ("b", 2, 0, 2, 1, 4)], "grp string, cell long, k1 long, n1 long, k2 long, n2 long")
+    got = {r["grp"]: r for r in sample.block_bootstrap(cells, ["grp"], 50).collect()}
+    assert got["a"]["status"] == "insufficient_overlap" and got["a"]["low"] is None and got["a"]["blocks"] == 0
+    assert got["b"]["status"] == "available" and got["b"]["observed"] == 0.0 and got["b"]["p_positive"] + got["b"]["p_negative"] <= 1
+
+
 def test_bootstrap_covers(spark):
     cells = spark.createDataFrame([("g", c, 30 + c % 3, 60, 20 + c % 2, 60) for c in range(40)], "grp string, cell long, k1 long, n1 long, k2 long, n2 long")
     r = sample.block_bootstrap(cells, ["grp"], 200).first()
@@ -270,3 +303,43 @@ def test_attributions_that_do_not_count(spark):
 def test_durations(spark):
     text = ["1:30", "0:05:07", "100:00", "1:60", "1:5", "2 h 30 min", "90 min", "1h1m1s", "45 s", "30 min 1 h", "1.5 hours", "1..5 h", "5", "", None, "0:00", "1 h x", "7 m 7 m"]
     assert values(spark, text, limits.duration) == [5400, 307, 360000, None, None, 9000, 5400, 3661, 45, None, 5400, None, None, None, None, None, None, None]
+
+
+def test_cloud_null_against_a_plain_simulation(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.uniform(0, 60), rng.uniform(-20, 40)) for i in range(60)]
+    points = spark.createDataFrame([*rows, (99, None, 1.0)], "id long, x double, y double")
+    near = F.abs(F.col("d") - 4) < 1.5
+    got = sample.cloud_null(points, near, Scratch(spark, "c"), iterations=12, seed=3).first()
+    frame = spark.createDataFrame([(min(r[1] for r in rows), max(r[1] for r in rows), min(r[2] for r in rows), max(r[2] for r in rows), 60)], "x0 double, x1 double, y0 double, y1 double, n long")
+    made = [(r["iteration"], r["x"], r["y"]) for r in sample.clouds(frame, 12, 3).collect()]
+
+    def share(xy):
+        d = [min(math.hypot(a - c, b - e) for j, (c, e) in enumerate(xy) if j != i) for i, (a, b) in enumerate(xy)]
+        return sum(abs(x - 4) < 1.5 for x in d) / len(d)
+
+    null = [share([(x, y) for i, x, y in made if i == k]) for k in range(12)]
+    seen = share([r[1:] for r in rows])
+    assert got["n"] == 60 and got["observed"] == pytest.approx(seen) and got["expected"] == pytest.approx(sum(null) / 12)
+    assert got["p"] == pytest.approx((1 + sum(x >= seen - 1e-12 for x in null)) / 13)
+    xs = np.array([x for i, x, _ in made if i == 0])
+    assert 0 <= xs.min() < 6 and 54 < xs.max() <= 60 and len(made) == 720
+    none = sample.cloud_null(points.limit(0), near, Scratch(spark, "c"), iterations=3).first()
+    assert none["n"] == 0 and none["p"] is None
+
+
+def test_differences_find_what_was_planted(spark):
+    schema = "g string, k int, p double, verdict string"
+    rows = [("a", 1, 0.5, "SIGNAL"), ("a", 2, None, "background"), ("b", None, float("nan"), None), (None, 3, 0.1, "x"), ("c", 9, 0.2, "x")]
+    left = spark.createDataFrame(rows, schema)
+    same = spark.createDataFrame([(g, k, p and p + 1e-9, v) for g, k, p, v in rows], schema)
+    assert quality.differences(left, same, ["g", "k"], {"p": 1e-6, "verdict": None}).count() == 0
+    other = [("a", 1, 0.6, "background"), ("a", 2, 0.0, "background"), ("b", None, float("nan"), None), (None, 3, 0.1, "x"), ("d", 1, 0.2, "x"), ("d", 1, 0.2, "x")]
+    got = {r["what"]: (r["n"], [(s["key"], s["left"], s["right"]) for s in r["samples"]]) for r in quality.differences(left, spark.createDataFrame(other, schema), ["g", "k"], {"p": 1e-6, "verdict": None}).collect()}
+    assert got == {
+        "p": (2, [("a|1", "0.5", "0.6"), ("a|2", None, "0.0")]),
+        "verdict": (1, [("a|1", "SIGNAL", "background")]),
+        "left only": (1, [("c|9", None, None)]),
+        "right only": (2, [("d|1", None, None)] * 2),
+        "right repeated": (1, [("d|1", None, None)]),
+    }
