@@ -69,12 +69,13 @@ def next_dated(spark, sf_dir):
     return calendar.next_active(_orders(spark, sf_dir), "text", "moment", _holidays(spark, sf_dir)).select("id", "next_active")
 
 
-@query("SELECT count(DISTINCT day) AS dates, min(day) AS first, max(day) AS last, count(*) - count(DISTINCT day) AS repeated, (SELECT count(*) FROM orders WHERE o_orderkey % 9 = 0) AS invalid FROM (SELECT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 9 <> 0)")
+@query("SELECT count(DISTINCT day) AS dates, min(day)::VARCHAR AS first, max(day)::VARCHAR AS last, count(*) - count(DISTINCT day) AS repeated, (SELECT count(*) FROM orders WHERE o_orderkey % 9 = 0) AS invalid FROM (SELECT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 9 <> 0)")
 def holiday_contract(spark, sf_dir):
     """Check of dates as texts, those of every ninth order written with slashes."""
     o = table(spark, sf_dir, "orders")
     text = F.date_format("o_orderdate", "yyyy-MM-dd")
-    return calendar.holiday_contract(o.select(F.when(F.col("o_orderkey") % 9 == 0, F.replace(text, F.lit("-"), F.lit("/"))).otherwise(text).alias("day")))
+    got = calendar.holiday_contract(o.select(F.when(F.col("o_orderkey") % 9 == 0, F.replace(text, F.lit("-"), F.lit("/"))).otherwise(text).alias("day")))
+    return got.withColumns({c: F.col(c).cast("string") for c in ("first", "last")})
 
 
 # texts of edges by their cents
