@@ -168,6 +168,28 @@ def transitions(edges: DataFrame, banned: DataFrame, only: DataFrame) -> DataFra
     return met.where(ok).select(F.col("from_id").alias("u"), F.col("to_id").alias("v"), "w")
 
 
+def chains(rules: DataFrame, ways: DataFrame) -> DataFrame:
+    """Check of rules over several ways: rule, status, via_node and junctions (the nodes where its ways meet, in order).
+
+    rules: rule (each once) and members, an array of ways from the first to the last.
+    ways: way and nodes, the nodes along it. unresolved: a way is not known or has no
+    nodes, or there are fewer than two. unsupported: two ways in a row do not share
+    exactly one end. Else ok; via_node is the last junction.
+    """
+    ends = ways.where(F.size("nodes") > 0).select("way", F.array_distinct(F.array(F.element_at("nodes", 1), F.element_at("nodes", -1))).alias("ends"))
+    members = rules.select("rule", F.posexplode_outer("members").alias("place", "way"))
+    placed = members.join(ends, "way", "left")
+    known = placed.groupBy("rule").agg(F.count("place").alias("n"), F.count("ends").alias("found"))
+    one = placed.select("rule", "place", F.explode("ends").alias("node"))
+    # a way's end meets the next way's
+    met = one.join(one.withColumn("place", F.col("place") - 1), ["rule", "place", "node"]).groupBy("rule", "place").agg(F.count(F.lit(1)).alias("shared"), F.min("node").alias("node"))
+    steps = met.groupBy("rule").agg(F.count_if(F.col("shared") == 1).alias("good"), F.array_sort(F.collect_list(F.struct("place", "node"))).alias("at"))  # a rule's steps
+    out = known.join(steps, "rule", "left")
+    status = F.when((F.col("n") < 2) | (F.col("found") < F.col("n")), "unresolved").when(F.coalesce("good", F.lit(0)) < F.col("n") - 1, "unsupported").otherwise("ok")
+    junctions = F.when(F.col("status") == "ok", F.transform("at", lambda x: x["node"]))
+    return out.withColumn("status", status).select("rule", "status", F.element_at(junctions, -1).alias("via_node"), junctions.alias("junctions"))
+
+
 def paths(labels: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
     """Node sequences (origin, node, state, path) of wanted labels, traced back a step a round for all of them together, to the last."""
     back = labels.select("origin", F.col("node").alias("at"), F.col("state").alias("at_state"), "prev", "prev_state")

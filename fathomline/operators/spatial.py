@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.operators.skew import salted
 from fathomline.sources.store import Scratch
 
 
@@ -54,7 +55,7 @@ def contain_else_near(boxes: DataFrame, points: DataFrame, radius: float, cell:
     reach_y0, reach_y1 = F.least(F.col("y0"), F.col("_y") - radius), F.greatest(F.col("y1"), F.col("_y") + radius)
     spread = grown.withColumn("_cx", F.explode(F.sequence(F.floor(reach_x0 / cell), F.floor(reach_x1 / cell))))
     spread = spread.withColumn("_cy", F.explode(F.sequence(F.floor(reach_y0 / cell), F.floor(reach_y1 / cell))))
-    met = spread.join(_own(points, "x", "y", cell), ["_cx", "_cy"])
+    met = salted(_own(points, "x", "y", cell), spread, ["_cx", "_cy"], F.struct("x", "y", "pid"))
     inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
     d2 = F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2)
     met = met.withColumn("mode", F.when(inside, 0).when(d2 <= radius * radius, 1)).withColumn("d2", d2).where("mode IS NOT NULL")
@@ -65,7 +66,7 @@ def first_feature(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame
     """Each point with the first box (by seq) that holds it; null if none does."""
     spread = boxes.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("x0") / cell), F.floor(F.col("x1") / cell))))
     spread = spread.withColumn("_cy", F.explode(F.sequence(F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell))))
-    met = _own(points, "x", "y", cell).join(spread, ["_cx", "_cy"])
+    met = salted(_own(points, "x", "y", cell), spread, ["_cx", "_cy"], F.col("id"))
     met = met.where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
     found = met.groupBy("id").agg(F.min("seq").alias("seq"))
     return points.join(found, "id", "left")
@@ -89,7 +90,7 @@ STRATUM_ROWS = 100_000
 
 
 def assign_once(candidates: DataFrame, scratch: Scratch, k: int = 1, stratum: str = "stratum", bound: int = STRATUM_ROWS) -> DataFrame:
-    """Each control at most once: within a stratum targets with the fewest candidates choose first, then by id; each takes its k cheapest free ones (cost, then cid).
+    """Each control at most once: within a stratum targets with the fewest candidates choose first, then those of least priority (a column, if there is one), then by id; each takes its k cheapest free ones (cost, then cid).
 
     A stratum of up to ``bound`` candidates is one group. In a larger one targets do
     not choose one after another: in each round every target asks for the k cheapest
@@ -97,7 +98,8 @@ def assign_once(candidates: DataFrame, scratch: Scratch, k: int = 1, stratum: st
     ask, in the order of choice, and refuses the others. When none is refused the
     result is that of the sequence. A round writes its refusals.
     """
-    counts = candidates.groupBy(stratum, "id").agg(F.count(F.lit(1)).alias("_n"))
+    first = F.min("priority").cast("double") if "priority" in candidates.columns else F.lit(0.0)
+    counts = candidates.groupBy(stratum, "id").agg(F.count(F.lit(1)).alias("_n"), first.alias("_p"))
     sizes = counts.groupBy(stratum).agg(F.sum("_n").alias("_size"))
     pairs = scratch.save(candidates.select(stratum, "id", "cid", "cost").join(counts, [stratum, "id"]).join(sizes, stratum), "candidates")
     kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
@@ -105,7 +107,7 @@ def assign_once(candidates: DataFrame, scratch: Scratch, k: int = 1, stratum: st
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         used, kept = set(), []
-        for _, own in rows.sort_values(["_n", "id", "cost", "cid"], kind="stable").groupby(["_n", "id"], sort=True):
+        for _, own in rows.sort_values(["_n", "_p", "id", "cost", "cid"], kind="stable").groupby(["_n", "_p", "id"], sort=True):
             free = own[~own["cid"].isin(used)].head(k)
             used.update(free["cid"])
             kept.append(free.assign(rank=range(1, len(free) + 1)))
@@ -121,13 +123,45 @@ def assign_once(candidates: DataFrame, scratch: Scratch, k: int = 1, stratum: st
         if refused:
             left = left.join(reduce(DataFrame.unionByName, refused), [stratum, "id", "cid"], "left_anti")
         asked = nearest(left, [stratum, "id"], ["cost", "cid"], k)
-        asked = scratch.save(asked.withColumn("_first", F.min(F.struct("_n", "id")).over(Window.partitionBy(stratum, "cid"))), f"asked{turn}")
+        asked = scratch.save(asked.withColumn("_first", F.min(F.struct("_n", "_p", "id")).over(Window.partitionBy(stratum, "cid"))), f"asked{turn}")
         lost, n = scratch.save_counted(asked.where(F.col("_first.id") != F.col("id")).select(stratum, "id", "cid"), f"refused{turn}")
         if not n:
             return small.unionByName(asked.select(stratum, "id", "cid", "cost", "rank"))
         refused.append(lost)
 
 
+#: What a pair of known but different eras costs more.
+ERA_PENALTY = 0.25
+
+
+def strict_match(pairs: DataFrame, covariates: DataFrame, scratch: Scratch, k: int = 1) -> DataFrame:
+    """Matches without reuse within hard strata, from candidate pairs (id, cid, cost): stratum, id, cid, cost, rank, era_comparable, era_gap.
+
+    covariates: id (targets and controls, each once), stratum, era (null or empty: not
+    known) and score. Pairs of different strata, or of ids without a row, do not count; a
+    null stratum is one. Two known eras that differ cost ERA_PENALTY more. Targets with
+    the fewest candidates choose first, then those of the highest score, then by id.
+    """
+    known = F.nullif(F.trim("era"), F.lit(""))
+    own = covariates.select("id", F.coalesce("stratum", F.lit("unknown")).alias("stratum"), known.alias("era"), (-F.coalesce(F.col("score").cast("double"), F.lit(0.0))).alias("priority"))
+    other = own.select(F.col("id").alias("cid"), F.col("stratum").alias("stratum2"), F.col("era").alias("era2"))
+    met = pairs.select("id", "cid", "cost").join(own, "id").join(other, "cid").where(F.col("stratum") == F.col("stratum2"))
+    comparable = F.col("era").isNotNull() & F.col("era2").isNotNull()
+    met = met.withColumn("era_comparable", comparable).withColumn("era_gap", comparable & F.coalesce(F.col("era") != F.col("era2"), F.lit(False)))
+    met = met.withColumn("cost", F.col("cost") + F.when(F.col("era_gap"), ERA_PENALTY).otherwise(0.0))
+    met = scratch.save(met.select("stratum", "id", "cid", "cost", "priority", "era_comparable", "era_gap"), "strict")
+    taken = assign_once(met, scratch, k)
+    return taken.join(met.select("stratum", "id", "cid", "era_comparable", "era_gap"), ["stratum", "id", "cid"])
+
+
+def strict_summary(targets: DataFrame, matches: DataFrame, k: int) -> DataFrame:
+    """One row: target_n, fully, partially and unmatched targets (id), pair_n and unique_controls."""
+    per = matches.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    met = targets.select("id").distinct().join(per, "id", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
+    one = met.agg(F.count(F.lit(1)).alias("target_n"), F.count_if(F.col("n") >= k).alias("fully_matched"), F.count_if(F.col("n").between(1, k - 1)).alias("partially_matched"), F.count_if(F.col("n") == 0).alias("unmatched"))
+    return one.crossJoin(matches.agg(F.count(F.lit(1)).alias("pair_n"), F.countDistinct("cid").alias("unique_controls")))  # one row each
+
+
 def ripley(points: DataFrame, radii: list[float], width: float, height: float) -> DataFrame:
     """Ripley's K and L - r of points (id, x, y) in a box, with translation correction of the edges."""
     other = points.select(F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
@@ -160,5 +194,5 @@ def box_join_count(points: DataFrame, boxes: DataFrame, cell: float, aggregates:
     """Aggregates of the points inside each box, by box id."""
     spread = boxes.select("id", "x0", "y0", "x1", "y1", F.explode(F.sequence(F.floor(F.col("x0") / cell), F.floor(F.col("x1") / cell))).alias("_cx"))
     spread = spread.withColumn("_cy", F.explode(F.sequence(F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell))))
-    met = spread.join(_own(points.drop("id"), "x", "y", cell), ["_cx", "_cy"])
+    met = salted(_own(points.drop("id"), "x", "y", cell), spread, ["_cx", "_cy"], F.struct("x", "y"))
     return met.where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).groupBy("id").agg(*aggregates)

@@ -357,6 +357,29 @@ def restriction_checks(spark, sf_dir):
     return met.select("id", F.coalesce("_f", F.lit(False)).alias("from_ok"), F.coalesce("_t", F.lit(False)).alias("to_ok"))
 
 
+# ways of customers from one of forty nodes by way of their own to another; rules of orders over two to four of them, some not there
+_MEMBERS = "CASE o_orderkey % 3 WHEN 0 THEN [o_custkey, a] WHEN 1 THEN [o_custkey, a, b] ELSE [o_custkey, a, b, (b * 3 + 1) % 40 + o_orderkey % 7] END"
+_CHAINED = f"(SELECT o_orderkey AS rule, {_MEMBERS} AS members FROM (SELECT *, (a * 3 + 1) % 40 + CASE WHEN o_orderkey % 11 = 0 THEN 90000000 ELSE 40 END AS b FROM (SELECT *, (o_custkey * 3 + 1) % 40 + 40 AS a FROM orders)))"
+
+
+@query(
+    f"""WITH e AS (SELECT c_custkey AS way, list_distinct([c_custkey % 40, (c_custkey * 3 + 1) % 40]) AS ends FROM customer), m AS (SELECT rule, unnest(members) AS way, generate_subscripts(members, 1) AS place FROM {_CHAINED}),
+    p AS (SELECT m.rule, m.place, e.ends FROM m LEFT JOIN e USING (way)), s AS (SELECT a.rule, a.place, list_intersect(a.ends, b.ends) AS shared FROM p a JOIN p b ON b.rule = a.rule AND b.place = a.place + 1)
+    SELECT k.rule, CASE WHEN missing THEN 'unresolved' WHEN wrong THEN 'unsupported' ELSE 'ok' END AS status, CASE WHEN NOT missing AND NOT wrong THEN last END AS via_node FROM (SELECT rule, bool_or(ends IS NULL) AS missing FROM p GROUP BY rule) k
+    JOIN (SELECT rule, bool_or(coalesce(len(shared), 0) <> 1) AS wrong, arg_max(shared[1], place) AS last FROM s GROUP BY rule) USING (rule)"""
+)
+def chain_checks(spark, sf_dir):
+    """Rules over several ways whose members are known and meet end to end, at one node a step."""
+    key, o = F.col("c_custkey"), table(spark, sf_dir, "orders")
+    ways = table(spark, sf_dir, "customer").select(key.alias("way"), F.array(key % 40, key + 100_000, (key * 3 + 1) % 40).alias("nodes"))
+    o = o.withColumn("a", (F.col("o_custkey") * 3 + 1) % 40 + 40)
+    o = o.withColumn("b", (F.col("a") * 3 + 1) % 40 + F.when(F.col("o_orderkey") % 11 == 0, 90_000_000).otherwise(40))
+    last = (F.col("b") * 3 + 1) % 40 + F.col("o_orderkey") % 7
+    kind = F.col("o_orderkey") % 3
+    members = F.when(kind == 0, F.array("o_custkey", "a")).when(kind == 1, F.array("o_custkey", "a", "b")).otherwise(F.array(F.col("o_custkey"), F.col("a"), F.col("b"), last))
+    return graph.chains(o.select(F.col("o_orderkey").alias("rule"), members.alias("members")), ways).select("rule", "status", "via_node")
+
+
 @query(
     f"""SELECT id, CASE WHEN cents % 7 = 0 THEN false WHEN cents % 3 = 0 AND cents % 2 = 0 THEN false WHEN cents % 5 = 0 THEN cents % 2 = 0 ELSE true END AS open,
     least(CASE WHEN cents % 4 = 0 THEN NULL ELSE 80 END, CASE WHEN cents % 2 = 0 THEN 50 END, CASE WHEN cents % 3 = 0 THEN 30 END) AS kmh, CASE WHEN cents % 3 = 0 THEN 'no' WHEN cents % 2 = 0 THEN 'yes' ELSE 'base' END AS direction FROM {EDGES}"""

@@ -31,13 +31,14 @@ def parity_write_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("SELECT 'json' AS backend, 1 AS errors, count(*) AS n FROM region")
+@query("SELECT 'json' AS backend, 1 AS errors, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS keys, count(DISTINCT o_orderpriority) AS priorities FROM orders")
 def backend_fallback(spark, sf_dir):
     """The preferred format is not there, so the next one is read."""
     scratch = Scratch(spark, "backends")
-    sinks.write(table(spark, sf_dir, "region"), scratch.path("json"), "json")
-    rows, kind, errors = files.first_readable(spark, {"parquet": scratch.path("nothing"), "json": scratch.path("json")}, "r_regionkey INT, r_name STRING")
-    return rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("backend"), F.lit(len(errors)).alias("errors"), "n")
+    sinks.write(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), scratch.path("json"), "json")
+    rows, kind, errors = files.first_readable(spark, {"parquet": scratch.path("nothing"), "json": scratch.path("json")}, "o_orderkey BIGINT, o_custkey BIGINT, o_orderpriority STRING")
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("o_custkey").alias("keys"), F.countDistinct("o_orderpriority").alias("priorities"))
+    return counts.select(F.lit(kind).alias("backend"), F.lit(len(errors)).alias("errors"), "n", "keys", "priorities")
 
 
 @query("SELECT vec_id AS id, 12 AS corners, 'Polygon' AS kind, label FROM embeddings")

@@ -54,17 +54,27 @@ def row_digest(spark, sf_dir):
     return quality.digest(table(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
 
 
-@query("SELECT * FROM (VALUES ('c_custkey', 'numeric'), ('c_name', 'string'), ('c_nationkey', 'numeric'), ('c_acctbal', 'numeric'), ('c_mktsegment', 'string')) v(field, kind)")
+def _kinds_sql(name: str, columns: list[str]) -> str:
+    """numeric or string for each column, by its values that are not blank."""
+    one = "SELECT {i} AS i, '{c}' AS field, CASE WHEN coalesce(bool_and(try_cast({c}::VARCHAR AS DOUBLE) IS NOT NULL) FILTER (trim({c}::VARCHAR) <> ''), false) THEN 'numeric' ELSE 'string' END AS kind FROM {t}"
+    return "(" + " UNION ALL ".join(one.format(i=i, c=c, t=name) for i, c in enumerate(columns)) + ")"
+
+
+_CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+_ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+@query(f"SELECT field, kind FROM {_kinds_sql('customer', _CUSTOMER)}")
 def field_kinds(spark, sf_dir):
     return quality.field_kinds(table(spark, sf_dir, "customer"))
 
 
-@query("SELECT sha256('r_regionkey:numeric,r_name:string') AS fingerprint")
+@query(f"SELECT sha256(string_agg(field || ':' || kind, ',' ORDER BY i)) AS fingerprint FROM {_kinds_sql('orders', _ORDERS)}")
 def schema_fingerprint(spark, sf_dir):
-    return quality.schema_fingerprint(table(spark, sf_dir, "region"))
+    return quality.schema_fingerprint(table(spark, sf_dir, "orders"))
 
 
-@query("SELECT 'numeric:c_name' AS rule, count(*) AS violations FROM customer UNION ALL SELECT 'unique:c_nationkey', count(c_nationkey) - count(DISTINCT c_nationkey) FROM customer UNION ALL SELECT 'unique:c_custkey', 0 UNION ALL SELECT 'required:c_name', 0 UNION ALL SELECT 'required:c_town', 1")
+@query("SELECT 'numeric:c_name' AS rule, count(*) AS violations FROM customer UNION ALL SELECT 'unique:c_nationkey', count(c_nationkey) - count(DISTINCT c_nationkey) FROM customer UNION ALL SELECT 'unique:c_custkey', count(c_custkey) - count(DISTINCT c_custkey) FROM customer UNION ALL SELECT 'required:' || c, (SELECT 1 - count(*) FROM (DESCRIBE customer) WHERE column_name = c) FROM (VALUES ('c_name'), ('c_town')) v(c)")
 def registry_audit(spark, sf_dir):
     return quality.audit_rules(table(spark, sf_dir, "customer"), ["c_name", "c_town"], ["c_name"], ["c_nationkey", "c_custkey"])
 

@@ -160,6 +160,17 @@ def strict_match(spark, sf_dir):
     return spatial.assign_once(got, Scratch(spark, "once"))
 
 
+@query()
+def strict_eras(spark, sf_dir):
+    """Strict matches where two known eras that differ cost more, counted; tested against a plain version."""
+    p = points(spark, sf_dir).withColumn("bin", signals.log_area_bin(F.col("area")))
+    pairs = spatial.match(p.where("label % 2 = 0"), p.where("label % 2 = 1"), 150.0, 12)
+    era = F.when(F.col("id") % 5 > 0, F.concat(F.lit("era "), F.floor(F.col("area") / 400).cast("string")))
+    covariates = p.select("id", F.concat_ws(":", F.floor(F.col("x") / 200), F.floor(F.col("y") / 200)).alias("stratum"), era.alias("era"), (F.col("area") % 10).alias("score"))
+    got = spatial.strict_match(pairs, covariates, Scratch(spark, "strict"))
+    return spatial.strict_summary(p.where("label % 2 = 0"), got, 1)
+
+
 @query(
     f"""WITH p AS {POINTS}, m AS (SELECT min(x) AS x0, max(x) - min(x) AS w, min(y) AS y0, max(y) - min(y) AS h, count(*) AS n FROM p)
     SELECT r.r, round(coalesce(sum(CASE WHEN d2 <= r.r * r.r THEN w * h / ((w - dx) * (h - dy)) END), 0) * any_value(w * h) / any_value(n * (n - 1)), 4) AS k

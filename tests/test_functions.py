@@ -295,9 +295,9 @@ def test_moran_permutation(spark):
 
 
 def test_attributions_that_do_not_count(spark):
-    text = ["Stained glass window designed by Harry Lane.", "built by the Parochial Board", "designed by Sir Aston", "To designs by W.H. Lynn. Comprising a hall", "designed by Rose and Son"]
+    text = ["Stained glass window designed by Harry Lane.", "built by the Parochial Board", "designed by Sir Aston", "To designs by W.H. Lynn. Comprising a hall", "designed by Rose and Son", "designed by an architect named only as Murphy, 1870", "designed by Murphy"]
     got = values(spark, text, lambda c: evidence.attribution(c)["name"])
-    assert got == [None, None, None, "W.H. Lynn", None]
+    assert got == [None, None, None, "W.H. Lynn", None, "Murphy", None]
 
 
 def test_durations(spark):
@@ -343,3 +343,27 @@ def test_differences_find_what_was_planted(spark):
         "right only": (2, [("d|1", None, None)] * 2),
         "right repeated": (1, [("d|1", None, None)]),
     }
+
+
+@pytest.mark.parametrize("bound", [100_000, 5])
+def test_strict_match_against_a_plain_version(spark, monkeypatch, bound):
+    monkeypatch.setattr(spatial.assign_once, "__defaults__", (1, "stratum", bound))
+    rng = random.Random(7)
+    covariates = [(i, rng.choice(["a", "b", None]), rng.choice(["x", "y", "", None]), rng.choice([1.0, 2.0, None])) for i in range(70)]
+    pairs = [(i, c, round(rng.random(), 2)) for i in range(30) for c in rng.sample(range(30, 72), 8)]
+    known = {i: (s or "unknown", e or None, score or 0.0) for i, s, e, score in covariates}
+    options = {}
+    for i, c, cost in pairs:
+        if c in known and known[i][0] == known[c][0]:
+            gap = bool(known[i][1] and known[c][1] and known[i][1] != known[c][1])
+            options.setdefault(i, []).append((cost + 0.25 * gap, c, gap))
+    used, expected = set(), set()
+    for i in sorted(options, key=lambda i: (len(options[i]), -known[i][2], i)):
+        free = [x for x in sorted(options[i]) if x[1] not in used][:2]
+        used |= {c for _, c, _ in free}
+        expected |= {(known[i][0], i, c, round(cost, 6), rank, gap) for rank, (cost, c, gap) in enumerate(free, 1)}
+    got = spatial.strict_match(spark.createDataFrame(pairs, "id long, cid long, cost double"), spark.createDataFrame(covariates, "id long, stratum string, era string, score double"), Scratch(spark, "s"), 2)
+    assert {(r["stratum"], r["id"], r["cid"], round(r["cost"], 6), r["rank"], r["era_gap"]) for r in got.collect()} == expected
+    one = spatial.strict_summary(spark.range(30), got, 2).first()
+    per = Counter(x[1] for x in expected)
+    assert tuple(one) == (30, sum(n == 2 for n in per.values()), sum(n == 1 for n in per.values()), 30 - len(per), len(expected), len(used))

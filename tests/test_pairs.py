@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from fathomline.operators import graph as paths
 from fathomline.operators import pairs
 from fathomline.sources.store import Scratch
 
@@ -67,3 +68,12 @@ def test_bounds(spark):
     few = ends.where("origin < 5")
     assert pairs.matrix(edges, few, few, Scratch(spark, "p"), 10.0).costs.count() == 25
     assert pairs.search(edges.limit(0), few.limit(0), Scratch(spark, "p"), 1.0).costs.count() == 0
+
+
+def test_chains_of_ways(spark):
+    ways = spark.createDataFrame([(1, [10, 11, 12]), (2, [12, 13]), (3, [14, 13]), (4, [12, 10]), (5, []), (6, [20, 20]), (7, [20, 12]), (8, None)], "way long, nodes array<long>")
+    rules = [("two", [1, 2]), ("three", [1, 2, 3]), ("loop", [1, 4]), ("apart", [1, 3]), ("later apart", [1, 2, 1, 3]), ("empty way", [1, 5]), ("unknown", [1, 99]), ("null way", [1, 2, None]), ("alone", [1]), ("none", []), ("circle", [6, 7]), ("no nodes", [8, 1])]
+    got = {r["rule"]: (r["status"], r["via_node"], r["junctions"]) for r in paths.chains(spark.createDataFrame(rules, "rule string, members array<long>"), ways).collect()}
+    assert got["two"] == ("ok", 12, [12]) and got["three"] == ("ok", 13, [12, 13]) and got["circle"] == ("ok", 20, [20])
+    assert {k for k, v in got.items() if v[0] == "unsupported"} == {"loop", "apart", "later apart"}
+    assert {k for k, v in got.items() if v[0] == "unresolved"} == {"empty way", "unknown", "null way", "alone", "none", "no nodes"}
