@@ -768,7 +768,7 @@ def test_pack_bytes(n_ids):
 # all
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, library):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -783,7 +783,20 @@ def test_pipeline(spark):
     assert kept[1] == {r[0] for r, c in zip(rows, components_of(rows, 5, 80)) if r[0] == c}
     leaked = {r["doc_id"] for r in decontaminate.contaminated(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert kept[2] == kept[1] - leaked and leaked & kept[1]
-    assert corpus_pipeline.run(spark, SF).count() == now.count()
+    # the mix against plain quotas over what the stage before it kept
+    sized = [tuple(r) for r in docs.select("doc_id", "source", mixing.word_count(F.col("text"))).collect() if r["doc_id"] in kept[2]]
+    hashes = {r[0]: r[1] for r in docs.select("doc_id", F.xxhash64(F.lit(11), "doc_id")).collect()}
+    expected = Counter({r[0]: n for r, n in zip(sized, plain_mix(sized, (5, 2, 1), 3, hashes)) if n})
+    mixed = sorted(tuple(r) for r in now.select("doc_id", "text").collect())
+    assert Counter(i for i, _ in mixed) == expected
+    # the ids against the library, in the order of keys
+    start, packed = 0, []
+    for i, text in mixed:
+        ids = [*library.encode(text, add_special_tokens=False).ids, 2]
+        packed.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = corpus_pipeline.run(spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32")
+    assert sorted(map(tuple, got.collect())) == packed
 
 
 def test_pipeline_on_odd_rows(spark, docs, tmp_path):
