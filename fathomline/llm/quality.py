@@ -50,7 +50,7 @@ def repeat_words(words: Column) -> Column:
     """
 
     def windows(w: Column) -> Column:
-        return F.transform(w, lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
+        return F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
 
     def repeated(s: Column) -> Column:
         flagged = F.transform(
@@ -63,8 +63,13 @@ def repeat_words(words: Column) -> Column:
         spans = F.transform(at, lambda i, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1) - i, F.lit(3))))
         return F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    windowed = _let(words, lambda w: F.slice(windows(w), 1, F.greatest(F.size(w) - 2, F.lit(0))))
-    return _let(_let(F.sort_array(windowed), repeated), covered)
+    def count(h: Column) -> Column:
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        # most texts repeat nothing, which a set tells without sorting
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(_let(_let(placed, repeated), covered))
+
+    hashes = _let(words, lambda w: F.slice(windows(w), 1, F.greatest(F.size(w) - 2, F.lit(0))))
+    return _let(hashes, count)
 
 
 def base(text: Column, words: Column, rest: Column) -> dict[str, Column]:
