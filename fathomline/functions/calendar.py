@@ -144,6 +144,12 @@ def _start(s: Column, day: Column, after: Column) -> Column:
     return F.when(~_closed_on(s, day), F.least(dated, least))
 
 
+def with_schedule(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the schedule of a column's text; each distinct text is parsed once."""
+    made = rows.select(F.col(text).alias("_text")).distinct().withColumn(name, schedule(F.col("_text")))
+    return rows.join(made, F.col(text).eqNullSafe(F.col("_text")), "left").drop("_text")
+
+
 def with_holidays(rows: DataFrame, moment: str, holidays: DataFrame, name: str) -> DataFrame:
     """Add whether the moment's day is in holidays (day, a date; each once)."""
     known = holidays.select(F.col("day").alias("_day"), F.lit(True).alias(name)).distinct()

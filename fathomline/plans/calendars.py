@@ -55,7 +55,8 @@ _DAYS = "SELECT k, d AS day, isodow(d) - 1 AS wd, month(d) * 100 + day(d) AS md,
 )
 def dated_hours(spark, sf_dir):
     """Whether schedules with dates, seasons and holidays hold at the moments of orders."""
-    rows = calendar.with_holidays(_orders(spark, sf_dir), "moment", _holidays(spark, sf_dir), "holiday").withColumn("s", calendar.schedule(F.col("text")))
+    rows = calendar.with_holidays(_orders(spark, sf_dir), "moment", _holidays(spark, sf_dir), "holiday")
+    rows = calendar.with_schedule(rows, "text", "s")
     return rows.select("id", "s.supported", calendar.active(F.col("s"), F.col("moment"), F.col("holiday")).alias("active"))
 
 

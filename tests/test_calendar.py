@@ -102,7 +102,7 @@ def moments():
 
 def test_active(spark, holidays):
     rows = spark.createDataFrame([(x, t) for x in TEXTS for t in moments()], "x string, t timestamp")
-    got = calendar.with_holidays(rows, "t", holidays, "h").withColumn("s", calendar.schedule(F.col("x")))
+    got = calendar.with_schedule(calendar.with_holidays(rows, "t", holidays, "h"), "x", "s")
     for r in got.select("x", "t", "s.supported", calendar.active(F.col("s"), F.col("t"), F.col("h")).alias("on")).collect():
         assert r["supported"] == TEXTS[r["x"]], r["x"]
         assert r["on"] == (TEXTS[r["x"]] and plain_active(r["x"], r["t"])), (r["x"], r["t"])
