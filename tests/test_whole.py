@@ -43,10 +43,13 @@ def expected(spark, sf_dir, ways, **how):
 
 
 def test_od_matrix(spark, sf_dir):
-    best = expected(spark, sf_dir, leaving(graphs.edges(spark, sf_dir).collect()))
+    """Every origin of the matrix with every destination: 25 pairs, each with its least cost, null where there is no way."""
+    ways = leaving(graphs.edges(spark, sf_dir).collect())
+    ends = graphs._ends(spark, sf_dir).collect()
     got = costs(QUERIES["od_matrix"](spark, sf_dir).collect())
-    assert got and got == {pair: best.get(pair) for pair in got}
-    assert None not in got.values()
+    best = {r["origin"]: dijkstra(ways, r["origin"]) for r in ends}
+    assert got == {(a["origin"], b["destination"]): best[a["origin"]].get(b["destination"]) for a in ends for b in ends}
+    assert len(got) == 25 and any(v is not None for v in got.values())
 
 
 def _open(rows, profile):
