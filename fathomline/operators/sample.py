@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -209,10 +213,34 @@ def clouds(frame: DataFrame, iterations: int, seed: int) -> DataFrame:
     return rows.select("iteration", (F.col("iteration") * F.col("n") + F.col("i")).alias("id"), x.alias("x"), (F.col("y0") + unit("y") * (F.col("y1") - F.col("y0"))).alias("y"))
 
 
+#: Points of a cell, on average, in which the nearest of evenly spread points are looked for first.
+EVEN = 4
+
+
+def _even_nearest(made: DataFrame, width: float, height: float, n: int, scratch: Scratch) -> DataFrame:
+    """iteration, id and d, the distance to the nearest other point, of clouds of n points spread evenly over boxes of this size.
+
+    Cells of EVEN points hold nearly everyone's nearest, as far as a cell is wide; who
+    has none there looks four times as far, and so on to the end of the cloud.
+    """
+    from fathomline.operators.spatial import within
+
+    radius = max(math.sqrt(EVEN * width * height / n), EVEN * max(width, height) / n)
+    other, left, done = made.select(F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2")), made, []
+    for turn in itertools.count():
+        pairs = within(left, other, radius) if not turn else within(other, left, radius, lx="x2", ly="y2", rx="x", ry="y")
+        found = scratch.save(pairs.where("id <> id2").groupBy("iteration", "id").agg(F.sqrt(F.min("d2")).alias("d")), f"even{turn}")
+        done.append(found)
+        left = scratch.save(left.join(found, ["iteration", "id"], "left_anti"), f"alone{turn}")
+        if radius > width + height or left.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        radius *= 4
+
+
 def cloud_null(points: DataFrame, near: Column, scratch: Scratch, iterations: int = 150, seed: int = 1) -> DataFrame:
     """How often clouds of as many random points in the same box have as large a share of nearest distances d with ``near``: one row of n, observed, expected and p, (1 + clouds at least as large) / (1 + clouds).
 
-    The distances of all clouds are found by one search, so the work is in proportion to
+    The distances of all clouds are found by one join of cells, so the work is in proportion to
     iterations x points. Fewer than two points have no distances: all but n are null.
     """
     from fathomline.operators.neighbours import k_nearest
@@ -223,8 +251,15 @@ def cloud_null(points: DataFrame, near: Column, scratch: Scratch, iterations: in
     share = F.avg(near.cast("double"))
     found = lambda rows, name: k_nearest(rows, rows, 1, Scratch(scratch.spark, name), others=True).withColumn("d", F.sqrt("d2"))
     seen = found(known, "seen").agg(F.count(F.lit(1)).alias("n"), share.alias("observed"))
-    per = F.floor(F.col("id") / F.col("size"))
-    drawn = found(made.select("id", "x", "y"), "drawn").crossJoin(frame.select(F.col("n").alias("size"))).groupBy(per.alias("iteration")).agg(share.alias("share"))  # one row
+    x0, x1, y0, y1, n = frame.first()
+    even = Scratch(scratch.spark, "even")
+    if n and max(x1 - x0, y1 - y0) > 0:
+        near_of = _even_nearest(made, x1 - x0, y1 - y0, n, even)
+    else:  # all at one place
+        near_of = found(made.select("id", "x", "y"), "drawn").withColumn("iteration", F.floor(F.col("id") / F.lit(max(n, 1))))
+    drawn = scratch.save(near_of.groupBy("iteration").agg(share.alias("share")), "shares")
+    even.clear()
+    scratch.drop("clouds")
     met = seen.join(drawn, F.lit(True), "left")  # one row
     as_large = F.count_if(F.col("share") >= F.col("observed"))
     return met.groupBy("n", "observed").agg(F.avg("share").alias("expected"), F.when(F.count("share") > 0, (1 + as_large) / (1 + F.count("share"))).alias("p"))

@@ -367,3 +367,15 @@ def test_strict_match_against_a_plain_version(spark, monkeypatch, bound):
     one = spatial.strict_summary(spark.range(30), got, 2).first()
     per = Counter(x[1] for x in expected)
     assert tuple(one) == (30, sum(n == 2 for n in per.values()), sum(n == 1 for n in per.values()), 30 - len(per), len(expected), len(used))
+
+
+def test_cloud_distances_need_no_tree(spark):
+    """Evenly spread points find their nearest by cells, in few rounds, as all pairs have it."""
+    frame = spark.createDataFrame([(0.0, 100.0, 0.0, 5.0, 300)], "x0 double, x1 double, y0 double, y1 double, n long")
+    made = Scratch(spark, "c").save(sample.clouds(frame, 3, 4), "clouds")
+    scratch = Scratch(spark, "even")
+    got = {r["id"]: r["d"] for r in sample._even_nearest(made, 100.0, 5.0, 300, scratch).collect()}
+    rows = [tuple(r) for r in made.collect()]
+    want = {i: min(math.hypot(x - u, y - v) for c2, j, u, v in rows if c2 == c and j != i) for c, i, x, y in rows}
+    assert len(rows) == len(got) == 900 and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    assert len(scratch.saved) <= 8
