@@ -817,3 +817,16 @@ def test_against_sql(name, spark, duck):
     from compare import rows
 
     assert rows(queries.queries()[name](spark, SF).toPandas()) == rows(duck.sql(queries.oracle_sql()[name]).df())
+
+
+def test_languages_and_limits_are_learned_from_all_rows(spark, monkeypatch):
+    """3,000 rows of one label: prototype and limits come from every one of them."""
+    texts = [f"{'abcdefghij'[i % 10] * 3} wort {'klmnopqrst'[i // 10 % 10] * 2} zeile {'uvwxyzabcd'[i // 100 % 10]} und noch mehr davon" for i in range(3000)]
+    docs = spark.createDataFrame([(i, t, "de") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    names, table = langid.train(docs)
+    whole = langid.encoder(langid.DIMENSIONS, langid.SEED).vectors(texts)[0].astype(np.float64).sum(axis=0)
+    assert names == ["de"] and np.allclose(table[0], whole / np.linalg.norm(whole), atol=1e-6)
+    seen, plain = [], langid.predict
+    monkeypatch.setattr(langid, "predict", lambda rows, *a, **how: seen.append(rows.count()) or plain(rows, *a, **how))
+    langid.limits(docs, (names, table))
+    assert seen == [3000]
