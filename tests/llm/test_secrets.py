@@ -162,3 +162,14 @@ def test_given_documents(spark):
     got = {r["doc_id"]: r["spans"] for r in secrets.report(found_).collect()}
     for r in docs.select("doc_id", "text").collect():
         assert [s for s in got[r["doc_id"]].split(",") if s and not s.startswith("net:")] == plain(r["text"])
+
+
+def test_every_candidate_is_an_example(spark):
+    """More different candidates of both labels than any bound: all are learned from or held out, but those left out as likely keys."""
+    rng = random.Random(12)
+    texts = [" ".join(f'token = "{key(rng, HEX, 40)}" {key(rng, "abcdefghij", 8)}-{key(rng, "abcdefghij", 9)} ' + "of " * 12 for _ in range(20)) for _ in range(150)]
+    _, model = found(spark, texts)
+    assert model.examples["assign"] == 3000
+    assert 2000 < model.examples["unfound"] <= 3000
+    assert model.examples["drawn"] + model.examples["harmless"] == 6000
+    assert model.recall >= 0.95 and model.precision >= 0.95
