@@ -3,6 +3,7 @@
 import heapq
 import random
 
+import numpy as np
 import pytest
 
 from fathomline.operators import graph as paths
@@ -77,3 +78,22 @@ def test_chains_of_ways(spark):
     assert got["two"] == ("ok", 12, [12]) and got["three"] == ("ok", 13, [12, 13]) and got["circle"] == ("ok", 20, [20])
     assert {k for k, v in got.items() if v[0] == "unsupported"} == {"loop", "apart", "later apart"}
     assert {k for k, v in got.items() if v[0] == "unresolved"} == {"empty way", "unknown", "null way", "alone", "none", "no nodes"}
+
+
+def test_many_labels_of_a_pair(spark):
+    """Searches of more labels than a packed row holds, several per task and some without a way, carry their ways and need not list their labels."""
+    edges = graph(9, 9_000, 20_000, 97)
+    wanted = [(i, 8_999 - 7 * i) for i in range(12)] + [(20_000, 5), (3, 20_000)]
+    found = pairs.search(spark.createDataFrame(edges, "u long, v long, w double"), spark.createDataFrame(wanted, "origin long, destination long"), Scratch(spark, "p"), 60.0, labels=False)
+    assert found.labels is None
+    least = {}
+    for u, v, w in edges:
+        least[u, v] = min(w, least.get((u, v), w))
+    for r in found.costs.collect():
+        assert r["cost"] == distances(edges, r["origin"]).get(r["destination"])
+        if r["cost"] is not None:
+            assert r["path"][0] == r["origin"] and r["path"][-1] == r["destination"] and r["meeting"] in r["path"]
+            assert sum(least[u, v] for u, v in zip(r["path"], r["path"][1:])) == r["cost"]
+    x = pairs._Labels(np.arange(1300) % 2, np.arange(1300) % 3 == 0, np.arange(1300) - 50, np.arange(1300) / 8, np.arange(1300) * 2**40)
+    back = pairs._Labels.joined([pairs._Labels.unpacked(row) for row in x.packed()])
+    assert all((getattr(back, c) == getattr(x, c)).all() for c in ("side", "open", "node", "cost", "prev"))
