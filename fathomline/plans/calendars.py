@@ -131,5 +131,5 @@ def tagged_paths(spark, sf_dir):
     at = F.timestamp_add("SECOND", F.floor("cost"), F.lit(START).cast("timestamp"))
     passes = conditional.may_pass(F.col("access_rules"), at, _dates(), **LORRY) & (~F.col("against") | (conditional.oneway_at(F.lit("yes"), F.col("oneway_rules"), at, _dates()) == "no"))
     kmh = conditional.speed_at(F.lit(80.0), F.col("speed_rules"), at, _dates())
-    got = graph.shortest(e.unionByName(back), _origins(spark, sf_dir), Scratch(spark, "tagged"), step=lambda t: t + F.ceil(F.col("seconds") * 80 / kmh), passes=passes, least=60.0)
+    got = graph.shortest(e.unionByName(back), _origins(spark, sf_dir), Scratch(spark, "tagged"), step=lambda t: t + F.ceil(F.col("seconds") * 80 / kmh), passes=passes, least=60.0, ahead=True)
     return got.select("origin", "node", F.col("cost").alias("arrival"))
