@@ -483,6 +483,21 @@ def test_a_frequent_long_word_counts(spark):
     assert all(r["kept"] for i, r in got.items() if i < 60 and not r["base_failed"]) and sum(r["kept"] for r in got.values()) > 30
 
 
+def test_common_words_listed_or_looked_up_by_language(spark, docs, monkeypatch):
+    """The words of all languages are listed once, if they are few; a word that is common elsewhere only does not count."""
+    rows = [(1, "aa bb cc aa", "x"), (2, "dd aa ee ee", "y"), (3, "ff", None), (4, None, "z"), (5, "aa ff", "z")]
+    mixed = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for table in (docs, mixed):
+        own = quality.judge(table, Scratch(spark, "t"), min_words=1, min_reference_words=1)
+        got, planned = own.collect(), []
+        with monkeypatch.context() as m:
+            m.setattr(quality, "LISTED_LANGUAGES", 0)
+            measure = quality.measure
+            m.setattr(quality, "measure", lambda *args: (planned.append(args[-1]), measure(*args))[1])
+            same_multiset([tuple(r) for r in quality.judge(table, Scratch(spark, "t"), min_words=1, min_reference_words=1).collect()], [tuple(r) for r in got])
+        assert planned == [None]
+
+
 def test_divergence(spark):
     p, q = [3, 1, 0], [1, 1, 2]
     a, b = np.array(p) / 4, np.array(q) / 4
