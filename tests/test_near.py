@@ -12,7 +12,7 @@ from fathomline.plans import registry
 from fathomline.sources.store import Scratch
 
 EDGES, STARTS = "u long, v long, w double, ferry long", "origin long, node long, start double"
-GRAPH_QUERIES = ["od_matrix", "conditional_paths", "profile_compare", "profile_paths", "route_response", "restricted_turns", "route_segments", "rule_provenance", "two_quantities", "timed_paths"]
+GRAPH_QUERIES = ["od_matrix", "conditional_paths", "profile_compare", "profile_paths", "route_response", "restricted_turns", "route_segments", "rule_provenance", "two_quantities", "timed_paths", "via_way_turns"]
 
 
 def made(seed, n, m, apart=1):
