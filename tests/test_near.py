@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_conditional import open_at
 
-from fathomline.operators import graph, near
+from fathomline.operators import graph, near, pairs
 from fathomline.plans import calendars, registry
 from fathomline.sources.store import Scratch
 
@@ -152,3 +152,35 @@ def test_weeks_are_alike_behind_the_dates_of_tags():
         t = start + dt.timedelta(minutes=minute)
         assert [open_at(k, t, False) for k in range(7)] == [open_at(k, t + week, False) for k in range(7)] == [open_at(k, t + 60 * week, False) for k in range(7)]
     assert any(open_at(5, start - dt.timedelta(days=2, minutes=m), False) != open_at(5, start - dt.timedelta(days=2, minutes=m) + week, False) for m in range(0, 1440, 30))
+
+
+@pytest.mark.parametrize("width", [0.5, 30.0])
+def test_pairs(spark, monkeypatch, width):
+    rng = random.Random(7)
+    edges = [e[:3] for e in made(8, 150, 320, 11)]
+    wanted = [(rng.randrange(150) * 11, rng.randrange(150) * 11) for _ in range(60)] + [(55, 55), (55, 10_000), (10_001, 10_001), (None, 33), (22, None)]
+    e, w = spark.createDataFrame(edges, "u long, v long, w double"), spark.createDataFrame(wanted + wanted[:3], "origin long, destination long")
+    search = pairs.search
+    monkeypatch.setattr(pairs, "search", None)  # labels between rounds
+    rows = near.pair_search(e, w, Scratch(spark, "n"), width).costs.collect()
+    want = {(a, b): None if a is None else plain(edges, a, 0.0, lambda c, e, _: (c + e[2], None)).get((b, None)) for a, b in wanted}
+    least = {}
+    for u, v, x in edges:
+        least[u, v] = min(x, least.get((u, v), x))
+    assert {r["origin"] for r in rows} == {a for a, _ in wanted} and len(rows) == len(want)
+    for r in rows:
+        cost = want[r["origin"], r["destination"]]
+        assert (r["cost"] is None) == (cost is None) == (r["path"] is None)
+        if cost is not None:
+            assert r["cost"] == pytest.approx(cost, abs=1e-9) and (r["path"][0], r["path"][-1]) == (r["origin"], r["destination"])
+            assert sum(least[x] for x in zip(r["path"], r["path"][1:])) == pytest.approx(cost, abs=1e-9)
+    monkeypatch.setattr(pairs, "search", search)
+    monkeypatch.setattr(near, "MOST_EDGES", 10)
+    far = near.pair_search(e, w, Scratch(spark, "n"), width).costs.collect()
+    assert sorted((str(r["pair"]), r["cost"] and round(r["cost"], 6)) for r in far) == sorted((str(r["pair"]), r["cost"] and round(r["cost"], 6)) for r in rows)
+
+
+@pytest.mark.parametrize("name", ["pair_costs", "pair_routes", "routing_summary"])
+def test_pairs_are_searched_in_tasks(spark, sf_dir, monkeypatch, name):
+    monkeypatch.setattr(pairs, "search", None)
+    assert len(registry.queries()[name](spark, sf_dir).schema)
